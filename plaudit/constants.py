@@ -130,14 +130,18 @@ DOMAIN_STOPWORDS = [
     "lol", "wtf", "omg", "gg", "nice", "good", "bad", "play", "game", "games",
 ]
 
-# FIXED VALUES: text-cleaning patterns (Java regex; Unicode-aware where Python was)
-PAT_URL = r"http[^\s\p{Z}]+"
+# FIXED VALUES: text-cleaning patterns (Java regex and RE2 alike). Python's
+# Unicode whitespace (str.isspace) is spelled out, since \s is ASCII-only in
+# Java and RE2 (and differs between them on \x0B).
+WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}"
+PAT_URL = r"http[^" + WS + r"]+"
 PAT_TAG = r"<[^>]+>"
 PAT_MENTION = r"@[\p{L}\p{N}_]+"
 PAT_HASHTAG = r"#[\p{L}\p{N}_]+"
-PAT_STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+PAT_STRIP = r"^[" + WS + r"]+|[" + WS + r"]+$"
+PAT_SPLIT = r"[" + WS + r"]+"
 PAT_TOPIC_KEEP = r"[^\x{4e00}-\x{9fa5}a-zA-Z]"
 PAT_LAZY_TAG = r"<[^\n]*?>"
 PAT_CTRL_WS = r"[\n\r\t]"
-PAT_DISPLAY_KEEP = r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9\s.,!?]"
-PAT_HAN_RUN = r"^[\x{4e00}-\x{9fa5}]+$"
+PAT_DISPLAY_KEEP = r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9" + WS + r".,!?]"
+HAN = r"\x{4e00}-\x{9fa5}"

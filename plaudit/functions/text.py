@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plaudit.constants import (PAT_CTRL_WS, PAT_DISPLAY_KEEP, PAT_HASHTAG, PAT_LAZY_TAG, PAT_MENTION,
-                               PAT_STRIP, PAT_TAG, PAT_TOPIC_KEEP, PAT_URL, SCORING_MAX_CHARS)
-
-HAN = r"\x{4e00}-\x{9fa5}"
+from plaudit.constants import (HAN, PAT_CTRL_WS, PAT_DISPLAY_KEEP, PAT_HASHTAG, PAT_LAZY_TAG, PAT_MENTION,
+                               PAT_SPLIT, PAT_STRIP, PAT_TAG, PAT_TOPIC_KEEP, PAT_URL, SCORING_MAX_CHARS)
 
 
 def _col(c) -> Column:
@@ -56,7 +54,7 @@ def tokens(c) -> Column:
     characters yields its character bigrams (a single character stays whole).
     Blank tokens never appear."""
     t = F.regexp_replace(F.lower(_col(c)), f"([{HAN}]+)", " $1 ")
-    parts = F.filter(F.split(t, r"[\s\p{Z}]+"), lambda x: F.length(x) > 0)
+    parts = F.filter(F.split(t, PAT_SPLIT), lambda x: F.length(x) > 0)
 
     def expand(tok):
         is_han_run = tok.rlike(f"^[{HAN}]+$") & (F.length(tok) > 1)

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plaudit.constants import DOMAIN_STOPWORDS
 from plaudit.functions import rating as R
+from plaudit.functions import text as TX
 from plaudit.functions.numeric import playtime_stage, row_mean
 from plaudit.operators import metrics as M
 from plaudit.operators import score as SC
@@ -33,8 +35,10 @@ def register(name: str):
 
 @register("recommend_score")
 def q_recommend_score(spark, sf):
+    from plaudit.plans.topics_plan import review_topic_map
     reviews = S.v_reviews(spark, sf)
-    return SC.recommend_score(reviews, S.v_app_info(spark, sf), S.v_app_summary(spark, sf))
+    flaws = SC.critical_flaws(review_topic_map(reviews), polarity="positive")
+    return SC.recommend_score(reviews, S.v_app_info(spark, sf), S.v_app_summary(spark, sf), flaws)
 
 
 @register("penalties")
@@ -138,5 +142,99 @@ def q_sample_by_polarity(spark, sf):
     return P.sample_by_polarity(r).select("review_id", "appid", "voted_up", "votes_up")
 
 
+# ---- 7.2 step 4: text --------------------------------------------------------
+
+def _texts(spark, sf):
+    """Documents and raw web pages as one text column (pages carry tags and URLs)."""
+    d = S.table(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    p = S.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"),
+                                           F.col("html").alias("text"))
+    return d.unionByName(p)
+
+
+@register("clean_for_scoring")
+def q_clean_for_scoring(spark, sf):
+    return _texts(spark, sf).select("kind", "id", TX.clean_for_scoring("text").alias("clean"))
+
+
+@register("clean_for_topics")
+def q_clean_for_topics(spark, sf):
+    return _texts(spark, sf).select("kind", "id", TX.clean_for_topics("text").alias("clean"))
+
+
+@register("clean_for_keywords")
+def q_clean_for_keywords(spark, sf):
+    return _texts(spark, sf).select("kind", "id", TX.clean_for_keywords("text").alias("clean"))
+
+
+@register("tokens")
+def q_tokens(spark, sf):
+    t = _texts(spark, sf).select("kind", "id", TX.tokens(TX.clean_for_topics("text")).alias("toks"))
+    return t.select("kind", "id", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
+
+
+@register("tokens_filtered")
+def q_tokens_filtered(spark, sf):
+    t = _texts(spark, sf).select("kind", "id", TX.remove_stopwords(TX.tokens(TX.clean_for_topics("text")),
+                                                                  DOMAIN_STOPWORDS).alias("toks"))
+    return t.select("kind", "id", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
+
+
+# ---- 7.2 step 5: topics -------------------------------------------------------
+
+def _rt(spark, sf):
+    from plaudit.plans.topics_plan import review_topics
+    return review_topics(S.v_reviews(spark, sf))
+
+
+@register("topic_info")
+def q_topic_info(spark, sf):
+    return _rt(spark, sf)["info"].filter(F.col("topic_id") != -1)
+
+
+@register("class_tfidf")
+def q_class_tfidf(spark, sf):
+    from plaudit.plans.topics_plan import document_topics
+    t = document_topics(spark, sf)["tfidf"]
+    return t.select("topic_id", "word", "tf", F.bround("weight", 9).alias("weight"))
+
+
+@register("topic_words")
+def q_topic_words(spark, sf):
+    w = _rt(spark, sf)["words"]
+    return w.select("appid", "polarity", "topic_id", "rank", "word", "value", F.bround("weight", 9).alias("weight"))
+
+
+@register("topic_keywords")
+def q_topic_keywords(spark, sf):
+    return _rt(spark, sf)["keywords"]
+
+
+@register("representative_docs")
+def q_representative_docs(spark, sf):
+    r = _rt(spark, sf)["representative"]
+    return r.select("appid", "polarity", "topic_id", "rank", "review_id", "cosine")
+
+
+@register("topic_summary")
+def q_topic_summary(spark, sf):
+    return _rt(spark, sf)["summary"]
+
+
+@register("topic_map")
+def q_topic_map(spark, sf):
+    return _rt(spark, sf)["topic_map"]
+
+
+@register("word_tooltips")
+def q_word_tooltips(spark, sf):
+    return _rt(spark, sf)["tooltips"]
+
+
+@register("critical_flaws")
+def q_critical_flaws(spark, sf):
+    return SC.critical_flaws(_rt(spark, sf)["topic_map"], polarity=None)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -7,8 +7,10 @@ inlines the stand-in views as CTEs. Column names match the Spark side.
 from __future__ import annotations
 
 from plaudit import constants as K
-from plaudit.plans.sqlparts import (BASE_SCORE, DISPLAY_RATING, V_APP_INFO, V_APP_RAW, V_APP_SUMMARY,
-                                    V_PROFILES, V_REVIEWS, is_paid, q, with_ctes)
+from plaudit.plans.sqlparts import (BASE_SCORE, DISPLAY_RATING, REVIEW_TOPIC_SRC, V_APP_INFO, V_APP_RAW,
+                                    V_APP_SUMMARY, V_PROFILES, V_REVIEWS, clean_keywords_sql, clean_scoring_sql,
+                                    clean_topics_sql, flaws_sql, is_paid, q, remove_stop_sql, tokens_sql,
+                                    topic_ctes, with_ctes)
 
 ORACLE: dict[str, str] = {}
 
@@ -77,7 +79,18 @@ FROM fin"""
     return with_ctes(*ctes, body=body)
 
 
-ORACLE["recommend_score"] = recommend_score_sql()
+REVIEW_TOPICS = [V_REVIEWS, REVIEW_TOPIC_SRC,
+                 *topic_ctes("rt", ["appid", "polarity"], "review_id", "content", "topic_label", K.DOMAIN_STOPWORDS)]
+
+
+def recommend_score_with_flaws_sql() -> str:
+    sql = recommend_score_sql(flaw_cte="__FLAWS__")
+    # the topic chain CTEs go in front of the score CTEs (v_reviews defined once)
+    topic = ",\n".join(REVIEW_TOPICS[1:] + [flaws_sql("tmap", "positive")])
+    return sql.replace(",\n__FLAWS__", "").replace(V_REVIEWS + ",\n", V_REVIEWS + ",\n" + topic + ",\n", 1)
+
+
+ORACLE["recommend_score"] = recommend_score_with_flaws_sql()
 
 ORACLE["penalties"] = with_ctes(V_REVIEWS, V_APP_RAW, V_APP_INFO, STATS, body=f"""
 SELECT appid, n_reviews, round_even(opt_penalty, 6) AS opt_penalty, round_even(value_penalty, 6) AS value_penalty,
@@ -211,5 +224,34 @@ SELECT review_id, appid, voted_up, votes_up FROM (
   FROM v_reviews) WHERE rn <= {K.SAMPLE_PER_POLARITY}""")
 
 
+TEXTS = """texts AS (
+  SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'page' AS kind, page_id AS id, html AS text FROM pages)"""
+
+ORACLE["clean_for_scoring"] = with_ctes(TEXTS, body=f"SELECT kind, id, {clean_scoring_sql('text')} AS clean FROM texts")
+ORACLE["clean_for_topics"] = with_ctes(TEXTS, body=f"SELECT kind, id, {clean_topics_sql('text')} AS clean FROM texts")
+ORACLE["clean_for_keywords"] = with_ctes(TEXTS, body=f"SELECT kind, id, {clean_keywords_sql('text')} AS clean FROM texts")
+ORACLE["tokens"] = with_ctes(TEXTS, f"t AS (SELECT kind, id, {tokens_sql(clean_topics_sql('text'))} AS toks FROM texts)",
+                             body="SELECT kind, id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM t")
+ORACLE["tokens_filtered"] = with_ctes(
+    TEXTS, f"t AS (SELECT kind, id, {remove_stop_sql(tokens_sql(clean_topics_sql('text')), K.DOMAIN_STOPWORDS)} AS toks FROM texts)",
+    body="SELECT kind, id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM t")
+
+ORACLE["topic_info"] = with_ctes(*REVIEW_TOPICS, body="SELECT appid, polarity, topic_label, size, topic_id FROM info WHERE topic_id <> -1")
+ORACLE["topic_words"] = with_ctes(*REVIEW_TOPICS, body="""
+SELECT appid, polarity, topic_id, rank, word, value, round_even(weight, 9) AS weight FROM words""")
+ORACLE["topic_keywords"] = with_ctes(*REVIEW_TOPICS, body="SELECT * FROM keywords")
+ORACLE["representative_docs"] = with_ctes(*REVIEW_TOPICS, body="""
+SELECT appid, polarity, topic_id, rank, review_id, cosine FROM rep""")
+ORACLE["topic_summary"] = with_ctes(*REVIEW_TOPICS, body="SELECT * FROM summ")
+ORACLE["topic_map"] = with_ctes(*REVIEW_TOPICS, body="SELECT * FROM tmap")
+ORACLE["word_tooltips"] = with_ctes(*REVIEW_TOPICS, body="SELECT * FROM tips")
+ORACLE["critical_flaws"] = with_ctes(*REVIEW_TOPICS, flaws_sql("tmap", None), body="SELECT * FROM flaws")
+
+DOC_TOPIC_SRC = "dsrc AS (SELECT doc_id, text, source AS topic_label FROM documents)"
+ORACLE["class_tfidf"] = with_ctes(DOC_TOPIC_SRC, *topic_ctes("dsrc", [], "doc_id", "text", "topic_label", K.DOMAIN_STOPWORDS),
+                                  body="SELECT topic_id, word, tf, round_even(weight, 9) AS weight FROM tfidf")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
