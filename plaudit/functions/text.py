@@ -49,19 +49,30 @@ def clean_for_keywords(c) -> Column:
     return strip(t)
 
 
+# A Han character followed by another becomes "<it><next> "; the last character
+# of a run (preceded by Han, not followed by Han) becomes a blank. So a run
+# ABCD turns into "AB BC CD " and a lone character stays itself.
+HAN_BIGRAMS = f"([{HAN}])(?=([{HAN}]))|(?<=[{HAN}])[{HAN}](?![{HAN}])"
+
+
 def tokens(c) -> Column:
     """T5: built-in tokeniser. Lower-case, split on whitespace; a run of Han
     characters yields its character bigrams (a single character stays whole).
-    Blank tokens never appear."""
-    t = F.regexp_replace(F.lower(_col(c)), f"([{HAN}]+)", " $1 ")
-    parts = F.filter(F.split(t, PAT_SPLIT), lambda x: F.length(x) > 0)
-
-    def expand(tok):
-        is_han_run = tok.rlike(f"^[{HAN}]+$") & (F.length(tok) > 1)
-        bigrams = F.transform(F.sequence(F.lit(1), F.length(tok) - 1), lambda i: F.substring(tok, i, 2))
-        return F.when(is_han_run, bigrams).otherwise(F.array(tok))
-
-    return F.flatten(F.transform(parts, expand))
+    Blank tokens never appear. Pure regex/split, so it stays in codegen."""
+    low = F.lower(_col(c))
+    han = F.regexp_replace(F.regexp_replace(low, f"([{HAN}]+)", " $1 "), HAN_BIGRAMS, "$1$2 ")
+    t = F.when(low.rlike(f"[{HAN}]"), han).otherwise(low)
+    return F.array_remove(F.split(t, PAT_SPLIT), "")
+
+
+def token_rows(df, c, out: str = "word", keep: list | None = None, stopwords=()):
+    """T5 + J4 as rows: one row per token, stopwords removed with a hash-set
+    ``isin`` (no per-token list scan). Keeps ``keep`` columns."""
+    keep = list(keep or [])
+    rows = df.select(*keep, F.explode(tokens(c)).alias(out))
+    if stopwords:
+        rows = rows.filter(~F.col(out).isin(list(stopwords)))
+    return rows
 
 
 def remove_stopwords(tok_array, stopwords: list[str]) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plaudit.constants import (KEYWORD_SEP, NO_SUMMARY, NO_TOPIC_TOOLTIP, SUMMARY_CUT, SUMMARY_SEP,
                                TOPIC_DOCS_N, TOPIC_KEYWORDS_N, TOPIC_WORDS_N)
-from plaudit.functions.text import clean_for_topics, cut_summary, remove_stopwords, tokens
+from plaudit.functions.text import clean_for_topics, cut_summary, token_rows
 
 OUTLIER = "-1"
 # cosines are rounded before ranking so that float summation order cannot
@@ -44,27 +44,30 @@ def topic_info(assign: DataFrame, group_cols: Sequence[str], label_col: str = "t
 
 
 def topic_docs(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
-               info: DataFrame, label_col: str = "topic_label", stopwords: Sequence[str] = (),
-               tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Documents with their topic id, topic-cleaned text (T3) and tokens.
-
-    ``tokenizer`` maps the cleaned text column to an array<string> column; a
-    ``pandas_udf`` segmenter can be passed for languages without blanks."""
+               info: DataFrame, label_col: str = "topic_label") -> DataFrame:
+    """Documents with their topic id and topic-cleaned text."""
     g = list(group_cols)
     lab = info.select(*g, label_col, "topic_id")
     d = df.select(*g, doc_col, label_col, clean_for_topics(F.col(text_col)).alias("doc_text"))
-    d = d.join(lab, [*g, label_col], "inner")
-    toks = tokenizer(F.col("doc_text"))
-    if stopwords:
-        toks = remove_stopwords(toks, list(stopwords))
-    return d.withColumn("tokens", toks)
+    return d.join(lab, [*g, label_col], "inner")
+
 
+def doc_terms(docs: DataFrame, group_cols: Sequence[str], doc_col: str, stopwords: Sequence[str] = (),
+              tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Per document and word: term count ``tf`` (blank tokens never appear).
 
-def doc_terms(docs: DataFrame, group_cols: Sequence[str], doc_col: str) -> DataFrame:
-    """Per document and word: term count ``tf`` (blank tokens never appear)."""
+    The built-in tokeniser emits token rows directly; a custom ``tokenizer``
+    (Column -> array<string>, e.g. a ``pandas_udf`` segmenter) is exploded."""
     g = list(group_cols)
-    return (docs.select(*g, "topic_id", doc_col, F.explode("tokens").alias("word"))
-            .groupBy(*g, "topic_id", doc_col, "word").agg(F.count(F.lit(1)).alias("tf")))
+    keep = [*g, "topic_id", doc_col]
+    if tokenizer is None:
+        rows = token_rows(docs, F.col("doc_text"), "word", keep, stopwords)
+    else:
+        rows = docs.select(*keep, F.explode(tokenizer(F.col("doc_text"))).alias("word"))
+        rows = rows.filter(F.length("word") > 0)
+        if stopwords:
+            rows = rows.filter(~F.col("word").isin(list(stopwords)))
+    return rows.groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def class_tfidf(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -163,12 +166,12 @@ def word_tooltips(words: DataFrame, tmap: DataFrame, group_cols: Sequence[str])
 
 def describe_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
                     label_col: str = "topic_label", stopwords: Sequence[str] = (),
-                    tokenizer: Callable[[Column], Column] = tokens) -> dict[str, DataFrame]:
+                    tokenizer: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
     """The whole description chain; returns every intermediate by name."""
     g = list(group_cols)
     info = topic_info(df.select(*g, label_col), g, label_col)
-    docs = topic_docs(df, g, doc_col, text_col, info, label_col, stopwords, tokenizer)
-    terms = doc_terms(docs, g, doc_col)
+    docs = topic_docs(df, g, doc_col, text_col, info, label_col)
+    terms = doc_terms(docs, g, doc_col, stopwords, tokenizer)
     tfidf = class_tfidf(terms, g)
     words = topic_words(tfidf, g)
     kws = topic_keywords(words, g)
