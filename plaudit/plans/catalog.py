@@ -17,7 +17,9 @@ from plaudit.functions import text as TX
 from plaudit.functions.numeric import playtime_stage, row_mean
 from plaudit.operators import metrics as M
 from plaudit.operators import score as SC
+from plaudit import constants as K
 from plaudit.sources import pages as P
+from plaudit.sources import tables as TB
 from plaudit.sources import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,5 +238,80 @@ def q_critical_flaws(spark, sf):
     return SC.critical_flaws(_rt(spark, sf)["topic_map"], polarity=None)
 
 
+# ---- 7.2 step 3 (continued): pages and table rules --------------------------
+
+@register("flatten_reviews")
+def q_flatten_reviews(spark, sf):
+    return P.flatten_reviews(S.v_review_pages(spark, sf), keep=["page_no"])
+
+
+@register("extract_summary")
+def q_extract_summary(spark, sf):
+    return P.extract_summary(S.v_review_pages(spark, sf), keep=["page_no"])
+
+
+@register("valid_page_prefix")
+def q_valid_page_prefix(spark, sf):
+    return P.valid_page_prefix(S.v_review_pages(spark, sf))
+
+
+@register("resolve_app")
+def q_resolve_app(spark, sf):
+    return P.resolve_app(S.v_search_terms(spark, sf), S.v_app_info(spark, sf))
+
+
+@register("enrich_app_metadata")
+def q_enrich_app_metadata(spark, sf):
+    return P.enrich_app_metadata(S.v_app_info(spark, sf).select("appid", "name", "price"), S.v_app_meta(spark, sf))
+
+
+def _requests(spark, sf):
+    info = S.v_app_info(spark, sf)
+    return info.select("appid", F.col("name").startswith("red ").alias("force"))
+
+
+@register("fresh_apps")
+def q_fresh_apps(spark, sf):
+    return TB.fresh_apps(S.v_app_info(spark, sf), S.v_app_summary(spark, sf), S.SUMMARY_BASE_TIME)
+
+
+def _refresh(spark, sf):
+    return TB.plan_refresh(_requests(spark, sf), S.v_app_summary(spark, sf), S.v_reviews(spark, sf),
+                           S.SUMMARY_BASE_TIME)
+
+
+@register("plan_refresh")
+def q_plan_refresh(spark, sf):
+    return _refresh(spark, sf)
+
+
+def _artefact_kinds(spark, sf):
+    """Artefacts on disk: all six kinds per summarised app, except the stage
+    document of apps with more negative than positive reviews."""
+    s = S.v_app_summary(spark, sf)
+    kinds = F.array(*[F.lit(k) for k in K.ARTEFACT_KINDS])
+    a = s.select("appid", "total_positive", "total_negative", F.explode(kinds).alias("kind"))
+    return a.filter(~((F.col("kind") == "playtime_sentiment") & (F.col("total_negative") > F.col("total_positive"))))
+
+
+@register("plan_recompute")
+def q_plan_recompute(spark, sf):
+    apps = _refresh(spark, sf).select("appid", (F.col("action") == "FETCH").alias("fresh_fetch"))
+    return TB.plan_recompute(apps, _artefact_kinds(spark, sf).select("appid", "kind"))
+
+
+@register("upsert_summary")
+def q_upsert_summary(spark, sf):
+    old = S.v_app_summary(spark, sf)
+    fetched = _refresh(spark, sf).filter(F.col("action") == "FETCH").select("appid")
+    counts = M.polarity_counts(S.v_reviews(spark, sf))
+    rating = old.select("appid", R.translate_rating("review_score_desc").alias("review_score_desc"))
+    new = (fetched.join(counts, "appid", "left").join(rating, "appid", "left")
+           .select("appid", F.lit(S.SUMMARY_BASE_TIME).cast("timestamp_ntz").alias("last_updated"),
+                   F.col("positive_count").alias("total_positive"), F.col("negative_count").alias("total_negative"),
+                   "review_score_desc"))
+    return TB.upsert_summary(old, new)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -255,3 +255,108 @@ ORACLE["class_tfidf"] = with_ctes(DOC_TOPIC_SRC, *topic_ctes("dsrc", [], "doc_id
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ---- ingest and table rules (A1, A3-A5, A7, A11-A14) ---------------------------------
+
+from plaudit.plans.sqlparts import str_list as _str_list  # noqa: E402
+from plaudit.constants import PAT_SPLIT as _SPLIT  # noqa: E402
+from plaudit.sources import standins as _S  # noqa: E402
+
+_PAGES = f"""pages_src AS (
+  SELECT conv_id AS appid, turn AS page_no, role, text,
+         role = 'system' OR (role = 'assistant' AND length(text) > {_S.PAGE_NO_REVIEWS_MIN_CHARS}) AS bad,
+         length(text) < {_S.PAGE_LAST_MAX_CHARS} AS no_cursor
+  FROM conversations)"""
+
+
+def _flat(src: str) -> str:
+    return f"""SELECT cast(appid AS bigint) AS appid,
+       cast(appid AS varchar) || '-' || cast(page_no AS varchar) AS author_name,
+       CASE WHEN role = 'user' THEN '' ELSE 'av_' || cast(appid AS varchar) END AS author_avatar,
+       line AS content,
+       length(line) % 2 = 0 AS voted_up,
+       cast(length(line) AS bigint) AS playtime_at_review,
+       cast(page_no + pos AS bigint) AS votes_up,
+       cast({_S.PAGE_EPOCH_BASE} + appid * 86400 + page_no * 3600 + pos AS bigint) AS timestamp_created,
+       page_no, cast(pos AS int) AS review_pos
+FROM (SELECT appid, page_no, role, unnest(l) AS line, unnest(range(len(l))) AS pos
+      FROM (SELECT *, string_split(text, chr(10)) AS l FROM {src}
+            WHERE NOT (role = 'assistant' AND length(text) > {_S.PAGE_NO_REVIEWS_MIN_CHARS})))"""
+
+
+ORACLE["flatten_reviews"] = with_ctes(_PAGES, body=_flat("pages_src"))
+
+ORACLE["extract_summary"] = with_ctes(_PAGES, body="""
+SELECT appid, page_no, cast(page_no * 10 AS bigint) AS total_positive, cast(length(text) AS bigint) AS total_negative,
+       role AS review_score_desc
+FROM pages_src WHERE role <> 'system'""")
+
+ORACLE["valid_page_prefix"] = with_ctes(_PAGES, f"""valid AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER w AS rk,
+           sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bad_upto,
+           coalesce(sum(CASE WHEN no_cursor THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS end_before
+    FROM pages_src WINDOW w AS (PARTITION BY appid ORDER BY page_no))
+  WHERE rk <= {K.MAX_PAGES} AND bad_upto = 0 AND end_before = 0)""", body=_flat("valid"))
+
+
+def _words(expr: str) -> str:
+    return f"list_filter(string_split_regex(lower({expr}), {q(_SPLIT)}), lambda x: length(x) > 0)"
+
+
+ORACLE["resolve_app"] = with_ctes(V_APP_RAW, V_APP_INFO, """terms AS (
+  SELECT DISTINCT term FROM (SELECT p_name AS term FROM part
+                             UNION ALL SELECT unnest(string_split(p_name, ' ')) AS term FROM part))""",
+                                  f"""tw AS (SELECT term, word, count(*) OVER (PARTITION BY term) AS n_words
+         FROM (SELECT DISTINCT term, unnest({_words('term')}) AS word FROM terms))""",
+                                  f"""aw AS (SELECT DISTINCT appid, name, unnest({_words('name')}) AS word FROM v_app_info)""",
+                                  """hits AS (SELECT term, appid, name FROM tw JOIN aw USING (word)
+         GROUP BY term, appid, name, n_words HAVING count(*) = n_words)""",
+                                  """best AS (SELECT term, appid, name FROM (
+           SELECT *, row_number() OVER (PARTITION BY term ORDER BY length(name), appid) AS rn FROM hits) WHERE rn = 1)""",
+                                  body="SELECT t.term, b.appid, b.name FROM terms t LEFT JOIN best b USING (term)")
+
+ORACLE["enrich_app_metadata"] = with_ctes(V_APP_RAW, V_APP_INFO, f"""meta AS (
+  SELECT cast(p_partkey AS int) AS appid, CASE WHEN p_size > 40 THEN 404 ELSE 200 END AS status,
+         p_brand AS meta_developer, p_retailprice AS meta_price
+  FROM part WHERE p_partkey < {_S.N_APPS_WITH_INFO})""", body="""
+SELECT i.appid, i.name, i.price, m.meta_developer, m.meta_price
+FROM v_app_info i LEFT JOIN (SELECT * FROM meta WHERE status = 200) m USING (appid)""")
+
+_NOW = _S.SUMMARY_BASE_TIME.strftime("%Y-%m-%d %H:%M:%S")
+_FRESH = f"""fresh AS (
+  SELECT i.appid, m.last_updated,
+         coalesce(TIMESTAMP '{_NOW}' < m.last_updated + INTERVAL {K.CACHE_HOURS} HOUR, false) AS is_fresh
+  FROM v_app_info i LEFT JOIN v_app_summary m USING (appid))"""
+_REFRESH = """refresh AS (
+  SELECT r.appid, r.force, f.is_fresh, s.appid IS NOT NULL AS has_rows,
+         CASE WHEN NOT r.force AND f.is_fresh AND s.appid IS NOT NULL THEN 'HIT' ELSE 'FETCH' END AS action
+  FROM (SELECT appid, coalesce(starts_with(name, 'red '), false) AS force FROM v_app_info) r
+  LEFT JOIN fresh f USING (appid)
+  LEFT JOIN (SELECT DISTINCT appid FROM v_reviews) s USING (appid))"""
+_TABLE_BASE = [V_REVIEWS, V_APP_RAW, V_APP_INFO, V_APP_SUMMARY, _FRESH, _REFRESH]
+
+ORACLE["fresh_apps"] = with_ctes(*_TABLE_BASE[:5], body="SELECT * FROM fresh")
+ORACLE["plan_refresh"] = with_ctes(*_TABLE_BASE, body="SELECT * FROM refresh")
+ORACLE["plan_recompute"] = with_ctes(*_TABLE_BASE, f"""arts AS (
+  SELECT appid, kind FROM (SELECT appid, total_positive, total_negative, unnest({_str_list(K.ARTEFACT_KINDS)}) AS kind
+                           FROM v_app_summary)
+  WHERE NOT (kind = 'playtime_sentiment' AND total_negative > total_positive))""", body=f"""
+SELECT r.appid, r.action = 'FETCH' AS fresh_fetch, coalesce(k.n_kinds, 0) AS n_kinds,
+       (r.action = 'FETCH') OR coalesce(k.n_kinds, 0) < {len(K.ARTEFACT_KINDS)} AS recompute
+FROM refresh r LEFT JOIN (SELECT appid, count(DISTINCT kind) AS n_kinds FROM arts GROUP BY appid) k USING (appid)""")
+
+ORACLE["upsert_summary"] = with_ctes(*_TABLE_BASE, f"""new AS (
+  SELECT f.appid, TIMESTAMP '{_NOW}' AS last_updated,
+         coalesce(c.total_positive, 0) AS total_positive, coalesce(c.total_negative, 0) AS total_negative,
+         coalesce({DISPLAY_RATING.replace('review_score_desc', 'o.review_score_desc')}, {q(K.NO_RATING)}) AS review_score_desc
+  FROM (SELECT appid FROM refresh WHERE action = 'FETCH') f
+  LEFT JOIN (SELECT appid, count_if(voted_up = true) AS total_positive, count_if(voted_up = false) AS total_negative
+             FROM v_reviews GROUP BY appid) c USING (appid)
+  LEFT JOIN v_app_summary o USING (appid))""", body="""
+SELECT appid, last_updated, total_positive, total_negative, review_score_desc FROM (
+  SELECT *, row_number() OVER (PARTITION BY appid ORDER BY last_updated DESC NULLS LAST, prio DESC) AS rn
+  FROM (SELECT appid, last_updated, total_positive, total_negative, review_score_desc, 0 AS prio FROM v_app_summary
+        UNION ALL SELECT appid, last_updated, total_positive, total_negative, review_score_desc, 1 AS prio FROM new))
+WHERE rn = 1""")

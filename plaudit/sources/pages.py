@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plaudit.constants import PAT_SPLIT
 from plaudit.constants import (ANONYMOUS_AUTHOR, DEFAULT_AVATAR, FREE_PRICE, MAX_PAGES, NO_DESCRIPTION,
                                PROFILE_NO_NAME, PROFILE_UNKNOWN, SAMPLE_PER_POLARITY, SCORE_COLUMNS, UNKNOWN)
 
@@ -128,7 +129,7 @@ def resolve_app(terms: DataFrame, apps: DataFrame, term_col: str = "term") -> Da
     An equi-join on words (no theta join): term words x name words, then keep
     apps that matched all of the term's words; first hit by (name length,
     appid). Terms without a hit return a null appid."""
-    split = r"[\s\p{Z}]+"
+    split = PAT_SPLIT
     t = terms.select(term_col).distinct()
     tw = (t.select(term_col, F.explode(F.array_distinct(
         F.filter(F.split(F.lower(F.col(term_col)), split), lambda x: F.length(x) > 0))).alias("word"))

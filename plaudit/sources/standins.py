@@ -138,3 +138,55 @@ def v_review_topics(reviews: DataFrame) -> DataFrame:
     return reviews.select(
         "review_id", "appid", "voted_up", "content",
         F.when(F.col("n_chars") < OUTLIER_MAX_CHARS, F.lit("-1")).otherwise(F.col("lang")).alias("topic_label"))
+
+
+# ---- landed review pages (A1-A4) ----------------------------------------------
+# One page per conversation turn: appid = conv_id, page_no = turn, each line of
+# the turn's text is one review. System turns are failed pages; long assistant
+# turns lack the ``reviews`` key; short turns carry no next cursor.
+PAGE_EPOCH_BASE = 1_700_000_000
+PAGE_NO_REVIEWS_MIN_CHARS = 1500
+PAGE_LAST_MAX_CHARS = 60
+
+
+def v_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    lines = F.split(F.col("text"), "\n")
+    review = lambda line, i: F.struct(
+        F.struct(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("steamid"),
+                 F.when(F.col("role") == "user", F.lit(None).cast("string"))
+                 .otherwise(F.concat(F.lit("av_"), F.col("conv_id").cast("string"))).alias("avatar"),
+                 F.length(line).cast("bigint").alias("playtime_at_review")).alias("author"),
+        line.alias("review"),
+        (F.length(line) % 2 == 0).alias("voted_up"),
+        (F.col("turn") + i).cast("bigint").alias("votes_up"),
+        (F.lit(PAGE_EPOCH_BASE) + F.col("conv_id") * 86400 + F.col("turn") * 3600 + i).cast("bigint")
+        .alias("timestamp_created"))
+    reviews = F.when((F.col("role") == "assistant") & (F.length("text") > PAGE_NO_REVIEWS_MIN_CHARS), F.lit(None)) \
+        .otherwise(F.transform(lines, lambda x, i: review(x, i)))
+    page = F.struct(
+        F.when(F.col("role") == "system", F.lit(2)).otherwise(F.lit(1)).alias("success"),
+        F.when(F.length("text") < PAGE_LAST_MAX_CHARS, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("c"), (F.col("turn") + 1).cast("string"))).alias("cursor"),
+        F.struct((F.col("turn") * 10).cast("bigint").alias("total_positive"),
+                 F.length("text").cast("bigint").alias("total_negative"),
+                 F.col("role").alias("review_score_desc")).alias("query_summary"),
+        reviews.alias("reviews"))
+    return c.select(F.col("conv_id").alias("appid"), F.col("turn").alias("page_no"), F.to_json(page).alias("json"))
+
+
+def v_app_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secondary metadata records: failed look-ups (status 404) for large parts."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") < N_APPS_WITH_INFO)
+    return p.select(F.col("p_partkey").cast("int").alias("appid"),
+                    F.when(F.col("p_size") > 40, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+                    F.col("p_brand").alias("meta_developer"),
+                    F.col("p_retailprice").alias("meta_price"))
+
+
+def v_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search terms: every distinct part name and every word of one."""
+    p = table(spark, sf_dir, "part").select("p_name")
+    whole = p.select(F.col("p_name").alias("term"))
+    words = p.select(F.explode(F.split("p_name", " ")).alias("term"))
+    return whole.unionByName(words).distinct()
