@@ -313,5 +313,23 @@ def q_upsert_summary(spark, sf):
     return TB.upsert_summary(old, new)
 
 
+# ---- keyword cloud and aspect scoring ----------------------------------------
+
+@register("keyword_frequency")
+def q_keyword_frequency(spark, sf):
+    from plaudit.operators.keywords import keyword_frequency
+    from plaudit.plans.topics_plan import polarity
+    r = S.v_reviews(spark, sf).withColumn("polarity", polarity())
+    return keyword_frequency(r, "content", ["appid", "polarity"], DOMAIN_STOPWORDS)
+
+
+@register("aspect_scores")
+def q_aspect_scores(spark, sf):
+    from plaudit.operators.aspects import prototype_scores, prototype_vectors
+    emb = S.table(spark, sf, "embeddings")
+    r = S.v_reviews(spark, sf).select("review_id", "appid")
+    return prototype_scores(r, emb, prototype_vectors(emb))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -360,3 +360,49 @@ SELECT appid, last_updated, total_positive, total_negative, review_score_desc FR
   FROM (SELECT appid, last_updated, total_positive, total_negative, review_score_desc, 0 AS prio FROM v_app_summary
         UNION ALL SELECT appid, last_updated, total_positive, total_negative, review_score_desc, 1 AS prio FROM new))
 WHERE rn = 1""")
+
+
+# ---- keyword cloud (G14) and aspect scoring (M1) --------------------------------------
+
+from plaudit.operators.keywords import CLOUD_WORDS as _CLOUD  # noqa: E402
+from plaudit.functions.text import HAN_BIGRAMS as _HB  # noqa: E402
+
+
+def _kw_tokens_sql(e: str) -> str:
+    # the oracle spells Han bigrams with list functions (RE2 has no look-around)
+    han = K.HAN
+    t = f"regexp_replace({e}, '[.,!?]', ' ', 'g')"
+    parts = f"list_filter(string_split_regex({t}, {q(_SPLIT)}), lambda x: length(x) > 0)"
+    pieces = f"list_filter(string_split_regex(regexp_replace(tk, '([{han}]+)', ' \\1 ', 'g'), {q(_SPLIT)}), lambda x: length(x) > 0)"
+    expand = (f"lambda tk: flatten(list_transform({pieces}, lambda u: CASE WHEN regexp_full_match(u, '[{han}]+') AND length(u) > 1 "
+              f"THEN list_transform(range(1, length(u)), lambda i: substr(u, i, 2)) ELSE [u] END))")
+    return f"flatten(list_transform({parts}, {expand}))"
+
+
+ORACLE["keyword_frequency"] = with_ctes(V_REVIEWS, f"""w AS (
+  SELECT appid, polarity, regexp_replace(word, '^\\s+|\\s+$', '', 'g') AS word FROM (
+    SELECT appid, CASE WHEN voted_up THEN 'positive' ELSE 'negative' END AS polarity,
+           unnest({_kw_tokens_sql(clean_keywords_sql('content'))}) AS word
+    FROM v_reviews WHERE content IS NOT NULL))""", f"""c AS (
+  SELECT appid, polarity, word, count(*) AS count FROM w
+  WHERE length(word) > 1 AND NOT list_contains({_str_list(K.DOMAIN_STOPWORDS)}, word)
+  GROUP BY ALL)""", body=f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY appid, polarity ORDER BY count DESC, word) AS rank FROM c)
+WHERE rank <= {_CLOUD}""")
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]), lambda acc, x: acc + x, cast(0 AS double))"
+
+
+_proto_cols = ",\n       ".join(
+    f"CASE WHEN v IS NULL OR vn = 0 THEN {K.NEUTRAL_ASPECT} ELSE round_even((cast(1 AS double) + "
+    f"{_dot_sql('v', f'p{i}')} / (vn * sqrt({_dot_sql(f'p{i}', f'p{i}')}))) / 2, 6) END AS {c}"
+    for i, c in enumerate(K.SCORE_COLUMNS))
+ORACLE["aspect_scores"] = with_ctes(V_REVIEWS, """protos AS (
+  SELECT label, arg_min(cast(embedding AS double[]), vec_id) AS p FROM embeddings WHERE label IN (0, 1, 2, 3, 4) GROUP BY label)""",
+                                    f"""pv AS (SELECT {', '.join(f"max(CASE WHEN label = {i} THEN p END) AS p{i}" for i in range(5))} FROM protos)""",
+                                    """rv AS (SELECT r.review_id, r.appid, cast(e.embedding AS double[]) AS v
+         FROM v_reviews r LEFT JOIN embeddings e ON e.vec_id = r.review_id)""",
+                                    f"""rvn AS (SELECT *, sqrt({_dot_sql('v', 'v')}) AS vn FROM rv)""",
+                                    body=f"SELECT review_id, appid,\n       {_proto_cols}\nFROM rvn, pv")
