@@ -331,5 +331,24 @@ def q_aspect_scores(spark, sf):
     return prototype_scores(r, emb, prototype_vectors(emb))
 
 
+# ---- 7.2 step 6: embedding and topic discovery (rows-only checks) ----------
+
+@register("embed")
+def q_embed(spark, sf):
+    from plaudit.operators.embed import embed
+    d = S.table(spark, sf, "documents")
+    e = embed(d, "doc_id", "text")
+    return e.select("doc_id", F.size("embedding").alias("dims"),
+                    F.bround(F.sqrt(F.aggregate(F.transform("embedding", lambda x: x * x), F.lit(0.0),
+                                                lambda a, x: a + x)), 6).alias("norm"))
+
+
+@register("discover_topics")
+def q_discover_topics(spark, sf):
+    from plaudit.operators.clusters import discover_topics
+    d = S.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return discover_topics(d, ["lang"], "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
