@@ -350,5 +350,29 @@ def q_discover_topics(spark, sf):
     return discover_topics(d, ["lang"], "doc_id", "text")
 
 
+# ---- 7.2 step 7: dashboard and artefacts ----------------------------------------
+
+def _parts(spark, sf):
+    from plaudit.plans.dashboard import analyses
+    return analyses(S.v_reviews(spark, sf), S.v_app_info(spark, sf), S.v_app_summary(spark, sf))
+
+
+@register("dashboard")
+def q_dashboard(spark, sf):
+    from plaudit.plans.dashboard import dashboard
+    return dashboard(S.v_app_info(spark, sf), S.v_app_summary(spark, sf), _parts(spark, sf))
+
+
+@register("export_timeseries_json")
+def q_export_timeseries_json(spark, sf):
+    return TB.artefact_timeseries(M.monthly_counts(S.v_reviews(spark, sf), ts_col="ts"))
+
+
+@register("export_artefacts")
+def q_export_artefacts(spark, sf):
+    from plaudit.plans.dashboard import artefacts
+    return artefacts(_parts(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -51,7 +51,7 @@ def score_class_sql(c: str) -> str:
     return f"CASE WHEN {c} > 75 THEN 'high' WHEN {c} > 50 THEN 'mid' ELSE 'low' END"
 
 
-def recommend_score_sql(flaw_cte: str | None = None) -> str:
+def recommend_score_sql(flaw_cte: str | None = None, parts: bool = False):
     ctes = [V_REVIEWS, V_APP_RAW, V_APP_INFO, V_APP_SUMMARY, STATS]
     flaw_join = "LEFT JOIN flaws f ON f.appid = a.appid" if flaw_cte else ""
     flaw_col = "f.flaw_detected" if flaw_cte else "false"
@@ -76,6 +76,8 @@ def recommend_score_sql(flaw_cte: str | None = None) -> str:
        {score_class_sql(f'CASE WHEN has_reviews THEN final_score ELSE {K.NEUTRAL_SCORE} END')} AS score_class,
        CASE WHEN has_reviews THEN {suggestion_sql('final_score', 'flaw_detected')} ELSE {q(K.SUGGEST_NO_REVIEWS)} END AS suggestion
 FROM fin"""
+    if parts:
+        return ctes, body
     return with_ctes(*ctes, body=body)
 
 
@@ -406,3 +408,31 @@ ORACLE["aspect_scores"] = with_ctes(V_REVIEWS, """protos AS (
          FROM v_reviews r LEFT JOIN embeddings e ON e.vec_id = r.review_id)""",
                                     f"""rvn AS (SELECT *, sqrt({_dot_sql('v', 'v')}) AS vn FROM rv)""",
                                     body=f"SELECT review_id, appid,\n       {_proto_cols}\nFROM rvn, pv")
+
+
+# ---- dashboard (J5) and time-series document (A16) --------------------------------------
+
+def _dashboard_sql() -> str:
+    full = ORACLE["recommend_score"]
+    # wrap the flagship as a CTE named score_rows, then assemble the dashboard
+    head, _, tail = full.rpartition("\nSELECT appid,\n       CASE WHEN has_reviews THEN base")
+    body = "SELECT appid,\n       CASE WHEN has_reviews THEN base" + tail
+    return head + f""",
+score_rows AS ({body}),
+cnt AS (SELECT appid, count_if(voted_up = true) AS positive_count, count_if(voted_up = false) AS negative_count
+        FROM v_reviews GROUP BY appid)
+SELECT i.appid, i.name, i.price, i.developer, i.publisher, i.release_date,
+       coalesce({DISPLAY_RATING.replace('review_score_desc', 'm.review_score_desc')}, {q(K.NO_RATING)}) AS rating_display,
+       coalesce(c.positive_count, 0) AS positive_count, coalesce(c.negative_count, 0) AS negative_count,
+       s.score, s.score_class, s.suggestion
+FROM v_app_info i LEFT JOIN v_app_summary m USING (appid) LEFT JOIN cnt c USING (appid)
+LEFT JOIN score_rows s USING (appid)"""
+
+
+ORACLE["dashboard"] = _dashboard_sql()
+
+ORACLE["export_timeseries_json"] = ORACLE["monthly_counts"].replace(
+    "SELECT s.appid, strftime(s.month, '%Y-%m') AS month,",
+    "SELECT appid, 'timeseries' AS kind, to_json({'dates': list(month ORDER BY month), "
+    "'positive_counts': list(positive ORDER BY month), 'negative_counts': list(negative ORDER BY month)}) AS json\n"
+    "FROM (SELECT s.appid, strftime(s.month, '%Y-%m') AS month,", 1) + ") GROUP BY appid"
