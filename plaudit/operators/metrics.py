@@ -106,6 +106,14 @@ def monthly_counts(reviews: DataFrame, ts_col: str = "ts", drop_epoch_zero: bool
               .groupBy("appid", "month")
               .agg(F.count_if(F.col("pos")).alias("positive"),
                    F.count_if(~F.col("pos")).alias("negative")))
+    return gap_fill_months(counts)
+
+
+def gap_fill_months(counts: DataFrame) -> DataFrame:
+    """G6 skeleton over (appid, month DATE, positive, negative) partial counts
+    (several rows per month are summed, e.g. daily counts from a stream)."""
+    counts = counts.groupBy("appid", "month").agg(F.sum("positive").alias("positive"),
+                                                  F.sum("negative").alias("negative"))
     one_month = F.expr("INTERVAL 1 MONTH")
 
     def span(cond):
