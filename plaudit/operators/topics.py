@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from plaudit.constants import (KEYWORD_SEP, NO_SUMMARY, NO_TOPIC_TOOLTIP, SUMMARY_CUT, SUMMARY_SEP,
                                TOPIC_DOCS_N, TOPIC_KEYWORDS_N, TOPIC_WORDS_N)
 from plaudit.functions.text import clean_for_topics, cut_summary, token_rows
+from plaudit.session import materialize
 
 OUTLIER = "-1"
 # cosines are rounded before ranking so that float summation order cannot
@@ -166,13 +167,19 @@ def word_tooltips(words: DataFrame, tmap: DataFrame, group_cols: Sequence[str])
 
 def describe_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
                     label_col: str = "topic_label", stopwords: Sequence[str] = (),
-                    tokenizer: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
-    """The whole description chain; returns every intermediate by name."""
+                    tokenizer: Callable[[Column], Column] | None = None,
+                    materialize_as: str | None = "table") -> dict[str, DataFrame]:
+    """The whole description chain; returns every intermediate by name.
+
+    The three tables every later step reads (documents with their topic,
+    document-term counts, class TF-IDF) are materialised once
+    (``plaudit.session.materialize``), so the scan, join and tokeniser run
+    once instead of once per branch."""
     g = list(group_cols)
     info = topic_info(df.select(*g, label_col), g, label_col)
-    docs = topic_docs(df, g, doc_col, text_col, info, label_col)
-    terms = doc_terms(docs, g, doc_col, stopwords, tokenizer)
-    tfidf = class_tfidf(terms, g)
+    docs = materialize(topic_docs(df, g, doc_col, text_col, info, label_col), materialize_as)
+    terms = materialize(doc_terms(docs, g, doc_col, stopwords, tokenizer), materialize_as)
+    tfidf = materialize(class_tfidf(terms, g), materialize_as)
     words = topic_words(tfidf, g)
     kws = topic_keywords(words, g)
     rep = representative_docs(docs, terms, tfidf, g, doc_col)

@@ -39,7 +39,7 @@ def register(name: str):
 def q_recommend_score(spark, sf):
     from plaudit.plans.topics_plan import review_topic_map
     reviews = S.v_reviews(spark, sf)
-    flaws = SC.critical_flaws(review_topic_map(reviews), polarity="positive")
+    flaws = SC.critical_flaws(review_topic_map(reviews, only_polarity="positive"), polarity="positive")
     return SC.recommend_score(reviews, S.v_app_info(spark, sf), S.v_app_summary(spark, sf), flaws)
 
 

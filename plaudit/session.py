@@ -72,3 +72,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "plaudit-tables", name)
+
+
+def materialize(df, how: str | None = "table"):
+    """Compute a DataFrame that several branches of a plan read, once.
+
+    ``table``: write it as Parquet under the shared ``spark.checkpoint.dir``
+    and read it back: computed once, lineage cut (a lost executor re-reads the
+    files), and later reads get column pruning and filter push-down.
+    ``checkpoint``: reliable RDD checkpoint (computes the plan twice unless
+    persisted, so ``table`` is the default).
+    ``persist``: memory-and-disk cache (recomputed from lineage on loss).
+    ``None``: leave the plan as is."""
+    if how is None:
+        return df
+    if how == "table":
+        import uuid
+        path = scratch_path(df.sparkSession, uuid.uuid4().hex)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    if how == "persist":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    raise ValueError(f"unknown materialisation {how!r}")
+
+
+def spread(df):
+    """Give CPU-heavy row work (regex, tokenising) at least ``defaultParallelism``
+    tasks. An input with enough file splits already (any large table) is
+    returned unchanged, so this adds a shuffle only for small, unsplittable
+    files (e.g. one row group)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.constants import SCORE_COLUMNS
+from plaudit.session import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -38,8 +39,14 @@ SCORE_MULT_ADD = [(7, 3), (11, 5), (13, 7), (17, 11), (19, 13)]
 OUTLIER_MAX_CHARS = 200  # reviews shorter than this are outliers (-1) in the given topics
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a driver table; text tables are spread over the cluster's cores
+    when their files give too few splits (see ``plaudit.session.spread``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def review_scores(key: Column) -> list[Column]:
