@@ -6,13 +6,13 @@ empty input gives an empty result; fixed seed -> same labels.
 
 Plan, per group (e.g. app x polarity), with no pairwise candidate lists:
 
-1. word shingles -> MinHash signature (Spark ML ``MinHashLSH``)
+1. word shingles -> MinHash signature (seeded ``xxhash64`` minima, one aggregation)
 2. signature cut into bands; a document links to each of its band buckets
    (edges doc -> bucket, so a bucket shared by a third of all documents costs
    edges, not pairs)
 3. connected components of the doc-bucket graph by iterative min-label
-   propagation (two aggregations per round), lineage cut with reliable
-   checkpoints in the cluster's ``spark.checkpoint.dir``
+   propagation (two aggregations per round), lineage cut each round by a
+   table written under the cluster's ``spark.checkpoint.dir``
 4. component sizes -> topic ids, small components -> -1
 """
 
@@ -20,65 +20,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import HashingTF, MinHashLSH, NGram
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaudit.constants import MIN_TOPIC_SIZE
 from plaudit.functions.text import clean_for_topics, tokens
-from plaudit.session import checkpoint_dir
+from plaudit.session import materialize
 
 SHINGLE = 3
 BANDS = 8
 ROWS_PER_BAND = 4
-MAX_ROUNDS = 40
 
 
 def band_edges(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str, shingle: int = SHINGLE,
                bands: int = BANDS, rows: int = ROWS_PER_BAND, seed: int = 42) -> DataFrame:
-    """(group, doc, bucket) edges: one per band of the document's MinHash signature."""
+    """(group, doc, bucket) edges: one per band of the document's MinHash signature.
+
+    The signature is ``bands * rows`` minima of seeded 64-bit hashes over the
+    document's word shingles: one hash aggregation (the partial aggregate
+    collapses each document inside its own task, so the shuffle carries one
+    row per document). Each band's minima hash to one bucket id."""
     g = list(group_cols)
     toks = df.select(*g, doc_col, tokens(clean_for_topics(F.col(text_col))).alias("_tok"))
     grams = NGram(n=shingle, inputCol="_tok", outputCol="_sh").transform(toks)
     # texts shorter than one shingle: their tokens are the shingles; texts
     # without any token have no signature and end up as outliers
-    grams = (grams.select(*g, doc_col, F.concat("_sh", F.when(F.size("_sh") == 0, F.col("_tok"))
-                                                .otherwise(F.array().cast("array<string>"))).alias("_sh"))
-             .filter(F.size("_sh") > 0))
-    feats = HashingTF(inputCol="_sh", outputCol="_f", numFeatures=1 << 20, binary=True).transform(grams)
-    mh = MinHashLSH(inputCol="_f", outputCol="_h", numHashTables=bands * rows, seed=seed).fit(feats)
-    # each hash table yields a one-element vector: position i, value v
-    flat = mh.transform(feats).select(*g, doc_col, F.posexplode("_h").alias("_i", "_v"))
-    flat = flat.select(*g, doc_col, (F.col("_i") / rows).cast("int").alias("band"),
-                       vector_to_array("_v")[0].alias("_hv"), "_i")
-    return (flat.groupBy(*g, doc_col, "band")
-            .agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("_i", "_hv")))).alias("_key"))
-            .select(*g, doc_col, F.xxhash64("band", "_key").alias("bucket")))
+    sh = grams.select(*g, doc_col, F.explode(F.when(F.size("_sh") > 0, F.col("_sh")).otherwise(F.col("_tok")))
+                      .alias("_s"))
+    n = bands * rows
+    mins = sh.groupBy(*g, doc_col).agg(*[F.min(F.xxhash64("_s", F.lit(seed * 1000 + i))).alias(f"_m{i}")
+                                         for i in range(n)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"_m{b * rows + j}") for j in range(rows)]) for b in range(bands)])
+    return mins.select(*g, doc_col, F.explode(keys).alias("bucket"))
 
 
 def connected_components(edges: DataFrame, group_cols: Sequence[str], doc_col: str,
-                         max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                         max_rounds: int | None = None) -> DataFrame:
     """Component label = smallest doc id reachable through shared buckets.
 
     Each round: bucket label = min over its docs; doc label = min over its
-    buckets. Labels are checkpointed (reliable, shared folder) every round so
-    the plan stays one round deep and a lost executor recomputes one round."""
-    checkpoint_dir(edges.sparkSession)
+    buckets. Each round's labels are written to the shared checkpoint folder
+    (``materialize``), so the plan stays one round deep and a lost executor
+    costs at most one round. Runs to convergence (labels only decrease, so it
+    ends within the graph's diameter); a given ``max_rounds`` that is reached
+    before convergence raises rather than returning split components."""
     g = list(group_cols)
-    edges = edges.select(*g, doc_col, "bucket").checkpoint()
-    labels = edges.select(*g, doc_col).distinct().withColumn("label", F.col(doc_col)).checkpoint()
-    for _ in range(max_rounds):
+    edges = materialize(edges.select(*g, doc_col, "bucket"))
+    labels = materialize(edges.select(*g, doc_col).distinct().withColumn("label", F.col(doc_col)))
+    rounds = 0
+    while True:
+        rounds += 1
         bucket_min = edges.join(labels, [*g, doc_col]).groupBy(*g, "bucket").agg(F.min("label").alias("bl"))
         new = (edges.join(bucket_min, [*g, "bucket"]).groupBy(*g, doc_col).agg(F.min("bl").alias("nl"))
                .join(labels, [*g, doc_col])
                .select(*g, doc_col, F.least("label", "nl").alias("label"),
-                       (F.col("nl") < F.col("label")).alias("_changed"))
-               .checkpoint())
+                       (F.col("nl") < F.col("label")).alias("_changed")))
+        new = materialize(new)
         changed = new.filter("_changed").limit(1).count()
         labels = new.drop("_changed")
         if changed == 0:
             break
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
     return labels
 
 
