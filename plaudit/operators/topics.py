@@ -117,7 +117,8 @@ def representative_docs(docs: DataFrame, terms: DataFrame, tfidf: DataFrame, gro
                         doc_col: str, n: int = TOPIC_DOCS_N) -> DataFrame:
     """M7: per topic the n documents whose tf*idf vector is closest (cosine) to
     the topic's c-TF-IDF vector; all documents of the topic are ranked.
-    Returns group, topic_id, rank, doc_id, doc_text, cosine."""
+    ``docs`` needs only (group, topic_id, doc); no text is read here.
+    Returns group, topic_id, rank, doc_id, cosine."""
     g = list(group_cols)
     tv = tfidf.filter(F.col("topic_id") != -1)
     tnorm = tv.groupBy(*g, "topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tnorm"))
@@ -126,7 +127,7 @@ def representative_docs(docs: DataFrame, terms: DataFrame, tfidf: DataFrame, gro
     dnorm = dt.groupBy(*g, "topic_id", doc_col).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dnorm"))
     dot = (dt.join(tv.select(*g, "topic_id", "word", "weight"), [*g, "topic_id", "word"])
            .groupBy(*g, "topic_id", doc_col).agg(F.sum(F.col("dw") * F.col("weight")).alias("dot")))
-    cand = (docs.filter(F.col("topic_id") != -1).select(*g, "topic_id", doc_col, "doc_text")
+    cand = (docs.filter(F.col("topic_id") != -1).select(*g, "topic_id", doc_col)
             .join(dnorm, [*g, "topic_id", doc_col], "left")
             .join(dot, [*g, "topic_id", doc_col], "left")
             .join(tnorm, [*g, "topic_id"], "left"))
@@ -135,7 +136,15 @@ def representative_docs(docs: DataFrame, terms: DataFrame, tfidf: DataFrame, gro
     cand = cand.withColumn("cosine", F.bround(F.coalesce(cos, F.lit(0.0)), COSINE_DIGITS))
     w = Window.partitionBy(*g, "topic_id").orderBy(F.col("cosine").desc(), F.col(doc_col))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-            .select(*g, "topic_id", "rank", doc_col, "doc_text", "cosine"))
+            .select(*g, "topic_id", "rank", doc_col, "cosine"))
+
+
+def with_doc_text(rep: DataFrame, source: DataFrame, group_cols: Sequence[str], doc_col: str,
+                  text_col: str) -> DataFrame:
+    """Attach the topic-cleaned text to the few ranked documents only."""
+    g = list(group_cols)
+    src = source.select(*g, doc_col, F.col(text_col).alias("_raw"))
+    return rep.join(src, [*g, doc_col]).withColumn("doc_text", clean_for_topics(F.col("_raw"))).drop("_raw")
 
 
 def topic_summary(rep: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -165,26 +174,62 @@ def word_tooltips(words: DataFrame, tmap: DataFrame, group_cols: Sequence[str])
     return j.select(*g, "topic_id", "word", "value", tip.alias("tooltip"))
 
 
+class TopicChain:
+    """The description chain, built lazily: each piece is planned on first use.
+
+    The two tables several later steps read, document-term counts and class
+    TF-IDF, are materialised once (``plaudit.session.materialize``); the
+    documents themselves are not copied (re-deriving the cleaned text is as
+    cheap as re-reading a copy of it)."""
+
+    def __init__(self, df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
+                 label_col: str = "topic_label", stopwords: Sequence[str] = (),
+                 tokenizer: Callable[[Column], Column] | None = None, materialize_as: str | None = "table"):
+        self.df, self.g, self.doc_col, self.text_col = df, list(group_cols), doc_col, text_col
+        self.label_col, self.stopwords, self.tokenizer, self.how = label_col, stopwords, tokenizer, materialize_as
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = getattr(self, f"_{name}")()
+        return self._built[name]
+
+    def _info(self):
+        return topic_info(self.df.select(*self.g, self.label_col), self.g, self.label_col)
+
+    def _docs(self):
+        return topic_docs(self.df, self.g, self.doc_col, self.text_col, self["info"], self.label_col)
+
+    def _terms(self):
+        return materialize(doc_terms(self["docs"], self.g, self.doc_col, self.stopwords, self.tokenizer), self.how)
+
+    def _tfidf(self):
+        return materialize(class_tfidf(self["terms"], self.g), self.how)
+
+    def _words(self):
+        return topic_words(self["tfidf"], self.g)
+
+    def _keywords(self):
+        return topic_keywords(self["words"], self.g)
+
+    def _representative(self):
+        return representative_docs(self["docs"], self["terms"], self["tfidf"], self.g, self.doc_col)
+
+    def _summary(self):
+        rep = with_doc_text(self["representative"], self.df, self.g, self.doc_col, self.text_col)
+        return topic_summary(rep, self.g)
+
+    def _topic_map(self):
+        return topic_map(self["keywords"], self["summary"], self.g)
+
+    def _tooltips(self):
+        return word_tooltips(self["words"], self["topic_map"], self.g)
+
+
 def describe_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
                     label_col: str = "topic_label", stopwords: Sequence[str] = (),
                     tokenizer: Callable[[Column], Column] | None = None,
-                    materialize_as: str | None = "table") -> dict[str, DataFrame]:
-    """The whole description chain; returns every intermediate by name.
-
-    The three tables every later step reads (documents with their topic,
-    document-term counts, class TF-IDF) are materialised once
-    (``plaudit.session.materialize``), so the scan, join and tokeniser run
-    once instead of once per branch."""
-    g = list(group_cols)
-    info = topic_info(df.select(*g, label_col), g, label_col)
-    docs = materialize(topic_docs(df, g, doc_col, text_col, info, label_col), materialize_as)
-    terms = materialize(doc_terms(docs, g, doc_col, stopwords, tokenizer), materialize_as)
-    tfidf = materialize(class_tfidf(terms, g), materialize_as)
-    words = topic_words(tfidf, g)
-    kws = topic_keywords(words, g)
-    rep = representative_docs(docs, terms, tfidf, g, doc_col)
-    summ = topic_summary(rep, g)
-    tmap = topic_map(kws, summ, g)
-    return {"info": info, "docs": docs, "terms": terms, "tfidf": tfidf, "words": words, "keywords": kws,
-            "representative": rep, "summary": summ, "topic_map": tmap,
-            "tooltips": word_tooltips(words, tmap, g)}
+                    materialize_as: str | None = "table") -> TopicChain:
+    """The whole description chain; index the result by name (info, docs,
+    terms, tfidf, words, keywords, representative, summary, topic_map, tooltips)."""
+    return TopicChain(df, group_cols, doc_col, text_col, label_col, stopwords, tokenizer, materialize_as)

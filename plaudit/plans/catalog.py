@@ -360,7 +360,9 @@ def _parts(spark, sf):
 @register("dashboard")
 def q_dashboard(spark, sf):
     from plaudit.plans.dashboard import dashboard
-    return dashboard(S.v_app_info(spark, sf), S.v_app_summary(spark, sf), _parts(spark, sf))
+    # the dashboard reads only the score and the counts: no full analysis bundle
+    parts = {"score": q_recommend_score(spark, sf), "counts": M.polarity_counts(S.v_reviews(spark, sf))}
+    return dashboard(S.v_app_info(spark, sf), S.v_app_summary(spark, sf), parts)
 
 
 @register("export_timeseries_json")

@@ -25,7 +25,7 @@ def review_topic_input(reviews: DataFrame) -> DataFrame:
     return S.v_review_topics(reviews).withColumn("polarity", polarity())
 
 
-def review_topics(reviews: DataFrame, only_polarity: str | None = None) -> dict[str, DataFrame]:
+def review_topics(reviews: DataFrame, only_polarity: str | None = None) -> TP.TopicChain:
     """Topic chain per (app, polarity). Groups are independent, so asking for
     one polarity filters the reviews first and does half the work."""
     src = review_topic_input(reviews)
@@ -38,6 +38,6 @@ def review_topic_map(reviews: DataFrame, only_polarity: str | None = None) -> Da
     return review_topics(reviews, only_polarity)["topic_map"]
 
 
-def document_topics(spark, sf: str) -> dict[str, DataFrame]:
+def document_topics(spark, sf: str) -> TP.TopicChain:
     d = S.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("topic_label"))
     return TP.describe_topics(d, [], "doc_id", "text", "topic_label", DOMAIN_STOPWORDS)
