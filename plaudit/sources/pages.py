@@ -110,36 +110,44 @@ def valid_page_prefix(pages: DataFrame, json_col: str = "json", page_col: str =
     A running count over the app's pages replaces the sequential loop."""
     p = parse_pages(pages, json_col)
     w = Window.partitionBy("appid").orderBy(page_col)
+    # first the page budget: a group-limited top-k, so an app with very many
+    # landed pages still sends at most max_pages rows per map task
+    first = p.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max_pages)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     bad = ((F.coalesce(F.col("page.success"), F.lit(0)) != 1) | F.col("page.reviews").isNull()).cast("int")
     no_cursor = (F.col("page.cursor").isNull() | (F.col("page.cursor") == "")).cast("int")
-    marked = p.select(
+    marked = first.select(
         "appid", page_col, "page",
-        F.row_number().over(w).alias("_rank"),
         F.sum(bad).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_bad_upto"),
         F.coalesce(F.sum(no_cursor).over(before), F.lit(0)).alias("_end_before"))
-    ok = marked.filter((F.col("_rank") <= max_pages) & (F.col("_bad_upto") == 0) & (F.col("_end_before") == 0))
+    ok = marked.filter((F.col("_bad_upto") == 0) & (F.col("_end_before") == 0))
     exploded = ok.select("appid", page_col, F.posexplode("page.reviews").alias("review_pos", "r"))
     return exploded.select(*_review_row(F.col("r"), F.col("appid")), page_col, "review_pos")
 
 
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), PAT_SPLIT), lambda x: F.length(x) > 0))
+
+
 def resolve_app(terms: DataFrame, apps: DataFrame, term_col: str = "term") -> DataFrame:
     """A5: first app whose name contains every word of the search term.
 
-    An equi-join on words (no theta join): term words x name words, then keep
-    apps that matched all of the term's words; first hit by (name length,
-    appid). Terms without a hit return a null appid."""
-    split = PAT_SPLIT
+    Candidates come from one equi-join on the term's *rarest* word (fewest
+    apps carry it), then the other words are checked by array containment;
+    so a common word never pairs a term with every app that uses it. First
+    hit by (name length, appid); terms without a hit return a null appid."""
     t = terms.select(term_col).distinct()
-    tw = (t.select(term_col, F.explode(F.array_distinct(
-        F.filter(F.split(F.lower(F.col(term_col)), split), lambda x: F.length(x) > 0))).alias("word"))
-          .withColumn("n_words", F.count(F.lit(1)).over(Window.partitionBy(term_col))))
-    aw = apps.select("appid", "name", F.explode(F.array_distinct(
-        F.filter(F.split(F.lower(F.col("name")), split), lambda x: F.length(x) > 0))).alias("word"))
-    hits = (tw.join(aw, "word")
-            .groupBy(term_col, "appid", "name", "n_words")
-            .agg(F.count(F.lit(1)).alias("n_hit"))
-            .filter(F.col("n_hit") == F.col("n_words")))
+    a = apps.select("appid", "name", _words(F.col("name")).alias("_nw"))
+    app_freq = a.select(F.explode("_nw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+    tw = t.select(term_col, _words(F.col(term_col)).alias("_tw"))
+    per_word = tw.select(term_col, "_tw", F.explode("_tw").alias("word")).join(app_freq, "word")
+    # a term with a word no app carries has no hit (inner join drops it here)
+    n_known = per_word.groupBy(term_col).agg(F.count(F.lit(1)).alias("_k"),
+                                             F.min_by("word", F.struct("_df", "word")).alias("word"),
+                                             F.first("_tw").alias("_tw"))
+    rare = n_known.filter(F.col("_k") == F.size("_tw"))
+    cand = rare.join(a.select("appid", "name", "_nw", F.explode("_nw").alias("word")), "word")
+    hits = cand.filter(F.size(F.array_except("_tw", "_nw")) == 0)
     w = Window.partitionBy(term_col).orderBy(F.length("name"), "appid")
     best = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
     return t.join(best.select(term_col, "appid", "name"), term_col, "left")
