@@ -105,7 +105,11 @@ def spread(df):
     tasks. An input with enough file splits already (any large table) is
     returned unchanged, so this adds a shuffle only for small, unsplittable
     files (e.g. one row group)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
+        return df
+    if have >= want:
         return df
     return df.repartition(want)

@@ -29,31 +29,35 @@ from plaudit.sources.tables import SUMMARY_COLS, upsert_summary
 DAILY_KEYS = ["appid", "day"]
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+def _latest_committed(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """Highest committed version (optionally below a batch id), from the commit log."""
+    try:
+        log = spark.read.parquet(os.path.join(path, "_commits"))
+    except Exception:  # noqa: BLE001 - no commit yet: the log does not exist
+        return None
+    if below is not None:
+        log = log.filter(F.col("version") < below)
+    return log.agg(F.max("version").alias("v")).first().v
+
+
+def _read_version(spark: SparkSession, path: str, version: int | None, schema: T.StructType) -> DataFrame:
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(os.path.join(path, f"v={version}"))
 
 
 def latest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest complete version of a versioned table (empty if none)."""
-    vs = _versions(spark, path)
-    if not vs:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(os.path.join(path, f"v={vs[-1]}"))
+    """The newest committed version of a versioned table (empty if none)."""
+    return _read_version(spark, path, _latest_committed(spark, path), schema)
 
 
 def _write_version(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write version ``batch_id``, then record it in the commit log. A crash
+    between the two leaves the version uncommitted; the replayed batch
+    rewrites it and commits (a repeated log row is harmless)."""
+    spark = df.sparkSession
     df.write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id}"))
+    spark.createDataFrame([(batch_id,)], "version long").write.mode("append").parquet(os.path.join(path, "_commits"))
 
 
 DAILY_SCHEMA = T.StructType([
@@ -80,9 +84,7 @@ def upsert_days(spark: SparkSession, table_path: str):
     """foreachBatch function: replace the changed (app, day) rows."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prev = [v for v in _versions(spark, table_path) if v < batch_id]
-        old = (spark.read.schema(DAILY_SCHEMA).parquet(os.path.join(table_path, f"v={prev[-1]}"))
-               if prev else spark.createDataFrame([], DAILY_SCHEMA))
+        old = _read_version(spark, table_path, _latest_committed(spark, table_path, below=batch_id), DAILY_SCHEMA)
         changed = batch.select(*DAILY_SCHEMA.names)
         merged = old.join(changed.select(*DAILY_KEYS), DAILY_KEYS, "left_anti").unionByName(changed)
         _write_version(merged, table_path, batch_id)
@@ -124,11 +126,11 @@ def upsert_summaries(spark: SparkSession, table_path: str, initial: DataFrame |
     ``initial``) upserted with the batch by A11."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prev = [v for v in _versions(spark, table_path) if v < batch_id]
-        if prev:
-            old = spark.read.schema(SUMMARY_SCHEMA).parquet(os.path.join(table_path, f"v={prev[-1]}"))
+        prev = _latest_committed(spark, table_path, below=batch_id)
+        if prev is not None or initial is None:
+            old = _read_version(spark, table_path, prev, SUMMARY_SCHEMA)
         else:
-            old = initial.select(*SUMMARY_COLS) if initial is not None else spark.createDataFrame([], SUMMARY_SCHEMA)
+            old = initial.select(*SUMMARY_COLS)
         _write_version(upsert_summary(old, batch), table_path, batch_id)
 
     return run
