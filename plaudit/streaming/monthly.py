@@ -94,10 +94,15 @@ def upsert_days(spark: SparkSession, table_path: str):
 
 def start_monthly_counts(spark: SparkSession, source_path: str, schema: T.StructType, table_path: str,
                          name: str = "monthly_counts", ts_col: str = "ts", watermark: str = "30 days",
-                         available_now: bool = True):
-    """Start the stream; returns the StreamingQuery."""
+                         available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the stream; returns the StreamingQuery. Rows older than the
+    watermark (latest event time seen minus ``watermark``) arriving in a later
+    micro-batch are dropped by the windowed aggregation."""
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    stream = spark.readStream.schema(schema).parquet(source_path)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_path)
     q = (daily_counts_stream(stream, ts_col, watermark).writeStream
          .outputMode("update")
          .option("checkpointLocation", ckpt)

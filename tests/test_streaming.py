@@ -44,3 +44,23 @@ def test_streaming_summary_upsert(spark, tmp_dir):
     got = {r.appid: r for r in ST.latest_version(spark, table, ST.SUMMARY_SCHEMA).collect()}
     assert (got[1].total_positive, got[1].review_score_desc) == (5, "无评分")
     assert got[2].total_negative == 2
+
+
+def test_streaming_drops_rows_behind_the_watermark(spark, tmp_dir):
+    d = dt.datetime
+    files = [
+        [(1, True, d(2024, 1, 1))],
+        [(1, True, d(2024, 6, 1))],     # watermark moves to 2024-05-02
+        [(1, False, d(2024, 6, 2))],    # one batch in between, on time
+        [(1, False, d(2024, 1, 5))],    # far behind the watermark: dropped
+    ]
+    src = os.path.join(tmp_dir, "src")
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    table = os.path.join(tmp_dir, "daily")
+    q = ST.start_monthly_counts(spark, src, SCHEMA, table, name=f"late-{os.path.basename(tmp_dir)}",
+                                max_files_per_trigger=1)
+    q.awaitTermination()
+    got = {r.month: (r.positive, r.negative) for r in ST.monthly_from_daily(spark, table).collect()}
+    assert got["2024-01"] == (1, 0)          # the late negative row is not counted
+    assert got["2024-06"] == (1, 1)
