@@ -22,6 +22,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plaudit.constants import PAT_SPLIT
 from plaudit.constants import (KEYWORD_SEP, NO_SUMMARY, NO_TOPIC_TOOLTIP, SUMMARY_CUT, SUMMARY_SEP,
                                TOPIC_DOCS_N, TOPIC_KEYWORDS_N, TOPIC_WORDS_N)
 from plaudit.functions.text import clean_for_topics, cut_summary, token_rows
@@ -54,13 +55,22 @@ def topic_docs(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col:
 
 
 def doc_terms(docs: DataFrame, group_cols: Sequence[str], doc_col: str, stopwords: Sequence[str] = (),
-              tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Per document and word: term count ``tf`` (blank tokens never appear).
+              tokenizer: Callable[[Column], Column] | None = None, blank_tokens: bool = False) -> DataFrame:
+    """Per document and word: term count ``tf``.
 
     The built-in tokeniser emits token rows directly; a custom ``tokenizer``
-    (Column -> array<string>, e.g. a ``pandas_udf`` segmenter) is exploded."""
+    (Column -> array<string>, e.g. a ``pandas_udf`` segmenter) is exploded.
+    Blank tokens never appear unless ``blank_tokens``: then each run of
+    blanks between words counts as the pseudo-word " ", as a segmenter that
+    keeps blanks would report (it competes in the rankings and is dropped
+    after the cut, reproducing 6 keywords / 19 words)."""
     g = list(group_cols)
     keep = [*g, "topic_id", doc_col]
+    if blank_tokens:
+        runs = F.size(F.split(F.col("doc_text"), PAT_SPLIT)) - 1
+        blanks = (docs.select(*keep, F.lit(" ").alias("word"), F.when(F.length("doc_text") > 0, runs)
+                              .otherwise(F.lit(0)).cast("bigint").alias("tf")).filter(F.col("tf") > 0))
+        return doc_terms(docs, g, doc_col, stopwords, tokenizer).unionByName(blanks)
     if tokenizer is None:
         rows = token_rows(docs, F.col("doc_text"), "word", keep, stopwords)
     else:
@@ -97,7 +107,8 @@ def topic_words(tfidf: DataFrame, group_cols: Sequence[str], n: int = TOPIC_WORD
     w = Window.partitionBy(*g, "topic_id").orderBy(F.col("weight").desc(), F.col("word"))
     top = (tfidf.filter((F.col("topic_id") != -1) & (F.col("weight") > 0))
            .withColumn("rank", F.row_number().over(w))
-           .filter(F.col("rank") <= n))
+           .filter(F.col("rank") <= n)
+           .filter(F.length(F.trim("word")) > 0))  # blanks (if kept) drop after the cut
     return top.select(*g, "topic_id", "rank", "word", "weight",
                       F.greatest((F.col("weight") * 1000).cast("int"), F.lit(1)).alias("value"))
 
@@ -184,9 +195,11 @@ class TopicChain:
 
     def __init__(self, df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
                  label_col: str = "topic_label", stopwords: Sequence[str] = (),
-                 tokenizer: Callable[[Column], Column] | None = None, materialize_as: str | None = "table"):
+                 tokenizer: Callable[[Column], Column] | None = None, materialize_as: str | None = "table",
+                 blank_tokens: bool = False):
         self.df, self.g, self.doc_col, self.text_col = df, list(group_cols), doc_col, text_col
         self.label_col, self.stopwords, self.tokenizer, self.how = label_col, stopwords, tokenizer, materialize_as
+        self.blank_tokens = blank_tokens
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -201,7 +214,8 @@ class TopicChain:
         return topic_docs(self.df, self.g, self.doc_col, self.text_col, self["info"], self.label_col)
 
     def _terms(self):
-        return materialize(doc_terms(self["docs"], self.g, self.doc_col, self.stopwords, self.tokenizer), self.how)
+        return materialize(doc_terms(self["docs"], self.g, self.doc_col, self.stopwords, self.tokenizer,
+                                     self.blank_tokens), self.how)
 
     def _tfidf(self):
         return materialize(class_tfidf(self["terms"], self.g), self.how)
@@ -229,7 +243,8 @@ class TopicChain:
 def describe_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
                     label_col: str = "topic_label", stopwords: Sequence[str] = (),
                     tokenizer: Callable[[Column], Column] | None = None,
-                    materialize_as: str | None = "table") -> TopicChain:
+                    materialize_as: str | None = "table", blank_tokens: bool = False) -> TopicChain:
     """The whole description chain; index the result by name (info, docs,
     terms, tfidf, words, keywords, representative, summary, topic_map, tooltips)."""
-    return TopicChain(df, group_cols, doc_col, text_col, label_col, stopwords, tokenizer, materialize_as)
+    return TopicChain(df, group_cols, doc_col, text_col, label_col, stopwords, tokenizer, materialize_as,
+                      blank_tokens)

@@ -77,3 +77,19 @@ def test_planted_clusters(spark):
     assert {got[d] for d in range(6, 11)} == {1}
     assert {got[d] for d in range(11, 15)} == {-1}
     assert all(got[100 + j] == -1 for j in range(5))
+
+
+def test_topic_chain_blank_tokens_flag(spark):
+    from plaudit.operators.topics import describe_topics
+    texts = ["a b c d e f g h i", "b c d e f g h i j", "c d e f g h i j k", "alpha beta gamma delta epsilon"]
+    df = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, topic_label string, text string") \
+        .withColumn("g", F.lit(1))
+    # two labels so the blank pseudo-word has a finite idf and competes in the ranking
+    df = df.withColumn("topic_label", F.when(F.col("doc_id") < 3, "x").otherwise("y"))
+    plain = describe_topics(df, ["g"], "doc_id", "text")
+    blank = describe_topics(df, ["g"], "doc_id", "text", blank_tokens=True)
+    kw_plain = {r.topic_id: r.keywords.split("、") for r in plain["keywords"].collect()}
+    kw_blank = {r.topic_id: r.keywords.split("、") for r in blank["keywords"].collect()}
+    assert len(kw_plain[0]) == 7
+    assert len(kw_blank[0]) == 6 and " " not in kw_blank[0]
+    assert blank["words"].filter("trim(word) = ''").count() == 0
