@@ -82,36 +82,51 @@ def suggestion(score: Column, opt: Column, value: Column, refund: Column, flaw:
                     note(F.coalesce(flaw, F.lit(False)), NOTE_FLAW))
 
 
-def recommend_score(reviews: DataFrame, app_info: DataFrame, app_summary: DataFrame,
-                    flaws: DataFrame | None = None) -> DataFrame:
-    """G10 + G11 for every app in ``app_info`` or ``reviews``.
-
-    Apps without reviews get the neutral score and its fixed message.
-    ``flaws`` is the output of ``critical_flaws`` (optional).
-    """
+def score_inputs(reviews: DataFrame, app_info: DataFrame, app_summary: DataFrame) -> DataFrame:
+    """Per app (in ``app_info`` or ``reviews``): penalties, base and final score.
+    One row per app; everything G10/G11 needs except the flaw flag."""
     stats = review_stats(reviews)
     apps = (app_info.select("appid", "price")
             .join(stats, "appid", "full_outer")
             .join(app_summary.select("appid", "review_score_desc"), "appid", "left"))
-    if flaws is not None:
-        apps = apps.join(flaws.select("appid", "flaw_detected"), "appid", "left")
-    else:
-        apps = apps.withColumn("flaw_detected", F.lit(False))
     apps = apps.withColumns(penalty_columns(F.col("price")))
     base = base_score("review_score_desc")
     total = F.col("opt_penalty") + F.col("value_penalty") + F.col("refund_penalty")
-    raw = base.cast("double") - total
-    final = F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)).cast("int")
-    has_reviews = F.coalesce(F.col("n_reviews"), F.lit(0)) > 0
-    apps = apps.withColumn("final_score", final)
-    score = F.when(has_reviews, F.col("final_score")).otherwise(F.lit(NEUTRAL_SCORE))
-    text = F.when(has_reviews, suggestion(F.col("final_score"), F.col("opt_penalty"), F.col("value_penalty"),
-                                          F.col("refund_penalty"), F.col("flaw_detected"))
+    final = F.least(F.greatest(base.cast("double") - total, F.lit(0.0)), F.lit(100.0)).cast("int")
+    return apps.withColumns({"base": base, "final_score": final,
+                             "has_reviews": F.coalesce(F.col("n_reviews"), F.lit(0)) > 0})
+
+
+def flaw_candidates(inputs: DataFrame) -> DataFrame:
+    """Apps whose suggestion a flaw keyword can change (reviews, final < 75);
+    topics are only needed for these."""
+    return inputs.filter(F.col("has_reviews") & (F.col("final_score") < NOTE_MAX_SCORE)).select("appid")
+
+
+def finish_score(inputs: DataFrame, flaws: DataFrame | None = None) -> DataFrame:
+    """G10 + G11 output from ``score_inputs`` and optional ``critical_flaws``."""
+    if flaws is not None:
+        inputs = inputs.join(flaws.select("appid", "flaw_detected"), "appid", "left")
+    else:
+        inputs = inputs.withColumn("flaw_detected", F.lit(False))
+    has = F.col("has_reviews")
+    score = F.when(has, F.col("final_score")).otherwise(F.lit(NEUTRAL_SCORE))
+    text = F.when(has, suggestion(F.col("final_score"), F.col("opt_penalty"), F.col("value_penalty"),
+                                  F.col("refund_penalty"), F.col("flaw_detected"))
                   ).otherwise(F.lit(SUGGEST_NO_REVIEWS))
-    return apps.select(
+    return inputs.select(
         "appid",
-        F.when(has_reviews, base).otherwise(F.lit(None).cast("int")).alias("base_score"),
+        F.when(has, F.col("base")).otherwise(F.lit(None).cast("int")).alias("base_score"),
         score.alias("score"),
         score_class(score).alias("score_class"),
         text.alias("suggestion"),
     )
+
+
+def recommend_score(reviews: DataFrame, app_info: DataFrame, app_summary: DataFrame,
+                    flaws: DataFrame | None = None) -> DataFrame:
+    """G10 + G11 for every app in ``app_info`` or ``reviews``.
+
+    Apps without reviews get the neutral score and its fixed message.
+    ``flaws`` is the output of ``critical_flaws`` (optional)."""
+    return finish_score(score_inputs(reviews, app_info, app_summary), flaws)

@@ -39,8 +39,11 @@ def register(name: str):
 def q_recommend_score(spark, sf):
     from plaudit.plans.topics_plan import review_topic_map
     reviews = S.v_reviews(spark, sf)
-    flaws = SC.critical_flaws(review_topic_map(reviews, only_polarity="positive"), polarity="positive")
-    return SC.recommend_score(reviews, S.v_app_info(spark, sf), S.v_app_summary(spark, sf), flaws)
+    inputs = SC.score_inputs(reviews, S.v_app_info(spark, sf), S.v_app_summary(spark, sf))
+    # topics only for apps whose suggestion a flaw keyword can change
+    candidates = reviews.join(SC.flaw_candidates(inputs), "appid", "left_semi")
+    flaws = SC.critical_flaws(review_topic_map(candidates, only_polarity="positive"), polarity="positive")
+    return SC.finish_score(inputs, flaws)
 
 
 @register("penalties")
