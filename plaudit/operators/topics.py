@@ -133,14 +133,15 @@ def representative_docs(docs: DataFrame, terms: DataFrame, tfidf: DataFrame, gro
     g = list(group_cols)
     tv = tfidf.filter(F.col("topic_id") != -1)
     tnorm = tv.groupBy(*g, "topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tnorm"))
-    idf = tfidf.select(*g, "word", "idf").dropDuplicates([*g, "word"])
-    dt = terms.filter(F.col("topic_id") != -1).join(idf, [*g, "word"]).withColumn("dw", F.col("tf") * F.col("idf"))
-    dnorm = dt.groupBy(*g, "topic_id", doc_col).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dnorm"))
-    dot = (dt.join(tv.select(*g, "topic_id", "word", "weight"), [*g, "topic_id", "word"])
-           .groupBy(*g, "topic_id", doc_col).agg(F.sum(F.col("dw") * F.col("weight")).alias("dot")))
+    # every word of a document of topic t has a TF-IDF row for t (it was counted
+    # there), which carries both idf and the topic weight: one join, one aggregation
+    dw = F.col("tf") * F.col("idf")
+    per_doc = (terms.filter(F.col("topic_id") != -1)
+               .join(tv.select(*g, "topic_id", "word", "idf", "weight"), [*g, "topic_id", "word"])
+               .groupBy(*g, "topic_id", doc_col)
+               .agg(F.sqrt(F.sum(dw * dw)).alias("dnorm"), F.sum(dw * F.col("weight")).alias("dot")))
     cand = (docs.filter(F.col("topic_id") != -1).select(*g, "topic_id", doc_col)
-            .join(dnorm, [*g, "topic_id", doc_col], "left")
-            .join(dot, [*g, "topic_id", doc_col], "left")
+            .join(per_doc, [*g, "topic_id", doc_col], "left")
             .join(tnorm, [*g, "topic_id"], "left"))
     cos = F.when((F.col("dnorm") > 0) & (F.col("tnorm") > 0),
                  F.col("dot") / (F.col("dnorm") * F.col("tnorm"))).otherwise(F.lit(0.0))
