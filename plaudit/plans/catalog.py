@@ -187,14 +187,14 @@ def q_tokens_filtered(spark, sf):
 
 # ---- 7.2 step 5: topics -------------------------------------------------------
 
-def _rt(spark, sf):
+def _rt(spark, sf, materialize_as="table"):
     from plaudit.plans.topics_plan import review_topics
-    return review_topics(S.v_reviews(spark, sf))
+    return review_topics(S.v_reviews(spark, sf), materialize_as=materialize_as)
 
 
 @register("topic_info")
 def q_topic_info(spark, sf):
-    return _rt(spark, sf)["info"].filter(F.col("topic_id") != -1)
+    return _rt(spark, sf, None)["info"].filter(F.col("topic_id") != -1)
 
 
 @register("class_tfidf")
@@ -206,13 +206,14 @@ def q_class_tfidf(spark, sf):
 
 @register("topic_words")
 def q_topic_words(spark, sf):
-    w = _rt(spark, sf)["words"]
+    # words read term counts and TF-IDF once: nothing worth materialising
+    w = _rt(spark, sf, None)["words"]
     return w.select("appid", "polarity", "topic_id", "rank", "word", "value", F.bround("weight", 9).alias("weight"))
 
 
 @register("topic_keywords")
 def q_topic_keywords(spark, sf):
-    return _rt(spark, sf)["keywords"]
+    return _rt(spark, sf, None)["keywords"]
 
 
 @register("representative_docs")

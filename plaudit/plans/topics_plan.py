@@ -25,13 +25,16 @@ def review_topic_input(reviews: DataFrame) -> DataFrame:
     return S.v_review_topics(reviews).withColumn("polarity", polarity())
 
 
-def review_topics(reviews: DataFrame, only_polarity: str | None = None) -> TP.TopicChain:
+def review_topics(reviews: DataFrame, only_polarity: str | None = None,
+                  materialize_as: str | None = "table") -> TP.TopicChain:
     """Topic chain per (app, polarity). Groups are independent, so asking for
-    one polarity filters the reviews first and does half the work."""
+    one polarity filters the reviews first and does half the work.
+    ``materialize_as=None`` suits callers that read each intermediate once."""
     src = review_topic_input(reviews)
     if only_polarity is not None:
         src = src.filter(F.col("polarity") == only_polarity)
-    return TP.describe_topics(src, REVIEW_GROUP, "review_id", "content", "topic_label", DOMAIN_STOPWORDS)
+    return TP.describe_topics(src, REVIEW_GROUP, "review_id", "content", "topic_label", DOMAIN_STOPWORDS,
+                              materialize_as=materialize_as)
 
 
 def review_topic_map(reviews: DataFrame, only_polarity: str | None = None) -> DataFrame:
