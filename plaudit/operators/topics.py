@@ -22,8 +22,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaudit.constants import PAT_SPLIT
-from plaudit.constants import (KEYWORD_SEP, NO_SUMMARY, NO_TOPIC_TOOLTIP, SUMMARY_CUT, SUMMARY_SEP,
+from plaudit.constants import (KEYWORD_SEP, NO_SUMMARY, NO_TOPIC_TOOLTIP, PAT_SPLIT, SUMMARY_CUT, SUMMARY_SEP,
                                TOPIC_DOCS_N, TOPIC_KEYWORDS_N, TOPIC_WORDS_N)
 from plaudit.functions.text import clean_for_topics, cut_summary, token_rows
 from plaudit.session import materialize

@@ -367,7 +367,6 @@ WHERE rn = 1""")
 # ---- keyword cloud (G14) and aspect scoring (M1) --------------------------------------
 
 from plaudit.operators.keywords import CLOUD_WORDS as _CLOUD  # noqa: E402
-from plaudit.functions.text import HAN_BIGRAMS as _HB  # noqa: E402
 
 
 def _kw_tokens_sql(e: str) -> str:

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plaudit.constants import PAT_SPLIT
 from plaudit.constants import (ANONYMOUS_AUTHOR, DEFAULT_AVATAR, FREE_PRICE, MAX_PAGES, NO_DESCRIPTION,
-                               PROFILE_NO_NAME, PROFILE_UNKNOWN, SAMPLE_PER_POLARITY, SCORE_COLUMNS, UNKNOWN)
+                               PAT_SPLIT, PROFILE_NO_NAME, PROFILE_UNKNOWN, SAMPLE_PER_POLARITY, UNKNOWN)
 
 AUTHOR = T.StructType([
     T.StructField("steamid", T.StringType()),
@@ -210,4 +209,4 @@ def union_pulls(positive: DataFrame, negative: DataFrame) -> DataFrame:
 
 __all__ = ["PAGE", "REVIEW_TABLE", "parse_pages", "flatten_reviews", "empty_reviews", "extract_summary",
            "valid_page_prefix", "resolve_app", "normalise_app_info", "enrich_app_metadata",
-           "enrich_profiles", "sample_by_polarity", "union_pulls", "SCORE_COLUMNS"]
+           "enrich_profiles", "sample_by_polarity", "union_pulls"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plaudit.constants import (ARTEFACT_KINDS, ARTEFACT_READ_FAILED, CACHE_HOURS, DOMAIN_STOPWORDS, NEUTRAL_SCORE,
-                               NO_RATING, PAT_STRIP, PLAYTIME_LABELS, RADAR_MAX, RADAR_NAMES)
+                               NO_RATING, PAT_STRIP, RADAR_MAX)
 
 # ---- A10: review table --------------------------------------------------------
 
@@ -228,5 +228,4 @@ def load_artefacts(apps: DataFrame, artefacts: DataFrame, polarity: str = "posit
 
 __all__ = ["write_reviews", "read_reviews", "upsert_summary", "fresh_apps", "plan_refresh", "plan_recompute",
            "load_stopwords", "remove_stopword_rows", "artefact_score", "artefact_radar", "artefact_playtime",
-           "artefact_timeseries", "artefact_topics", "export_artefacts", "read_artefacts", "load_artefacts",
-           "PLAYTIME_LABELS", "RADAR_NAMES"]
+           "artefact_timeseries", "artefact_topics", "export_artefacts", "read_artefacts", "load_artefacts"]
