@@ -380,5 +380,25 @@ def q_export_artefacts(spark, sf):
     return artefacts(_parts(spark, sf))
 
 
+# ---- streaming (S1) over the given tables ---------------------------------------
+
+@register("stream_monthly_counts")
+def q_stream_monthly_counts(spark, sf):
+    """S1 end to end: the review rows land as files in the shared folder, the
+    stream counts daily windows (availableNow) into a versioned daily table,
+    and months are rolled up from it; equal to ``monthly_counts``."""
+    import uuid
+
+    from plaudit.session import scratch_path
+    from plaudit.streaming.monthly import monthly_from_daily, start_monthly_counts
+    run = uuid.uuid4().hex
+    landed = scratch_path(spark, f"landed-{run}")
+    S.v_reviews(spark, sf).select("appid", "voted_up", "ts").write.parquet(landed)
+    schema = spark.read.parquet(landed).schema
+    table = scratch_path(spark, f"daily-{run}")
+    start_monthly_counts(spark, landed, schema, table, name=f"monthly-{run}").awaitTermination()
+    return monthly_from_daily(spark, table)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -435,3 +435,6 @@ ORACLE["export_timeseries_json"] = ORACLE["monthly_counts"].replace(
     "SELECT appid, 'timeseries' AS kind, to_json({'dates': list(month ORDER BY month), "
     "'positive_counts': list(positive ORDER BY month), 'negative_counts': list(negative ORDER BY month)}) AS json\n"
     "FROM (SELECT s.appid, strftime(s.month, '%Y-%m') AS month,", 1) + ") GROUP BY appid"
+
+# the stream's monthly roll-up equals the batch monthly counts
+ORACLE["stream_monthly_counts"] = ORACLE["monthly_counts"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,16 +68,30 @@ DAILY_SCHEMA = T.StructType([
 ])
 
 
+def event_time(df: DataFrame, ts_col: str) -> Column:
+    """An instant whose UTC reading is the event time, for any input type
+    (timestamp without zone, timestamp, epoch seconds). Day windows are
+    aligned to UTC midnight, so days never depend on the session time zone."""
+    dtype = dict(df.dtypes)[ts_col]
+    c = F.col(ts_col)
+    if dtype == "timestamp_ntz":
+        epoch = (F.unix_date(F.to_date(c)).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+                 + F.second(c))
+        return F.timestamp_seconds(epoch)
+    if dtype == "timestamp":
+        return c
+    return F.timestamp_seconds(F.coalesce(c, F.lit(0)))
+
+
 def daily_counts_stream(reviews: DataFrame, ts_col: str = "ts", watermark: str = "30 days") -> DataFrame:
-    """Watermarked daily window counts per (app, polarity) in one row per day."""
-    ts = F.col(ts_col).cast("timestamp")
+    """Watermarked daily window counts per app in one row per (app, day)."""
     pos = F.col("voted_up") == F.lit(True)
-    return (reviews.select("appid", ts.alias("_ts"), pos.alias("_pos"))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    return (reviews.select("appid", event_time(reviews, ts_col).alias("_ts"), pos.alias("_pos"))
             .withWatermark("_ts", watermark)
             .groupBy("appid", F.window("_ts", "1 day").alias("w"))
             .agg(F.count_if(F.col("_pos")).alias("positive"), F.count_if(~F.col("_pos")).alias("negative"))
-            .select(F.col("appid").cast("int").alias("appid"), F.to_date(F.col("w.start")).alias("day"),
-                    "positive", "negative"))
+            .select(F.col("appid").cast("int").alias("appid"), day.alias("day"), "positive", "negative"))
 
 
 def upsert_days(spark: SparkSession, table_path: str):
