@@ -304,17 +304,22 @@ def q_plan_recompute(spark, sf):
     return TB.plan_recompute(apps, _artefact_kinds(spark, sf).select("appid", "kind"))
 
 
-@register("upsert_summary")
-def q_upsert_summary(spark, sf):
+def _new_summaries(spark, sf):
+    """Summary rows a refresh would fetch: apps planned FETCH, counts recounted,
+    rating text as the store now returns it (translated)."""
     old = S.v_app_summary(spark, sf)
     fetched = _refresh(spark, sf).filter(F.col("action") == "FETCH").select("appid")
     counts = M.polarity_counts(S.v_reviews(spark, sf))
     rating = old.select("appid", R.translate_rating("review_score_desc").alias("review_score_desc"))
-    new = (fetched.join(counts, "appid", "left").join(rating, "appid", "left")
-           .select("appid", F.lit(S.SUMMARY_BASE_TIME).cast("timestamp_ntz").alias("last_updated"),
-                   F.col("positive_count").alias("total_positive"), F.col("negative_count").alias("total_negative"),
-                   "review_score_desc"))
-    return TB.upsert_summary(old, new)
+    return (fetched.join(counts, "appid", "left").join(rating, "appid", "left")
+            .select("appid", F.lit(S.SUMMARY_BASE_TIME).cast("timestamp_ntz").alias("last_updated"),
+                    F.col("positive_count").alias("total_positive"), F.col("negative_count").alias("total_negative"),
+                    "review_score_desc"))
+
+
+@register("upsert_summary")
+def q_upsert_summary(spark, sf):
+    return TB.upsert_summary(S.v_app_summary(spark, sf), _new_summaries(spark, sf))
 
 
 # ---- keyword cloud and aspect scoring ----------------------------------------
@@ -400,5 +405,23 @@ def q_stream_monthly_counts(spark, sf):
     return monthly_from_daily(spark, table)
 
 
+@register("stream_summary_upserts")
+def q_stream_summary_upserts(spark, sf):
+    """S2 end to end: refreshed summary rows land as files; the stream upserts
+    them into a versioned table that starts from the stored summaries."""
+    import uuid
+
+    from plaudit.session import scratch_path
+    from plaudit.streaming.monthly import SUMMARY_SCHEMA, latest_version, start_summary_upserts
+    run = uuid.uuid4().hex
+    landed = scratch_path(spark, f"summaries-{run}")
+    new = _new_summaries(spark, sf)
+    new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA]).write.parquet(landed)
+    table = scratch_path(spark, f"summary-table-{run}")
+    initial = S.v_app_summary(spark, sf)
+    start_summary_upserts(spark, landed, table, name=f"summaries-{run}", initial=initial).awaitTermination()
+    return latest_version(spark, table, SUMMARY_SCHEMA)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

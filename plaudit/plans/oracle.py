@@ -438,3 +438,6 @@ ORACLE["export_timeseries_json"] = ORACLE["monthly_counts"].replace(
 
 # the stream's monthly roll-up equals the batch monthly counts
 ORACLE["stream_monthly_counts"] = ORACLE["monthly_counts"]
+
+# the stream's final table equals the batch upsert
+ORACLE["stream_summary_upserts"] = ORACLE["upsert_summary"]
