@@ -93,3 +93,32 @@ def test_topic_chain_blank_tokens_flag(spark):
     assert len(kw_plain[0]) == 7
     assert len(kw_blank[0]) == 6 and " " not in kw_blank[0]
     assert blank["words"].filter("trim(word) = ''").count() == 0
+
+
+def test_connected_components_match_union_find(spark):
+    from conftest import SF_SMALL
+    from plaudit.operators.clusters import band_edges, connected_components
+    from plaudit.sources.standins import table
+
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    edges = band_edges(docs, ["lang"], "doc_id", "text")
+    got = {(r.lang, r.doc_id): r.label for r in connected_components(edges, ["lang"], "doc_id").collect()}
+    # brute force on the same (small) edge list
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in edges.collect():
+        a, b = find(("doc", r.lang, r.doc_id)), find(("bucket", r.lang, r.bucket))
+        if a != b:
+            parent[a] = b
+    comp = {}
+    for (lang, doc) in got:
+        comp.setdefault(find(("doc", lang, doc)), []).append((lang, doc))
+    want = {m: min(d for _, d in members) for members in comp.values() for m in members}
+    assert got == want
+    assert sum(1 for members in comp.values() if len(members) > 1) >= 1
