@@ -379,6 +379,21 @@ def q_export_timeseries_json(spark, sf):
     return TB.artefact_timeseries(M.monthly_counts(S.v_reviews(spark, sf), ts_col="ts"))
 
 
+@register("export_radar_json")
+def q_export_radar_json(spark, sf):
+    return TB.artefact_radar(M.aspect_radar(S.v_reviews(spark, sf)))
+
+
+@register("export_playtime_json")
+def q_export_playtime_json(spark, sf):
+    return TB.artefact_playtime(M.playtime_sentiment(S.v_reviews(spark, sf)))
+
+
+@register("export_score_json")
+def q_export_score_json(spark, sf):
+    return TB.artefact_score(q_recommend_score(spark, sf))
+
+
 @register("export_artefacts")
 def q_export_artefacts(spark, sf):
     from plaudit.plans.dashboard import artefacts

@@ -441,3 +441,15 @@ ORACLE["stream_monthly_counts"] = ORACLE["monthly_counts"]
 
 # the stream's final table equals the batch upsert
 ORACLE["stream_summary_upserts"] = ORACLE["upsert_summary"]
+
+# artefact documents as JSON (A16), built on the metric oracles
+ORACLE["export_radar_json"] = f"""SELECT appid, 'radar' AS kind,
+  to_json({{'indicator': list({{'name': dimension, 'max': max}} ORDER BY dim_idx),
+            'value': list(value ORDER BY dim_idx)}}) AS json
+FROM ({ORACLE['aspect_radar']}) r GROUP BY appid"""
+ORACLE["export_playtime_json"] = f"""SELECT appid, 'playtime_sentiment' AS kind,
+  to_json({{'labels': list(stage ORDER BY stage_idx), 'positive_scores': list(positive ORDER BY stage_idx),
+            'negative_scores': list(negative ORDER BY stage_idx)}}) AS json
+FROM ({ORACLE['playtime_sentiment']}) p GROUP BY appid"""
+ORACLE["export_score_json"] = f"""SELECT appid, 'score' AS kind, to_json({{'score': score, 'suggestion': suggestion}}) AS json
+FROM ({ORACLE['recommend_score']}) s"""
