@@ -47,3 +47,9 @@ def test_metrics_are_one_aggregation(spark):
     # one shuffle for the aggregation (the review join itself may add its own)
     assert "SortMergeJoin" not in plan or "Exchange hashpartitioning(appid" in plan
     assert plan.count("HashAggregate") == 2  # partial + final
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_cross_join(spark, name):
+    plan = _plan(spark, name)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
