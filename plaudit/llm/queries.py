@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import byte_bpe, chat_fsm, cube_mix, langid_kn, quality_mil
+from plaudit.llm import ann_crosspoly, byte_bpe, chat_fsm, cube_mix, langid_kn, ngram_join, quality_mil, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,26 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_crosspoly.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = cube_mix.cube_mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_kn, op3_chat_fsm, op4_byte_bpe, op9_cube_mix)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_kn, op3_chat_fsm, op4_byte_bpe, op7_cross_polytope, op8_ngram_join, op9_cube_mix, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
