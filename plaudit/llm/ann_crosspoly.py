@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from plaudit.llm.common import Kept
 
-TABLES, PROBES, BLOCK_ROWS = 8, 12, 4096
+TABLES, PROBES, BLOCK_ROWS = 10, 16, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import ann_crosspoly, byte_bpe, chat_fsm, cube_mix, langid_kn, ngram_join, quality_mil, suffix_dedup
+from plaudit.llm import ann_crosspoly, byte_bpe, chat_fsm, cube_mix, langid_kn, ngram_join, pii_weak, quality_mil, rules_weak, suffix_dedup
+from plaudit.llm.common import Kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op5_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_weak.find_personal_data(table(spark, sf_dir, "documents"), Kept(spark, "pii"))
+
+
+def op6_rules_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = rules_weak.score_rules(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_crosspoly.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -54,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_kn, op3_chat_fsm, op4_byte_bpe, op7_cross_polytope, op8_ngram_join, op9_cube_mix, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_kn, op3_chat_fsm, op4_byte_bpe, op5_pii_weak, op6_rules_weak, op7_cross_polytope, op8_ngram_join, op9_cube_mix, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
