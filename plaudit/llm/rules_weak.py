@@ -17,7 +17,7 @@ from plaudit.llm.weak_supervision import VoteModel, fit_votes
 _PLACE = (1 << 24) - 1
 #: What is believed of the rules before data: they seldom call a good text bad, and each sees few of the bad ones.
 START = ((0.002, 0.1, 0.898), (0.25, 0.1, 0.65))
-RULES = ["r_word_length", "r_symbols", "r_lines", "r_repeats", "r_capitals", "r_vocabulary", "r_exclaims", "r_sentences"]
+RULES = ["r_word_length", "r_symbols", "r_symbol_chars", "r_lines", "r_repeats", "r_capitals", "r_vocabulary", "r_exclaims", "r_sentences"]
 
 
 def with_repeated_words(rows: DataFrame, triples: str, name: str) -> DataFrame:
@@ -67,6 +67,7 @@ def votes(measured: DataFrame) -> DataFrame:
     rules = {
         "r_word_length": vote(length.between(3, 10), (length < 2) | (length > 15)),
         "r_symbols": vote(share("n_symbols") <= 0.02, share("n_symbols") > 0.1),
+        "r_symbol_chars": vote(share("n_symbols", chars) <= 0.01, share("n_symbols", chars) > 0.06),
         "r_lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
         "r_repeats": vote(share("n_repeat_words") <= 0.1, share("n_repeat_words") > 0.3),
         "r_capitals": vote(share("n_capitals", chars) <= 0.15, share("n_capitals", chars) > 0.4),
@@ -85,7 +86,7 @@ def score_rules(docs: DataFrame, kept: Kept | None = None) -> tuple[DataFrame, V
     doc_id stays null; other columns are not read; an empty table gives no rows."""
     kept = kept or Kept(docs.sparkSession, "rules")
     measured = kept.keep(votes(measures(docs)), "measured")
-    model = fit_votes(measured.groupBy(*RULES).agg(F.count("*").alias("n")), RULES, start=START, firm_share=0.5)
+    model = fit_votes(measured.groupBy(*RULES).agg(F.count("*").alias("n")), RULES, start=START, firm_share=1.0)
     odds = model.log_odds([F.col(r) for r in RULES])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
