@@ -203,3 +203,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     out = texts.join(owners, (F.col("sig") == F.col("of")) & (F.col("n") > 0), "left")
     back = lambda c: F.when(c != F.lit(-(1 << 63)), c)
     return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("least", "id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest id of each group of ``near_duplicates``; of rows that share that id, one."""
+    found = near_duplicates(docs, k, percent, kept).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept or Kept(docs.sparkSession, "groups")
+    stay = kept.keep(found.groupBy(id_key(F.col("doc_id")).alias("__id")).agg(F.count("*").alias("__rows")), "stay")
+    rows = docs.withColumn("__key", id_key(F.col("doc_id").cast("long")))
+    alone = rows.join(stay.where("__rows = 1"), F.col("__key") == F.col("__id"), "left_semi")
+    if not stay.where("__rows > 1").isEmpty():
+        alone = alone.unionByName(rows.join(stay.where("__rows > 1"), F.col("__key") == F.col("__id"), "left_semi").dropDuplicates(["__key"]))
+    return alone.drop("__key")

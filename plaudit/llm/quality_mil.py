@@ -205,3 +205,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
 
     rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, SCORES)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text scores ``least`` or more; rows are filtered where they are read."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(fit(docs, labels, per_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            good = [np.zeros(0, bool)]
+            for _, _, data, offs in text_chunks(batch.column("text")):
+                x, at = encode(data, offs)
+                good.append(model.score(x, at) >= least if model else np.full(len(at) - 1, 0.5 >= least))
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -68,7 +68,7 @@ def votes(measured: DataFrame) -> DataFrame:
         "r_word_length": vote(length.between(3, 10), (length < 2) | (length > 15)),
         "r_symbols": vote(share("n_symbols") <= 0.02, share("n_symbols") > 0.1),
         "r_symbol_chars": vote(share("n_symbols", chars) <= 0.01, share("n_symbols", chars) > 0.06),
-        "r_lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
+        "r_lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") * 2 > F.col("n_lines")),
         "r_repeats": vote(share("n_repeat_words") <= 0.1, share("n_repeat_words") > 0.3),
         "r_capitals": vote(share("n_capitals", chars) <= 0.15, share("n_capitals", chars) > 0.4),
         "r_vocabulary": vote(richness >= 0.75, (F.col("n_words") >= 20) & (richness < 0.6)),
