@@ -44,6 +44,8 @@ class Kept:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = f"{self.base}/{name}"
         df.write.parquet(path)
+        # nothing reads the finished job's shuffle files any more; a collection lets Spark's cleaner delete them now
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

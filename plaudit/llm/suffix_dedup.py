@@ -123,8 +123,9 @@ def covered(starts: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
-BLOCKS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("print", T.LongType()), T.StructField("id", T.LongType()),
-                       T.StructField("h", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType())])
+#: A block's row is narrow, as there are many: ``print`` is 48 bits of fingerprint and 16 of the number of windows,
+#: ``at`` 16 bits of the text's hash (which orders texts that share an id) and 48 of the start.
+BLOCKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "print", "id", "at")])
 PIECES = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("split", T.LongType()), T.StructField("splits", T.LongType()), T.StructField("id", T.LongType()), T.StructField("h", T.LongType()),
                        T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
 SORTED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType()),
@@ -138,8 +139,9 @@ def _blocks(rows: DataFrame, length: int, size: int) -> DataFrame:
             ids, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h"))
             for row, end, data, offs in text_chunks(batch.column("text")):
                 text, anchor, print_, start, windows = blocks(data, offs, length, size)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(ids[row:end][text], pa.int64()), pa.array(hs[row:end][text], pa.int64()),
-                                                  pa.array((start - offs[text]).astype(np.int32)), pa.array(windows.astype(np.int32))], BLOCKS.names)
+                print_ = (print_ & ~np.uint64(0xFFFF) | windows.astype(np.uint64)).view(np.int64)
+                at = hs[row:end][text].astype(np.int64) << 48 | (start - offs[text])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor.view(np.int64), print_, ids[row:end][text], at)], BLOCKS.names)
 
     return rows.mapInArrow(run, BLOCKS)
 
@@ -165,7 +167,7 @@ def _sorted(pieces: DataFrame, length: int) -> DataFrame:
     """Runs of windows that repeat inside their anchor's split (anchor null); of split anchors also every window that came first, with its fingerprint."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[3], r[4], r[5]))
+        rows = [r for _, r in sorted({r[3:6]: r for r in rows}.items())]  # a repeated row's pieces are one
         windows = np.array([r[6] for r in rows])
         lead = repeats_of([r[7] for r in rows], windows, length)
         again = lead != np.arange(len(lead))
@@ -239,21 +241,23 @@ def repeated_spans(docs: DataFrame, length: int = 100, kept: Kept | None = None)
     the same text. A null text is empty; texts shorter than ``length`` lose nothing. Rows with a null doc_id come before
     all others; rows that share an id are ordered by a hash of their text; rows equal in id and text are one document (none
     is an earlier copy of the other, and each is returned). Other columns are not read; an empty table gives no rows."""
-    if length < 8:
-        raise ValueError("length must be 8 at least")
+    if not 8 <= length < 1 << 16:
+        raise ValueError("length must be 8 at least and below 65536")
     spark = docs.sparkSession
     small_batches(spark)
     kept = kept or Kept(spark, "suffix")
     size = min(ANCHOR, length // 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id").cast("long")).alias("id"), F.xxhash64("text").alias("h"), "text")
-    same, anchor = Window.partitionBy("anchor", "print").orderBy("id", "h", "start"), Window.partitionBy("anchor")
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 15))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id").cast("long")).alias("id"), h.alias("h"), "text")
+    same, anchor = Window.partitionBy("anchor", "print").orderBy("id", "at"), Window.partitionBy("anchor")
     # rows equal in id and text have equal blocks: rank() lets all of them be first
     found = _blocks(rows, length, size).withColumn("again", F.rank().over(same) > 1)
     found = found.withColumn("differ", F.min("print").over(anchor) != F.max("print").over(anchor))
-    found = found.withColumn("splits", F.ceil(F.count(F.when(~F.col("again"), 1)).over(anchor) / SPLIT_BLOCKS).cast("long"))
-    found = found.where("again or differ").drop("print", "differ").distinct()
-    entry = F.struct("start", "windows")
-    info = found.groupBy("id", "h").agg(F.collect_list(F.when(F.col("again"), entry)).alias("again"), F.collect_list(F.when(~F.col("again"), F.struct("start", "windows", "anchor", "splits"))).alias("open"))
+    found = found.withColumn("splits", F.ceil(F.count(F.when(~F.col("again"), 1)).over(anchor) / SPLIT_BLOCKS).cast("long")).where("again or differ")
+    start, windows = F.col("at").bitwiseAND(F.lit((1 << 48) - 1)).cast("int").alias("start"), F.col("print").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("windows")
+    info = found.groupBy("id", F.shiftright("at", 48).alias("h")).agg(
+        F.collect_set(F.when(F.col("again"), F.struct(start, windows))).alias("again"), F.collect_set(F.when(~F.col("again"), F.struct(start, windows, "anchor", "splits"))).alias("open"))
+    info = kept.keep(info, "info")
     joined = rows.join(info, ["id", "h"], "left").select("doc_id", "id", "h", "text", "again", "open")
     types = {f.name: f.dataType for f in joined.schema}
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("id", T.LongType()), ("h", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", SPANS),
@@ -261,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, kept: Kept | None = None)
     first = kept.keep(_finished(joined, length, schema), "first")
     waiting = first.where("n_removed is null")
 
-    pieces = _pieces(waiting.select("id", "h", "text", "open").dropDuplicates(["id", "h"]), length)
+    pieces = _pieces(waiting.select("id", "h", "text", "open"), length)
     pieces = pieces.repartition("anchor", "split").sortWithinPartitions("anchor", "split")
     done = kept.keep(_sorted(pieces, length), "sorted")
     met = done.where("anchor is not null").withColumn("n", F.row_number().over(Window.partitionBy("anchor", "print").orderBy("id", "h", "start"))).where("n > 1").drop("n")
