@@ -6,6 +6,7 @@ so per-character work is numpy over whole chunks of rows, never row-at-a-time.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,7 @@ class Kept:
         path = self.paths[name] = f"{self.base}/{name}"
         df.write.parquet(path)
         # nothing reads the finished job's shuffle files any more; a collection lets Spark's cleaner delete them now
+        gc.collect()
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 

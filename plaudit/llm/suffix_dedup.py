@@ -263,6 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, kept: Kept | None = None)
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("id", T.LongType()), ("h", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", SPANS),
                                                              ("kept_sha256", T.StringType()), ("text", T.StringType()), ("again", types["again"]), ("open", types["open"]))])
     first = kept.keep(_finished(joined, length, schema), "first")
+    kept.drop("info")
     waiting = first.where("n_removed is null")
 
     pieces = _pieces(waiting.select("id", "h", "text", "open"), length)
