@@ -11,11 +11,12 @@ gone through again, and there the distances to a common leader rule pairs out (J
 distance obeys the triangle inequality), without losing a link.
 
 Orders put shingles of over-full hash buckets last: their counts come from all texts in a
-table of fixed size, so a passage that a third of all texts share is in no long text's prefix.
+table of fixed size, so a passage that many texts share is in no long text's prefix.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql.window import Window
 from plaudit.llm.common import LOWER, Kept, id_key, mix64, prefix_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
 from plaudit.llm.graph import components
 
-COUNT_BITS = 16
+#: 4 million hash buckets count shingles, in 64 slices.
+COUNT_BITS, SLICE = 22, 1 << 16
 #: Seeds of the global orders; the first one makes the lists.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 
@@ -69,10 +71,11 @@ def prefix(shingles: np.ndarray, order: int, classes: np.ndarray, percent: int)
 
 
 FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()),
-                      T.StructField("bucket", T.IntegerType()), T.StructField("count", T.LongType())])
-LISTED = T.StructType([T.StructField("token", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
-SETS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
-                    + [T.StructField(f"order{k}", T.ArrayType(T.LongType())) for k in range(1, len(ORDERS))])
+                      T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+SLICES = T.StructType(FIRST.fields[3:])
+ORDER_COLUMNS = [f"order{k}" for k in range(len(ORDERS))]
+PREFIXES = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "id", "n")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ORDER_COLUMNS])
+SETS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def _read(batches: Iterator[pa.RecordBatch], k: int):
@@ -86,28 +89,42 @@ def _sizes(rows: DataFrame, k: int) -> DataFrame:
     """Per text its set's size and signature; per task how many set members fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total = np.zeros(1 << COUNT_BITS, np.uint32)
         for ids, sets in _read(batches, k):
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), none.cast(pa.int32()), none], FIRST.names)
-        at = np.flatnonzero(total)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at.astype(np.int32)), pa.array(total[at])], FIRST.names)
+            np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()),
+                                              pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], FIRST.names)
+        slices = [zlib.compress(total[i:i + SLICE].tobytes(), 1) for i in range(0, len(total), SLICE)]
+        none = pa.nulls(len(slices), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(slices)), pa.int32()), pa.array(slices, pa.binary())], FIRST.names)
 
     return rows.mapInArrow(run, FIRST)
 
 
 def frequency_classes(counted: DataFrame) -> np.ndarray:
-    """Class of each of the 2^16 buckets: 0 up to four times the mean, one more for each doubling. Fixed size."""
-    got = counted.groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
+    """Class of each bucket: 0 for what chance fills (mean and eight deviations), one more for each doubling. 4 MB, whatever the input."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for one, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                sums[one] = sums.get(one, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], SLICES.names)
+
+    # slices are dealt over tasks and summed batch by batch; 64 summed slices come back
     counts = np.zeros(1 << COUNT_BITS)
-    counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
-    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / max(4 * counts.mean(), 1))), 0, 31).astype(np.uint8)
+    for row in counted.select("slice", "counts").repartition("slice").mapInArrow(add, SLICES).toLocalIterator():
+        counts[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+    usual = counts.mean() + 8 * np.sqrt(counts.mean()) + 4
+    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 31).astype(np.uint8)
+
+
+def _longs(arrays) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
 
 
-def _listed(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """Prefix members under the first order, once per class and chunk."""
+def _prefixes(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
+    """Prefixes under every order, once per class and chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _read(batches, k):
@@ -116,40 +133,42 @@ def _listed(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
                 if len(shingles):
                     sig = signature(shingles)
                     mine[sig] = (min(one, mine[sig][0]) if sig in mine else one, shingles)
-            if not mine:
-                continue
-            tokens = [prefix(s, ORDERS[0], classes.value, percent) for _, s in mine.values()]
-            times = [len(t) for t in tokens]
-            repeat = lambda values: pa.array(np.repeat(np.array(values, np.int64), times))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), repeat(list(mine)), repeat([i for i, _ in mine.values()]), repeat([len(s) for _, s in mine.values()])], LISTED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64()), pa.array([i for i, _ in mine.values()], pa.int64()), pa.array([len(s) for _, s in mine.values()], pa.int64()),
+                                              *[_longs(prefix(s, order, classes.value, percent) for _, s in mine.values()) for order in ORDERS]], PREFIXES.names)
 
-    return rows.mapInArrow(run, LISTED)
+    return rows.mapInArrow(run, PREFIXES)
 
 
-def _sets(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
+def _sets(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for _, sets in _read(batches, k):
             sets = [s for s in sets if len(s)]
-            prefixes = [pa.array([np.sort(prefix(s, order, classes.value, percent)).view(np.int64) for s in sets], kind) for order in ORDERS[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([s.view(np.int64) for s in sets], kind), *prefixes], SETS.names)
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], SETS.names)
 
     return rows.mapInArrow(run, SETS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, always: bool) -> DataFrame:
-    """a, b, distance (Jaccard, null if a prefix filter ruled the pair out), linked. ``always`` compares sets whatever the filters say, for pivots."""
-    side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns])
-    both = pairs.join(side("a"), F.col("a") == F.col("sig_a")).join(side("b"), F.col("b") == F.col("sig_b"))
+def _joined(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``side`` (by sig) for both."""
+    for s in "ab":
+        pairs = pairs.join(side.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in side.columns if c != "sig"]), s)
+    return pairs
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, k: int, percent: int, kept: Kept, name: str) -> DataFrame:
+    """a, b, distance (Jaccard), linked of the pairs whose prefixes overlap under every other order; only their texts' whole sets are built and compared."""
     passes = F.lit(True)
-    for k in range(1, len(ORDERS)):
-        passes = passes & F.arrays_overlap(f"order{k}_a", f"order{k}_b")
-    both = both.withColumn("passes", passes)
-    if not always:
-        both = both.where("passes")
-    both = both.withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("common"))
-    return both.select("a", "b", (1 - F.col("common") / F.col("union")).alias("distance"), (F.col("passes") & (100 * F.col("common") >= percent * F.col("union"))).alias("linked"))
+    for order in ORDER_COLUMNS[1:]:
+        passes = passes & F.arrays_overlap(f"{order}_a", f"{order}_b")
+    near = kept.keep(_joined(pairs, prefixes.select("sig", *ORDER_COLUMNS[1:])).where(passes).select("a", "b"), f"{name}_near")
+    ends = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
+    ids = kept.keep(prefixes.join(ends, "sig", "left_semi").select("id").distinct(), f"{name}_ids")
+    sets = kept.keep(_sets(rows.join(ids, "id", "left_semi"), k).dropDuplicates(["sig"]), f"{name}_sets")
+    both = _joined(near, sets).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
+    both = both.withColumn("union", F.col("n_a") + F.col("n_b") - F.col("common"))
+    out = kept.keep(both.select("a", "b", (1 - F.col("common") / F.col("union")).alias("distance"), (100 * F.col("common") >= percent * F.col("union")).alias("linked")), name)
+    kept.drop(f"{name}_sets", f"{name}_ids")
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | None = None) -> DataFrame:
@@ -164,22 +183,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     kept = kept or Kept(spark, "ngram")
     rows = docs.select(id_key(F.col("doc_id").cast("long")).alias("id"), "text")
     first = kept.keep(_sizes(rows, k), "sizes")
-    texts = first.where("bucket is null").select("id", "n", "sig")
-    classes = spark.sparkContext.broadcast(frequency_classes(first.where("bucket is not null")))
+    texts = first.where("slice is null").select("id", "n", "sig")
+    classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null")))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     # posting lists of the first order: one row per class, only lists of two classes or more
     whole = Window.partitionBy("token")
-    lists = _listed(rows, k, percent, classes).repartition("token").groupBy("token", "sig").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    prefixes = _prefixes(rows, k, percent, classes).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ORDER_COLUMNS])
+    prefixes = kept.keep(prefixes, "prefixes")
+    lists = prefixes.select(F.explode(ORDER_COLUMNS[0]).alias("token"), "sig", "id", "n")
     lists = lists.withColumn("alike", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
     lists = lists.withColumn("many", F.count("*").over(whole)).where("many > 1")
     lead = F.min(F.struct("id", "sig", "n")).over(Window.partitionBy("token", "alike"))
     lists = kept.keep(lists.withColumn("lead", lead).select("token", "sig", "id", "n", F.col("lead.sig").alias("leader"), F.col("lead.n").alias("leader_n")), "lists")
-    wanted = lists.select("id").distinct()
-    sets = kept.keep(_sets(rows.join(wanted, "id", "left_semi"), k, percent, classes), "sets")
-
     stars = lists.where((F.col("sig") != F.col("leader")) & fits(F.col("n"), F.col("leader_n"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = kept.keep(_verified(stars, sets, percent, True), "stars")
+    stars = _verified(stars, rows, prefixes, k, percent, kept, "stars")
     roots = kept.keep(components(stars.where("linked"), kept, "round1_"), "roots1")
 
     # lists that still hold several components: pairs across them, unless a common leader rules them out
@@ -192,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     apart = F.coalesce((F.col("leader_a") == F.col("leader_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - percent / 100 + 1e-9), F.lit(False))
     pairs = side("a").join(side("b"), "token").where((F.col("root_a") < F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")) & ~apart)
     pairs = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
-    more = kept.keep(_verified(pairs, sets, percent, False).where("linked"), "more")
+    more = _verified(pairs, rows, prefixes, k, percent, kept, "more").where("linked")
     links = stars.where("linked").select("a", "b").unionByName(more.select("a", "b"))
     roots = components(links, kept, "round2_")
 
