@@ -5,10 +5,12 @@ threshold only if their prefixes (the first few shingles) share a shingle, and t
 under every global order of shingles. The first order makes the posting lists; prefixes
 under the other orders must overlap too before sets are compared.
 
-Pairs inside a list are not listed. First each class meets only its list's leader, the
-oldest class of like size. Only lists in which classes of different components remain are
-gone through again, and there the distances to a common leader rule pairs out (Jaccard
-distance obeys the triangle inequality), without losing a link.
+Pairs inside a list are not listed at once. First each class meets only its leader, the list's oldest
+class of like size. Classes that pass the filters with one leader and are still of several components
+are compared in blocks of bounded size: the filters of all orders are intersected as matrices,
+and what passes is verified exactly through the differences from the leader,
+(x ^ l) ^ (y ^ l) = x ^ y, which are short for near copies; a task sends on links only. Other pairs
+across components in one list are filtered and verified one by one. No link between components is lost.
 
 Orders put shingles of over-full hash buckets last: their counts come from all texts in a
 table of fixed size, so a passage that many texts share is in no long text's prefix.
@@ -20,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ from plaudit.llm.graph import components
 
 #: 4 million hash buckets count shingles, in 64 slices.
 COUNT_BITS, SLICE = 22, 1 << 16
+#: Classes of one leader that a task compares at a time, and shingles in one column block.
+BLOCK_MEMBERS = 1024
 #: Seeds of the global orders; the first one makes the lists.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 
@@ -102,7 +107,9 @@ def _sizes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def frequency_classes(counted: DataFrame) -> np.ndarray:
-    """Class of each bucket: 0 for what chance fills (mean and eight deviations), one more for each doubling. 4 MB, whatever the input."""
+    """Class of each bucket: 0 up to one deviation above the mean, then one more for each quarter of a doubling. 4 MB, whatever the input.
+
+    Any order of shingles is valid; this one puts a shingle that even a few more texts share than usual behind most others."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -115,8 +122,10 @@ def frequency_classes(counted: DataFrame) -> np.ndarray:
     counts = np.zeros(1 << COUNT_BITS)
     for row in counted.select("slice", "counts").repartition("slice").mapInArrow(add, SLICES).toLocalIterator():
         counts[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    usual = counts.mean() + 8 * np.sqrt(counts.mean()) + 4
-    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 31).astype(np.uint8)
+    mean = counts.mean()
+    deviation = np.sqrt(mean) + 0.5
+    over = (counts - mean) / deviation
+    return np.where(over <= 1, 0, np.minimum(np.ceil(2 * np.log2(np.maximum(over, 1.01)) * 2), 60)).astype(np.uint8)
 
 
 def _longs(arrays) -> pa.Array:
@@ -156,7 +165,7 @@ def _joined(pairs: DataFrame, side: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, k: int, percent: int, kept: Kept, name: str) -> DataFrame:
-    """a, b, distance (Jaccard), linked of the pairs whose prefixes overlap under every other order; only their texts' whole sets are built and compared."""
+    """a, b, difference (of the sets), linked of the pairs whose prefixes overlap under every order; only their texts' whole sets are built and compared."""
     passes = F.lit(True)
     for order in ORDER_COLUMNS[1:]:
         passes = passes & F.arrays_overlap(f"{order}_a", f"{order}_b")
@@ -164,13 +173,65 @@ def _verified(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, k: int, pe
     ends = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     ids = kept.keep(prefixes.join(ends, "sig", "left_semi").select("id").distinct(), f"{name}_ids")
     sets = kept.keep(_sets(rows.join(ids, "id", "left_semi"), k).dropDuplicates(["sig"]), f"{name}_sets")
-    both = _joined(near, sets).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
-    both = both.withColumn("union", F.col("n_a") + F.col("n_b") - F.col("common"))
-    out = kept.keep(both.select("a", "b", (1 - F.col("common") / F.col("union")).alias("distance"), (100 * F.col("common") >= percent * F.col("union")).alias("linked")), name)
-    kept.drop(f"{name}_sets", f"{name}_ids")
+    both = _joined(near, sets).withColumn("difference", F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
+    both = both.withColumn("common", (F.col("n_a") + F.col("n_b") - F.size("difference")) / 2)
+    similar = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    out = kept.keep(both.select("a", "b", "difference", similar.alias("linked")), name)
+    kept.drop(f"{name}_sets", f"{name}_ids", f"{name}_near")
+    return out
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, [left, right]; members are gone through in column blocks of bounded size."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])) for lists in (left, right)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    at = []
+    for values, row in sides:
+        place = np.searchsorted(shared, values)
+        hit = place < len(shared)
+        hit[hit] = shared[place[hit]] == values[hit]
+        at.append((place[hit], row[hit]))
+    for first in range(0, len(shared), BLOCK_MEMBERS):
+        parts = []
+        for (place, row), n in zip(at, out.shape):
+            part = np.zeros((n, BLOCK_MEMBERS), np.float32)
+            mine = (place >= first) & (place < first + BLOCK_MEMBERS)
+            part[row[mine], place[mine] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
     return out
 
 
+def _across(members: DataFrame, percent: int, kept: Kept) -> DataFrame:
+    """Links (a, b) between components among the members of each leader; at most one per class and component and block."""
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        passes = y["root"].to_numpy()[:, None] != x["root"].to_numpy()
+        for order in ORDER_COLUMNS:
+            if not passes.any():
+                break
+            passes &= common(list(y[order]), list(x[order])) > 0
+        i, j = np.nonzero(passes)
+        if len(i):
+            both = common(list(y["difference"]), list(x["difference"]))[i, j]
+            size = [f["difference"].map(len).to_numpy() for f in (y, x)]
+            n = y["n"].to_numpy()[i] + x["n"].to_numpy()[j]
+            shared = (n - (size[0][i] + size[1][j] - 2 * both.astype(np.int64))) // 2
+            stay = 100 * shared >= percent * (n - shared)
+            i, j = i[stay], j[stay]
+        out = pd.DataFrame({"a": y["sig"].to_numpy()[i], "b": x["sig"].to_numpy()[j], "root": x["root"].to_numpy()[j]})
+        return out.drop_duplicates(["a", "root"])[["a", "b"]]
+
+    members = kept.keep(members.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks"))), "members")
+    others = members.sparkSession.read.schema(members.schema).parquet(kept.paths["members"]).where("root != leader_root")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = members.withColumn("x", F.col("own")).withColumn("y", every)
+    right = others.withColumn("y", F.col("own")).withColumn("x", every)
+    return left.groupBy("leader", "x", "y").cogroup(right.groupBy("leader", "x", "y")).applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text): components of the graph of Jaccard links.
 
@@ -181,38 +242,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     spark = docs.sparkSession
     small_batches(spark)
     kept = kept or Kept(spark, "ngram")
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     rows = docs.select(id_key(F.col("doc_id").cast("long")).alias("id"), "text")
     first = kept.keep(_sizes(rows, k), "sizes")
     texts = first.where("slice is null").select("id", "n", "sig")
     classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null")))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
     # posting lists of the first order: one row per class, only lists of two classes or more
-    whole = Window.partitionBy("token")
     prefixes = _prefixes(rows, k, percent, classes).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ORDER_COLUMNS])
     prefixes = kept.keep(prefixes, "prefixes")
     lists = prefixes.select(F.explode(ORDER_COLUMNS[0]).alias("token"), "sig", "id", "n")
-    lists = lists.withColumn("alike", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
-    lists = lists.withColumn("many", F.count("*").over(whole)).where("many > 1")
-    lead = F.min(F.struct("id", "sig", "n")).over(Window.partitionBy("token", "alike"))
-    lists = kept.keep(lists.withColumn("lead", lead).select("token", "sig", "id", "n", F.col("lead.sig").alias("leader"), F.col("lead.n").alias("leader_n")), "lists")
-    stars = lists.where((F.col("sig") != F.col("leader")) & fits(F.col("n"), F.col("leader_n"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = _verified(stars, rows, prefixes, k, percent, kept, "stars")
-    roots = kept.keep(components(stars.where("linked"), kept, "round1_"), "roots1")
-
-    # lists that still hold several components: pairs across them, unless a common leader rules them out
-    open_ = lists.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    open_ = open_.withColumn("differ", F.min("root").over(whole) != F.max("root").over(whole)).where("differ").drop("differ", "id", "leader_n")
-    pivots = stars.select(F.col("a").alias("sig"), F.col("b").alias("leader"), F.col("distance").alias("far")).distinct()
-    open_ = open_.join(pivots, ["sig", "leader"], "left").withColumn("far", F.when(F.col("sig") == F.col("leader"), 0.0).otherwise(F.col("far")))
+    lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").drop("many")
+    alike = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    lists = lists.withColumn("alike", alike).withColumn("lead", F.min(F.struct("id", "sig", "n")).over(Window.partitionBy("token", "alike")))
+    lists = kept.keep(lists.select("token", "sig", "n", F.col("lead.sig").alias("leader"), F.col("lead.n").alias("leader_n")), "lists")
+    pairs = lists.where((F.col("sig") != F.col("leader")) & fits(F.col("n"), F.col("leader_n"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = _verified(pairs, rows, prefixes, k, percent, kept, "stars")
+    links = stars.where("linked").select("a", "b")
+    roots = kept.keep(components(links, kept, "round1_"), "roots").withColumnRenamed("node", "sig")
+
+    # classes that passed with one leader and are still of several components
+    members = stars.select(F.col("b").alias("leader"), F.col("a").alias("sig"), "difference")
+    members = members.unionByName(members.select("leader").distinct().select("leader", F.col("leader").alias("sig"), F.array().cast("array<bigint>").alias("difference")))
+    members = members.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    sizes = members.groupBy("leader").agg(F.max(F.when(F.col("sig") == F.col("leader"), F.col("root"))).alias("leader_root"), F.min("root").alias("low"), F.max("root").alias("high"),
+                                          F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
+    sizes = kept.keep(sizes.where("low != high").select("leader", "leader_root", "blocks"), "leaders")
+    members = members.join(sizes, "leader").join(prefixes.select("sig", "n", *ORDER_COLUMNS), "sig")
+    across = kept.keep(_across(members, percent, kept), "across")
+
+    # other pairs across components in one list
+    met = stars.select(F.col("a").alias("sig"), F.col("b").alias("leader"), F.lit(True).alias("met"))
+    open_ = lists.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    whole = Window.partitionBy("token")
+    open_ = open_.withColumn("differ", F.min("root").over(whole) != F.max("root").over(whole)).where("differ")
+    open_ = open_.join(met, ["sig", "leader"], "left").select("token", "sig", "n", "root", "leader", (F.coalesce("met", F.lit(False)) | (F.col("sig") == F.col("leader"))).alias("met"))
     open_ = kept.keep(open_, "open")
-    side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "root", "leader", "far")])
-    apart = F.coalesce((F.col("leader_a") == F.col("leader_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - percent / 100 + 1e-9), F.lit(False))
-    pairs = side("a").join(side("b"), "token").where((F.col("root_a") < F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")) & ~apart)
+    side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "root", "leader", "met")])
+    done = (F.col("leader_a") == F.col("leader_b")) & ((F.col("met_a") & F.col("met_b")) | (F.col("sig_a") == F.col("leader_a")) | (F.col("sig_b") == F.col("leader_b")))
+    pairs = side("a").join(side("b"), "token").where((F.col("root_a") < F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")) & ~done)
     pairs = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
-    more = _verified(pairs, rows, prefixes, k, percent, kept, "more").where("linked")
-    links = stars.where("linked").select("a", "b").unionByName(more.select("a", "b"))
-    roots = components(links, kept, "round2_")
+    more = _verified(pairs, rows, prefixes, k, percent, kept, "more").where("linked").select("a", "b")
+    roots = components(links.unionByName(across).unionByName(more), kept, "round2_")
 
     owners = texts.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
     owners = owners.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
