@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaudit.constants import (DEFAULT_BASE_SCORE, FREE_PRICE_WORDS, NO_RATING, RATING_BASE_SCORE,
                                RATING_DISPLAY)
+from plaudit.functions.text import strip
 
 
 def _col(c) -> Column:
@@ -39,8 +40,8 @@ def base_score(c) -> Column:
 
 
 def price_text(c) -> Column:
-    """Price with the currency sign and commas removed, ends trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("0")), "[¥,]", ""))
+    """Price with the currency sign and commas removed, ends stripped (Unicode blanks and newlines too)."""
+    return strip(F.regexp_replace(F.coalesce(_col(c), F.lit("0")), "[¥,]", ""))
 
 
 def is_paid(c) -> Column:

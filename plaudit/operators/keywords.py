@@ -1,8 +1,8 @@
 """Keyword frequency for the word cloud.
 
 Per app and polarity: display-cleaned text (T4) split into words, words of
-one character and stopwords dropped, counted, and the most frequent kept
-(the cloud's capacity is the feature's limit). An optional tagger keeps only
+one character and stopwords dropped, counted and ranked; a caller that draws
+them passes how many it wants. An optional tagger keeps only
 nouns and adjectives, as the reviewed part-of-speech filter does.
 """
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from plaudit.constants import HAN, PAT_SPLIT
 from plaudit.functions.text import HAN_BIGRAMS, clean_for_keywords
 
-CLOUD_WORDS = 200  # word-cloud capacity (words drawn per cloud)
 KEYWORD_PUNCT = r"[.,!?]"
 
 
@@ -30,9 +29,9 @@ def keyword_tokens(c) -> Column:
 
 
 def keyword_frequency(reviews: DataFrame, text_col: str = "content", group_cols: Sequence[str] = ("appid", "polarity"),
-                      stopwords: Sequence[str] = (), top_n: int = CLOUD_WORDS,
+                      stopwords: Sequence[str] = (), top_n: int | None = None,
                       tagger: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(group, word, count, rank) for the ``top_n`` most frequent words.
+    """(group, word, count, rank) of every word; with ``top_n`` of the most frequent ones only.
 
     ``tagger`` maps cleaned text to array<struct<word:string, tag:string>>;
     when given, only tags starting with n or a are kept."""
@@ -51,4 +50,5 @@ def keyword_frequency(reviews: DataFrame, text_col: str = "content", group_cols:
         words = words.filter(~F.col("word").isin(list(stopwords)))
     counts = words.groupBy(*g, "word").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy(*g).orderBy(F.col("count").desc(), F.col("word"))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    ranked = counts.withColumn("rank", F.row_number().over(w))
+    return ranked if top_n is None else ranked.filter(F.col("rank") <= top_n)

@@ -405,7 +405,7 @@ def q_export_artefacts(spark, sf):
 @register("stream_monthly_counts")
 def q_stream_monthly_counts(spark, sf):
     """S1 end to end: the review rows land as files in the shared folder, the
-    stream counts daily windows (availableNow) into a versioned daily table,
+    stream counts days (availableNow, one file a micro-batch) into a versioned daily table,
     and months are rolled up from it; equal to ``monthly_counts``."""
     import uuid
 
@@ -413,10 +413,10 @@ def q_stream_monthly_counts(spark, sf):
     from plaudit.streaming.monthly import monthly_from_daily, start_monthly_counts
     run = uuid.uuid4().hex
     landed = scratch_path(spark, f"landed-{run}")
-    S.v_reviews(spark, sf).select("appid", "voted_up", "ts").write.parquet(landed)
+    S.v_reviews(spark, sf).select("appid", "voted_up", "ts").repartition(4).write.parquet(landed)
     schema = spark.read.parquet(landed).schema
     table = scratch_path(spark, f"daily-{run}")
-    start_monthly_counts(spark, landed, schema, table, name=f"monthly-{run}").awaitTermination()
+    start_monthly_counts(spark, landed, schema, table, name=f"monthly-{run}", max_files_per_trigger=1).awaitTermination()
     return monthly_from_daily(spark, table)
 
 

@@ -322,7 +322,7 @@ ORACLE["resolve_app"] = with_ctes(V_APP_RAW, V_APP_INFO, """terms AS (
 ORACLE["enrich_app_metadata"] = with_ctes(V_APP_RAW, V_APP_INFO, f"""meta AS (
   SELECT cast(p_partkey AS int) AS appid, CASE WHEN p_size > 40 THEN 404 ELSE 200 END AS status,
          p_brand AS meta_developer, p_retailprice AS meta_price
-  FROM part WHERE p_partkey < {_S.N_APPS_WITH_INFO})""", body="""
+  FROM part)""", body="""
 SELECT i.appid, i.name, i.price, m.meta_developer, m.meta_price
 FROM v_app_info i LEFT JOIN (SELECT * FROM meta WHERE status = 200) m USING (appid)""")
 
@@ -366,9 +366,6 @@ WHERE rn = 1""")
 
 # ---- keyword cloud (G14) and aspect scoring (M1) --------------------------------------
 
-from plaudit.operators.keywords import CLOUD_WORDS as _CLOUD  # noqa: E402
-
-
 def _kw_tokens_sql(e: str) -> str:
     # the oracle spells Han bigrams with list functions (RE2 has no look-around)
     han = K.HAN
@@ -388,8 +385,7 @@ ORACLE["keyword_frequency"] = with_ctes(V_REVIEWS, f"""w AS (
   SELECT appid, polarity, word, count(*) AS count FROM w
   WHERE length(word) > 1 AND NOT list_contains({_str_list(K.DOMAIN_STOPWORDS)}, word)
   GROUP BY ALL)""", body=f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY appid, polarity ORDER BY count DESC, word) AS rank FROM c)
-WHERE rank <= {_CLOUD}""")
+SELECT *, row_number() OVER (PARTITION BY appid, polarity ORDER BY count DESC, word) AS rank FROM c""")
 
 
 def _dot_sql(a: str, b: str) -> str:

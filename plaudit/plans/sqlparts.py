@@ -31,7 +31,7 @@ DISPLAY_RATING = first_contained(RATING, K.RATING_DISPLAY, RATING)
 
 
 def is_paid(price_expr: str) -> str:
-    p = f"trim(regexp_replace(coalesce({price_expr}, '0'), '[¥,]', '', 'g'))"
+    p = f"regexp_replace(regexp_replace(coalesce({price_expr}, '0'), '[¥,]', '', 'g'), {q(K.PAT_STRIP)}, '', 'g')"
     words = ", ".join(q(w) for w in K.FREE_PRICE_WORDS)
     return f"(length({p}) > 0 AND lower({p}) NOT IN ({words}))"
 
@@ -71,7 +71,7 @@ V_APP_RAW = f"""v_app_raw AS (
          CASE WHEN p_size BETWEEN 20 AND 25 THEN NULL ELSE p_name END AS short_description,
          CASE WHEN p_size BETWEEN 26 AND 30 THEN NULL ELSE 'header_' || cast(p_partkey AS varchar) || '.jpg' END AS header_image,
          'thumb_' || cast(p_partkey AS varchar) || '.jpg' AS tiny_image
-  FROM part WHERE p_partkey < {S.N_APPS_WITH_INFO})"""
+  FROM part)"""
 
 V_APP_INFO = f"""v_app_info AS (
   SELECT appid, name,

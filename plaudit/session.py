@@ -7,6 +7,7 @@ settings that are unset, so cluster configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,12 +57,16 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a scratch folder is created and set.
+    A local session (tests) that names none gets a scratch folder; on a cluster each executor would write to its
+    own disk, so there an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="plaudit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -99,17 +104,3 @@ def materialize(df, how: str | None = "table"):
         return df.checkpoint(eager=True)
     raise ValueError(f"unknown materialisation {how!r}")
 
-
-def spread(df):
-    """Give CPU-heavy row work (regex, tokenising) at least ``defaultParallelism``
-    tasks. An input with enough file splits already (any large table) is
-    returned unchanged, so this adds a shuffle only for small, unsplittable
-    files (e.g. one row group)."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)

@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.constants import SCORE_COLUMNS
-from plaudit.session import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 # FIXED VALUES: stand-in parameters
-N_APPS_WITH_INFO = 22  # apps 0..19 have reviews; 20 and 21 have none
 SUMMARY_BASE_TIME = _dt.datetime(2024, 6, 1, 12, 0, 0)
 SUMMARY_RATINGS = [
     "Overwhelmingly Positive", "Very Positive (1,234)", "Mostly Positive", "Positive", "Mixed",
@@ -39,14 +37,9 @@ SCORE_MULT_ADD = [(7, 3), (11, 5), (13, 7), (17, 11), (19, 13)]
 OUTLIER_MAX_CHARS = 200  # reviews shorter than this are outliers (-1) in the given topics
 
 
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table; text tables are spread over the cluster's cores
-    when their files give too few splits (see ``plaudit.session.spread``)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    """Read a driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def review_scores(key: Column) -> list[Column]:
@@ -78,7 +71,7 @@ def v_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_app_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw app-details records (the shape of the store's app-details JSON)."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") < N_APPS_WITH_INFO)
+    p = table(spark, sf_dir, "part")
     appid = F.col("p_partkey").cast("int")
     formatted = (F.when(appid == 3, F.lit("¥ 0.00"))
                  .when(appid == 4, F.lit(""))
@@ -184,7 +177,7 @@ def v_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_app_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secondary metadata records: failed look-ups (status 404) for large parts."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") < N_APPS_WITH_INFO)
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").cast("int").alias("appid"),
                     F.when(F.col("p_size") > 40, F.lit(404)).otherwise(F.lit(200)).alias("status"),
                     F.col("p_brand").alias("meta_developer"),

@@ -127,15 +127,9 @@ def load_stopwords(spark: SparkSession, path: str | None = None, extra=DOMAIN_ST
     return out.distinct()
 
 
-def remove_stopword_rows(rows: DataFrame, stop: DataFrame, col: str = "word",
-                         max_broadcast_rows: int = 200_000) -> DataFrame:
-    """J4 against a stopword table: broadcast anti-join when the table is
-    proven small (row count checked), otherwise a shuffled anti-join."""
-    s = stop.select(F.col("word").alias(col)).distinct()
-    n = s.count()
-    if n <= max_broadcast_rows:
-        s = F.broadcast(s)
-    return rows.join(s, col, "left_anti")
+def remove_stopword_rows(rows: DataFrame, stop: DataFrame, col: str = "word") -> DataFrame:
+    """J4 against a stopword table: an anti-join, broadcast where the planner's byte threshold allows it."""
+    return rows.join(stop.select(F.col("word").alias(col)).distinct(), col, "left_anti")
 
 
 # ---- A16 / A17: artefacts ----------------------------------------------------------------

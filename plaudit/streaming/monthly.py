@@ -31,10 +31,11 @@ DAILY_KEYS = ["appid", "day"]
 
 def _latest_committed(spark: SparkSession, path: str, below: int | None = None) -> int | None:
     """Highest committed version (optionally below a batch id), from the commit log."""
-    try:
-        log = spark.read.parquet(os.path.join(path, "_commits"))
-    except Exception:  # noqa: BLE001 - no commit yet: the log does not exist
-        return None
+    log_path = os.path.join(path, "_commits")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None  # no commit yet; a log that is there but cannot be read raises
+    log = spark.read.schema("version long").parquet(log_path)
     if below is not None:
         log = log.filter(F.col("version") < below)
     return log.agg(F.max("version").alias("v")).first().v
@@ -94,6 +95,23 @@ def daily_counts_stream(reviews: DataFrame, ts_col: str = "ts", watermark: str =
             .select(F.col("appid").cast("int").alias("appid"), day.alias("day"), "positive", "negative"))
 
 
+def add_days(spark: SparkSession, table_path: str, ts_col: str):
+    """foreachBatch function: count the batch by day and add it to the table. No row is late, whatever the order of
+    dates; a replayed batch starts from the version before it, so it counts once."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        old = _read_version(spark, table_path, _latest_committed(spark, table_path, below=batch_id), DAILY_SCHEMA)
+        pos = F.col("voted_up") == F.lit(True)
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(event_time(batch, ts_col)) / 86400).cast("int"))
+        new = batch.select(F.col("appid").cast("int").alias("appid"), day.alias("day"), F.when(pos, 1).otherwise(0).alias("positive"),
+                           F.when(~pos, 1).otherwise(0).alias("negative"))
+        new = new.groupBy(*DAILY_KEYS).agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+        merged = old.unionByName(new).groupBy(*DAILY_KEYS).agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+        _write_version(merged, table_path, batch_id)
+
+    return run
+
+
 def upsert_days(spark: SparkSession, table_path: str):
     """foreachBatch function: replace the changed (app, day) rows."""
 
@@ -107,20 +125,22 @@ def upsert_days(spark: SparkSession, table_path: str):
 
 
 def start_monthly_counts(spark: SparkSession, source_path: str, schema: T.StructType, table_path: str,
-                         name: str = "monthly_counts", ts_col: str = "ts", watermark: str = "30 days",
+                         name: str = "monthly_counts", ts_col: str = "ts", watermark: str | None = None,
                          available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the stream; returns the StreamingQuery. Rows older than the
-    watermark (latest event time seen minus ``watermark``) arriving in a later
-    micro-batch are dropped by the windowed aggregation."""
+    """Start the stream; returns the StreamingQuery. Every row counts, however late (``add_days``).
+
+    With ``watermark``, windows are aggregated in stream state instead, and rows older than the latest event time
+    minus ``watermark`` that arrive in a later micro-batch are dropped."""
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
-    q = (daily_counts_stream(stream, ts_col, watermark).writeStream
-         .outputMode("update")
-         .option("checkpointLocation", ckpt)
-         .foreachBatch(upsert_days(spark, table_path)))
+    if watermark is None:
+        writer = stream.writeStream.foreachBatch(add_days(spark, table_path, ts_col))
+    else:
+        writer = daily_counts_stream(stream, ts_col, watermark).writeStream.outputMode("update").foreachBatch(upsert_days(spark, table_path))
+    q = writer.option("checkpointLocation", ckpt)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import types as T
 
 from plaudit.operators.metrics import monthly_counts
@@ -59,8 +60,28 @@ def test_streaming_drops_rows_behind_the_watermark(spark, tmp_dir):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
     table = os.path.join(tmp_dir, "daily")
     q = ST.start_monthly_counts(spark, src, SCHEMA, table, name=f"late-{os.path.basename(tmp_dir)}",
-                                max_files_per_trigger=1)
+                                watermark="30 days", max_files_per_trigger=1)
     q.awaitTermination()
     got = {r.month: (r.positive, r.negative) for r in ST.monthly_from_daily(spark, table).collect()}
     assert got["2024-01"] == (1, 0)          # the late negative row is not counted
     assert got["2024-06"] == (1, 1)
+
+
+def test_no_row_is_late_without_a_watermark(spark, tmp_dir):
+    d = dt.datetime
+    files = [[(1, True, d(2024, 6, 1))], [(1, False, d(2024, 1, 5)), (2, True, d(2023, 2, 1))], [(1, True, d(2024, 6, 1))], [(2, False, d(2020, 1, 1))]]
+    src, table = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "daily")
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    ST.start_monthly_counts(spark, src, SCHEMA, table, name=f"all-{os.path.basename(tmp_dir)}", max_files_per_trigger=1).awaitTermination()
+    want = sorted(tuple(r) for r in monthly_counts(spark.createDataFrame([r for f in files for r in f], SCHEMA)).collect())
+    assert sorted(tuple(r) for r in ST.monthly_from_daily(spark, table).collect()) == want
+
+
+def test_a_damaged_commit_log_raises(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "broken")
+    os.makedirs(os.path.join(table, "_commits"))
+    with open(os.path.join(table, "_commits", "part-0.parquet"), "w") as out:
+        out.write("not parquet")
+    with pytest.raises(Exception):
+        ST.latest_version(spark, table, ST.DAILY_SCHEMA)
