@@ -36,6 +36,8 @@ from plaudit.llm.graph import components
 COUNT_BITS, SLICE = 22, 1 << 16
 #: Classes of one leader that a task compares at a time, and shingles in one column block.
 BLOCK_MEMBERS = 1024
+#: Bits of the hash that places an id in the bitmap of wanted texts.
+FILTER_BITS = 25
 #: Seeds of the global orders; the first one makes the lists.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 
@@ -148,9 +150,34 @@ def _prefixes(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
     return rows.mapInArrow(run, PREFIXES)
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) that holds all ids, and few others: texts are picked where they are read, without a shuffle."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            at = _bit(batch.column("id").to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in ids.select("id").repartition(16).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out
+
+
+def _sets(rows: DataFrame, k: int, wanted) -> DataFrame:
+    """Whole sets of the texts whose id is in the bitmap; a text that is there by chance is never paired."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _read(batches, k):
+        def picked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = _bit(batch.column("id").to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7)) & 1 == 1))
+
+        for _, sets in _read(picked(), k):
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], SETS.names)
 
@@ -171,13 +198,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, k: int, pe
         passes = passes & F.arrays_overlap(f"{order}_a", f"{order}_b")
     near = kept.keep(_joined(pairs, prefixes.select("sig", *ORDER_COLUMNS[1:])).where(passes).select("a", "b"), f"{name}_near")
     ends = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
-    ids = kept.keep(prefixes.join(ends, "sig", "left_semi").select("id").distinct(), f"{name}_ids")
-    sets = kept.keep(_sets(rows.join(ids, "id", "left_semi"), k).dropDuplicates(["sig"]), f"{name}_sets")
+    wanted = rows.sparkSession.sparkContext.broadcast(id_filter(prefixes.join(ends, "sig", "left_semi").select("id")))
+    sets = kept.keep(_sets(rows, k, wanted).dropDuplicates(["sig"]), f"{name}_sets")
     both = _joined(near, sets).withColumn("difference", F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
     both = both.withColumn("common", (F.col("n_a") + F.col("n_b") - F.size("difference")) / 2)
     similar = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
     out = kept.keep(both.select("a", "b", "difference", similar.alias("linked")), name)
-    kept.drop(f"{name}_sets", f"{name}_ids", f"{name}_near")
+    kept.drop(f"{name}_sets", f"{name}_near")
     return out
 
 
