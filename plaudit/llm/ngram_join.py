@@ -81,7 +81,7 @@ FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.Lo
                       T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 SLICES = T.StructType(FIRST.fields[3:])
 ORDER_COLUMNS = [f"order{k}" for k in range(len(ORDERS))]
-PREFIXES = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "id", "n")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ORDER_COLUMNS])
+PREFIXES = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "id", "n")] + [T.StructField(c, T.ArrayType(T.LongType() if c == ORDER_COLUMNS[0] else T.IntegerType())) for c in ORDER_COLUMNS])
 SETS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
@@ -134,6 +134,11 @@ def _longs(arrays) -> pa.Array:
     return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
 
 
+def _ints(arrays) -> pa.Array:
+    """32 bits of each shingle: equal shingles stay equal, and a chance match only costs a comparison of sets."""
+    return pa.array([x.astype(np.uint32).view(np.int32) for x in arrays], pa.list_(pa.int32()))
+
+
 def _prefixes(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
     """Prefixes under every order, once per class and chunk."""
 
@@ -145,7 +150,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
                     sig = signature(shingles)
                     mine[sig] = (min(one, mine[sig][0]) if sig in mine else one, shingles)
             yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64()), pa.array([i for i, _ in mine.values()], pa.int64()), pa.array([len(s) for _, s in mine.values()], pa.int64()),
-                                              *[_longs(prefix(s, order, classes.value, percent) for _, s in mine.values()) for order in ORDERS]], PREFIXES.names)
+                                              *[(_ints if at else _longs)(prefix(s, order, classes.value, percent) for _, s in mine.values()) for at, order in enumerate(ORDERS)]], PREFIXES.names)
 
     return rows.mapInArrow(run, PREFIXES)
 
@@ -199,12 +204,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, k: int, pe
     near = kept.keep(_joined(pairs, prefixes.select("sig", *ORDER_COLUMNS[1:])).where(passes).select("a", "b"), f"{name}_near")
     ends = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     wanted = rows.sparkSession.sparkContext.broadcast(id_filter(prefixes.join(ends, "sig", "left_semi").select("id")))
-    sets = kept.keep(_sets(rows, k, wanted).dropDuplicates(["sig"]), f"{name}_sets")
-    both = _joined(near, sets).withColumn("difference", F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
+    # one shuffle by class serves both ends
+    both = _joined(near, _sets(rows, k, wanted).dropDuplicates(["sig"])).withColumn("difference", F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
     both = both.withColumn("common", (F.col("n_a") + F.col("n_b") - F.size("difference")) / 2)
     similar = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
     out = kept.keep(both.select("a", "b", "difference", similar.alias("linked")), name)
-    kept.drop(f"{name}_sets", f"{name}_near")
+    kept.drop(f"{name}_near")
     return out
 
 
@@ -272,8 +277,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     rows = docs.select(id_key(F.col("doc_id").cast("long")).alias("id"), "text")
     first = kept.keep(_sizes(rows, k), "sizes")
-    texts = first.where("slice is null").select("id", "n", "sig")
+    texts = kept.keep(first.where("slice is null").select("id", "n", "sig"), "texts")
     classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null")))
+    kept.drop("sizes")
     # posting lists of the first order: one row per class, only lists of two classes or more
     prefixes = _prefixes(rows, k, percent, classes).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ORDER_COLUMNS])
     prefixes = kept.keep(prefixes, "prefixes")
