@@ -400,6 +400,49 @@ def q_export_artefacts(spark, sf):
     return artefacts(_parts(spark, sf))
 
 
+def _load_artefacts(spark, sf, polarity):
+    """A16 sink, source and A17 in one: documents are written, read back and joined to the apps."""
+    import uuid
+
+    from plaudit.session import scratch_path
+    path = scratch_path(spark, f"artefacts-{uuid.uuid4().hex}")
+    TB.export_artefacts(q_export_artefacts(spark, sf), path)
+    return TB.load_artefacts(S.v_app_info(spark, sf), TB.read_artefacts(spark, path), polarity)
+
+
+@register("load_artefacts_positive")
+def q_load_artefacts_positive(spark, sf):
+    return _load_artefacts(spark, sf, "positive")
+
+
+@register("load_artefacts_negative")
+def q_load_artefacts_negative(spark, sf):
+    return _load_artefacts(spark, sf, "negative")
+
+
+@register("stored_reviews")
+def q_stored_reviews(spark, sf):
+    """A10: the review table is written by app, the negative reviews' apps are replaced by
+    their negative reviews alone, and what is then stored is read back."""
+    import uuid
+
+    from plaudit.session import scratch_path
+    path = scratch_path(spark, f"reviews-{uuid.uuid4().hex}")
+    r = S.v_reviews(spark, sf).select("review_id", "appid", "voted_up", "votes_up")
+    TB.write_reviews(r, path)
+    TB.write_reviews(r.filter(~F.col("voted_up") & (F.col("appid") % 2 == 0)), path)
+    return TB.read_reviews(spark, path)
+
+
+@register("union_pulls")
+def q_union_pulls(spark, sf):
+    """Two pulls with different columns; a column missing on one side is null."""
+    r = S.v_reviews(spark, sf)
+    positive = M.by_polarity(r, "positive").select("review_id", "appid", "votes_up")
+    negative = M.by_polarity(r, "negative").select("review_id", "playtime_at_review", "appid")
+    return P.union_pulls(positive, negative)
+
+
 # ---- streaming (S1) over the given tables ---------------------------------------
 
 @register("stream_monthly_counts")
@@ -422,8 +465,8 @@ def q_stream_monthly_counts(spark, sf):
 
 @register("stream_summary_upserts")
 def q_stream_summary_upserts(spark, sf):
-    """S2 end to end: refreshed summary rows land as files; the stream upserts
-    them into a versioned table that starts from the stored summaries."""
+    """S2 end to end: refreshed summary rows land as files; the stream upserts them, one file
+    a micro-batch, into a versioned table that starts from the stored summaries."""
     import uuid
 
     from plaudit.session import scratch_path
@@ -431,10 +474,11 @@ def q_stream_summary_upserts(spark, sf):
     run = uuid.uuid4().hex
     landed = scratch_path(spark, f"summaries-{run}")
     new = _new_summaries(spark, sf)
-    new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA]).write.parquet(landed)
+    new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA]).repartition(4).write.parquet(landed)
     table = scratch_path(spark, f"summary-table-{run}")
     initial = S.v_app_summary(spark, sf)
-    start_summary_upserts(spark, landed, table, name=f"summaries-{run}", initial=initial).awaitTermination()
+    start_summary_upserts(spark, landed, table, name=f"summaries-{run}", initial=initial,
+                          max_files_per_trigger=1).awaitTermination()
     return latest_version(spark, table, SUMMARY_SCHEMA)
 
 

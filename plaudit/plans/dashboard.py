@@ -48,11 +48,12 @@ def dashboard(app_info: DataFrame, app_summary: DataFrame, parts: dict[str, Data
 
 
 def artefacts(parts: dict[str, DataFrame]) -> DataFrame:
-    """The six documents per app as rows (appid, kind, json)."""
+    """The six documents per reviewed app as rows (appid, kind, json); the topic
+    documents of an app without topics are empty. Apps without reviews have a score only."""
     docs = [TB.artefact_score(parts["score"]), TB.artefact_radar(parts["radar"]),
             TB.artefact_playtime(parts["stages"]), TB.artefact_timeseries(parts["monthly"]),
-            TB.artefact_topics(parts["topic_map"], parts["words"], "positive"),
-            TB.artefact_topics(parts["topic_map"], parts["words"], "negative")]
+            TB.artefact_topics(parts["topic_map"], parts["words"], "positive", parts["counts"]),
+            TB.artefact_topics(parts["topic_map"], parts["words"], "negative", parts["counts"])]
     out = docs[0]
     for d in docs[1:]:
         out = out.unionByName(d)

@@ -449,3 +449,51 @@ ORACLE["export_playtime_json"] = f"""SELECT appid, 'playtime_sentiment' AS kind,
 FROM ({ORACLE['playtime_sentiment']}) p GROUP BY appid"""
 ORACLE["export_score_json"] = f"""SELECT appid, 'score' AS kind, to_json({{'score': score, 'suggestion': suggestion}}) AS json
 FROM ({ORACLE['recommend_score']}) s"""
+
+
+def _topics_doc(polarity: str, kind: str) -> str:
+    entry = ("cast(to_json(cast(topic_id AS varchar)) AS varchar) || ':' || "
+             "cast(to_json({'keywords': keywords, 'summary': summary}) AS varchar)")
+    return f"""SELECT c.appid, '{kind}' AS kind,
+  '{{"topic_map":{{' || coalesce(m.entries, '') || '}},"word_data":' || coalesce(w.word_data, '[]') || '}}' AS json
+FROM ({ORACLE['polarity_counts']}) c
+LEFT JOIN (SELECT appid, string_agg({entry}, ',' ORDER BY cast(topic_id AS varchar)) AS entries
+           FROM ({ORACLE['topic_map']}) t WHERE polarity = '{polarity}' GROUP BY appid) m USING (appid)
+LEFT JOIN (SELECT appid, cast(to_json(list({{'name': word, 'value': value, 'topic_id': topic_id}} ORDER BY topic_id, rank)) AS varchar) AS word_data
+           FROM ({ORACLE['topic_words']}) t WHERE polarity = '{polarity}' GROUP BY appid) w USING (appid)"""
+
+
+ORACLE["export_artefacts"] = "\nUNION ALL\n".join(
+    f"SELECT appid, kind, cast(json AS varchar) AS json FROM ({sql}) d"
+    for sql in (ORACLE["export_score_json"], ORACLE["export_radar_json"], ORACLE["export_playtime_json"],
+                ORACLE["export_timeseries_json"], _topics_doc("positive", "pos_topics"), _topics_doc("negative", "neg_topics")))
+
+
+def _load_artefacts_sql(topics_kind: str) -> str:
+    kinds = {"sc": "score", "tp": topics_kind, "ra": "radar", "pl": "playtime_sentiment", "ti": "timeseries"}
+    cols = ", ".join(f"max(CASE WHEN kind = '{k}' THEN json END) AS {c}" for c, k in kinds.items())
+    full = " AND ".join(f"{c} IS NOT NULL" for c in kinds)
+    either = lambda then, default: f"CASE WHEN ok THEN {then} ELSE {default} END"
+    return f"""WITH piv AS (SELECT appid, {cols} FROM ({ORACLE['export_artefacts']}) a GROUP BY appid),
+j AS (SELECT i.appid, sc, tp, ra, pl, ti, {full} AS ok FROM ({ORACLE['normalise_app_info']}) i LEFT JOIN piv USING (appid))
+SELECT appid, {either("cast(json_extract(sc, '$.score') AS int)", K.NEUTRAL_SCORE)} AS recommend_score,
+       {either("json_extract_string(sc, '$.suggestion')", q(K.ARTEFACT_READ_FAILED))} AS suggestion,
+       {either("cast(json_extract(tp, '$.word_data') AS varchar)", "'[]'")} AS word_data_json,
+       {either("cast(json_extract(tp, '$.topic_map') AS varchar)", "'{}'")} AS topic_map_json,
+       {either("ra", "'{}'")} AS radar_json, {either("pl", "'{}'")} AS playtime_sentiment_json,
+       {either("ti", "'{}'")} AS time_series_json, ok AS from_artefacts
+FROM j"""
+
+
+ORACLE["load_artefacts_positive"] = _load_artefacts_sql("pos_topics")
+ORACLE["load_artefacts_negative"] = _load_artefacts_sql("neg_topics")
+
+ORACLE["stored_reviews"] = with_ctes(V_REVIEWS, """replaced AS (
+  SELECT DISTINCT appid FROM v_reviews WHERE NOT voted_up AND appid % 2 = 0)""", body="""
+SELECT review_id, appid, voted_up, votes_up FROM v_reviews
+WHERE appid NOT IN (SELECT appid FROM replaced) OR NOT voted_up""")
+
+ORACLE["union_pulls"] = with_ctes(V_REVIEWS, body="""
+SELECT review_id, appid, CASE WHEN voted_up THEN votes_up END AS votes_up,
+       CASE WHEN NOT voted_up THEN playtime_at_review END AS playtime_at_review
+FROM v_reviews WHERE voted_up IS NOT NULL""")

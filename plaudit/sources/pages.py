@@ -38,6 +38,7 @@ PAGE = T.StructType([
     T.StructField("query_summary", SUMMARY),
     T.StructField("reviews", T.ArrayType(REVIEW)),
 ])
+SUMMARY_PAGE = T.StructType([PAGE["success"], PAGE["query_summary"]])
 
 # A2: the typed, empty review table keeps this schema
 REVIEW_TABLE = T.StructType([
@@ -91,7 +92,8 @@ def empty_reviews(spark) -> DataFrame:
 def extract_summary(pages: DataFrame, json_col: str = "json", keep: list[str] | None = None) -> DataFrame:
     """A3: the page's ``query_summary`` only when ``success == 1``."""
     keep = keep or []
-    p = parse_pages(pages, json_col).filter(F.col("page.success") == 1)
+    # only the two small fields are parsed; the reviews array is skipped
+    p = pages.withColumn("page", F.from_json(F.col(json_col), SUMMARY_PAGE)).filter(F.col("page.success") == 1)
     s = F.col("page.query_summary")
     return p.select("appid", *keep,
                     s["total_positive"].alias("total_positive"),

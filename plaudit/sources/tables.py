@@ -22,8 +22,9 @@ def write_reviews(df: DataFrame, path: str) -> None:
     """Replace the stored rows of exactly the apps present in ``df``.
 
     Partitioned by appid with dynamic partition overwrite: other apps' files
-    are untouched, and a failed job leaves the previous files in place."""
-    (df.write.mode("overwrite")
+    are untouched, and a failed job leaves the previous files in place. Rows are
+    rebalanced by app first, so small apps are one file and AQE splits a hot one."""
+    (df.hint("rebalance", F.col("appid")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy("appid").parquet(path))
 
@@ -166,8 +167,10 @@ def artefact_timeseries(monthly: DataFrame) -> DataFrame:
         F.transform("m", lambda x: x["negative"]).alias("negative_counts"))).alias("json"))
 
 
-def artefact_topics(tmap: DataFrame, words: DataFrame, polarity: str) -> DataFrame:
-    """``{topic_map: {id: {keywords, summary}}, word_data: [{name, value, topic_id}]}``."""
+def artefact_topics(tmap: DataFrame, words: DataFrame, polarity: str, apps: DataFrame | None = None) -> DataFrame:
+    """``{topic_map: {id: {keywords, summary}}, word_data: [{name, value, topic_id}]}``.
+
+    With ``apps`` (one row per appid) every app gets a document; it is empty for an app without topics."""
     kind = "pos_topics" if polarity == "positive" else "neg_topics"
     tm = (tmap.filter(F.col("polarity") == polarity).groupBy("appid")
           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
@@ -176,6 +179,8 @@ def artefact_topics(tmap: DataFrame, words: DataFrame, polarity: str) -> DataFra
     wd = (words.filter(F.col("polarity") == polarity).groupBy("appid")
           .agg(F.array_sort(F.collect_list(F.struct("topic_id", "rank", "word", "value"))).alias("w")))
     j = tm.join(wd, "appid", "full_outer")
+    if apps is not None:
+        j = apps.select("appid").join(j, "appid", "left")
     word_data = F.transform(F.coalesce("w", F.array().cast(wd.schema["w"].dataType)), lambda x: F.struct(
         x["word"].alias("name"), x["value"].alias("value"), x["topic_id"].alias("topic_id")))
     return j.select("appid", F.lit(kind).alias("kind"), F.to_json(F.struct(

@@ -176,10 +176,14 @@ def upsert_summaries(spark: SparkSession, table_path: str, initial: DataFrame |
 
 
 def start_summary_upserts(spark: SparkSession, source_path: str, table_path: str, name: str = "summaries",
-                          initial: DataFrame | None = None, available_now: bool = True):
+                          initial: DataFrame | None = None, available_now: bool = True,
+                          max_files_per_trigger: int | None = None):
     """Start the stream; returns the StreamingQuery."""
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    stream = spark.readStream.schema(SUMMARY_SCHEMA).parquet(source_path)
+    reader = spark.readStream.schema(SUMMARY_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_path)
     q = (stream.writeStream.option("checkpointLocation", ckpt)
          .foreachBatch(upsert_summaries(spark, table_path, initial)))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")

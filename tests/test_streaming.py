@@ -47,6 +47,17 @@ def test_streaming_summary_upsert(spark, tmp_dir):
     assert got[2].total_negative == 2
 
 
+def test_summary_upserts_in_several_batches(spark, tmp_dir):
+    now = dt.datetime(2024, 6, 1, 12)
+    src, table = os.path.join(tmp_dir, "summ"), os.path.join(tmp_dir, "summary_table")
+    for hours, positive in ((0, 1), (3, 4), (1, 2), (2, 3)):
+        spark.createDataFrame([(1, now + dt.timedelta(hours=hours), positive, 0, "Mixed"), (10 + hours, now, 1, 1, "Mixed")], ST.SUMMARY_SCHEMA) \
+            .coalesce(1).write.mode("append").parquet(src)
+    ST.start_summary_upserts(spark, src, table, name=f"s2n-{os.path.basename(tmp_dir)}", max_files_per_trigger=1).awaitTermination()
+    got = {r.appid: r.total_positive for r in ST.latest_version(spark, table, ST.SUMMARY_SCHEMA).collect()}
+    assert got == {1: 4, 10: 1, 11: 1, 12: 1, 13: 1}  # the latest row wins, whatever the order of arrival
+
+
 def test_streaming_drops_rows_behind_the_watermark(spark, tmp_dir):
     d = dt.datetime
     files = [

@@ -124,3 +124,21 @@ def test_page_rules(spark):
     one = P.flatten_reviews(pages.filter("appid = 4 and page_no = 0")).first()
     assert (one.author_name, one.author_avatar, one.voted_up, one.votes_up, one.timestamp_created) == ("s", "", False, 0, 0)
     assert P.extract_summary(pages).filter("appid = 2").count() == 3
+
+
+def test_topic_documents_of_apps_without_topics_are_empty(spark):
+    tmap = spark.createDataFrame([(1, "negative", 0, "a、b", "s")],
+                                 "appid int, polarity string, topic_id int, keywords string, summary string")
+    words = spark.createDataFrame([(1, "negative", 0, 1, "a", 10)],
+                                  "appid int, polarity string, topic_id int, rank int, word string, value int")
+    apps = spark.createDataFrame([(1,), (2,)], "appid int")
+    got = {r.appid: r.json for r in TB.artefact_topics(tmap, words, "negative", apps).collect()}
+    assert got == {1: '{"topic_map":{"0":{"keywords":"a、b","summary":"s"}},"word_data":[{"name":"a","value":10,"topic_id":0}]}',
+                   2: '{"topic_map":{},"word_data":[]}'}
+
+
+def test_union_of_pulls_with_different_columns(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x")], "id int, only_a string")
+    b = spark.createDataFrame([(2, 7)], "id int, only_b int")
+    got = sorted(((r.id, r.only_a, r.only_b) for r in P.union_pulls(a, b).collect()), key=str)
+    assert got == [(1, "x", None), (1, "x", None), (2, None, 7)]
