@@ -70,11 +70,11 @@ def signature(shingles: np.ndarray) -> int:
 
 
 def prefix(shingles: np.ndarray, order: int, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(n * threshold) + 1 shingles under a global order: over-full buckets last, else by hash."""
+    """The first n - ceil(n * threshold) + 1 shingles under a global order, in that order: over-full buckets last, else by hash, then by value."""
     n = len(shingles)
     p = n - (percent * n + 99) // 100 + 1
     place = (classes[shingles >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(58)) | (mix64(shingles ^ np.uint64(order)) >> np.uint64(6))
-    return shingles[np.argpartition(place, p - 1)[:p]] if p < n else shingles
+    return shingles[np.argsort(place, kind="stable")[:p]]
 
 
 FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()),
@@ -235,33 +235,39 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _across(members: DataFrame, percent: int, kept: Kept) -> DataFrame:
-    """Links (a, b) between components among the members of each leader; at most one per class and component and block."""
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
+def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components, from ``left`` to ``right``; at most one per class and component."""
+    passes = left["root"].to_numpy()[:, None] != right["root"].to_numpy()
+    for order in ORDER_COLUMNS:
+        if not passes.any():
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        passes = y["root"].to_numpy()[:, None] != x["root"].to_numpy()
-        for order in ORDER_COLUMNS:
-            if not passes.any():
-                break
-            passes &= common(list(y[order]), list(x[order])) > 0
-        i, j = np.nonzero(passes)
-        if len(i):
-            both = common(list(y["difference"]), list(x["difference"]))[i, j]
-            size = [f["difference"].map(len).to_numpy() for f in (y, x)]
-            n = y["n"].to_numpy()[i] + x["n"].to_numpy()[j]
-            shared = (n - (size[0][i] + size[1][j] - 2 * both.astype(np.int64))) // 2
-            stay = 100 * shared >= percent * (n - shared)
-            i, j = i[stay], j[stay]
-        out = pd.DataFrame({"a": y["sig"].to_numpy()[i], "b": x["sig"].to_numpy()[j], "root": x["root"].to_numpy()[j]})
-        return out.drop_duplicates(["a", "root"])[["a", "b"]]
-
-    members = kept.keep(members.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks"))), "members")
-    others = members.sparkSession.read.schema(members.schema).parquet(kept.paths["members"]).where("root != leader_root")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = members.withColumn("x", F.col("own")).withColumn("y", every)
-    right = others.withColumn("y", F.col("own")).withColumn("x", every)
-    return left.groupBy("leader", "x", "y").cogroup(right.groupBy("leader", "x", "y")).applyInPandas(run, "a long, b long")
+        passes &= common(list(left[order]), list(right[order])) > 0
+    i, j = np.nonzero(passes)
+    if len(i):
+        both = common(list(left["difference"]), list(right["difference"]))[i, j]
+        size = [f["difference"].map(len).to_numpy() for f in (left, right)]
+        n = left["n"].to_numpy()[i] + right["n"].to_numpy()[j]
+        shared = (n - (size[0][i] + size[1][j] - 2 * both.astype(np.int64))) // 2
+        stay = 100 * shared >= percent * (n - shared)
+        i, j = i[stay], j[stay]
+    out = pd.DataFrame({"a": left["sig"].to_numpy()[i], "b": right["sig"].to_numpy()[j], "root": right["root"].to_numpy()[j]})
+    return out.drop_duplicates(["a", "root"])[["a", "b"]]
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of each leader; every two blocks of members meet in one task."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        # of two components, one at least is not the leader's
+        other = rows["root"] != rows["leader_root"]
+        if rows["x"].iat[0] == rows["y"].iat[0]:
+            return _links(rows, rows[other], percent)
+        first = rows["own"] == rows["x"]
+        return pd.concat([_links(rows[first], rows[~first & other], percent), _links(rows[~first & ~other], rows[first & other], percent)])
+
+    members = members.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with")).drop("with", "blocks")
+    return members.groupBy("leader", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | None = None) -> DataFrame:
@@ -274,7 +280,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     spark = docs.sparkSession
     small_batches(spark)
     kept = kept or Kept(spark, "ngram")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    # two sets whose first common shingle has m shingles behind it in the one, and more in the other, share m at most (itself counted)
+    fits = lambda n, m, behind_n, behind_m: (100 + percent) * F.least(behind_n, behind_m) >= percent * (n + m)
     rows = docs.select(id_key(F.col("doc_id").cast("long")).alias("id"), "text")
     first = kept.keep(_sizes(rows, k), "sizes")
     texts = kept.keep(first.where("slice is null").select("id", "n", "sig"), "texts")
@@ -283,12 +290,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     # posting lists of the first order: one row per class, only lists of two classes or more
     prefixes = _prefixes(rows, k, percent, classes).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ORDER_COLUMNS])
     prefixes = kept.keep(prefixes, "prefixes")
-    lists = prefixes.select(F.explode(ORDER_COLUMNS[0]).alias("token"), "sig", "id", "n")
+    lists = prefixes.select("sig", "id", "n", F.posexplode(ORDER_COLUMNS[0]).alias("at", "token")).withColumn("behind", F.col("n") - F.col("at")).drop("at")
     lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").drop("many")
     alike = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    lists = lists.withColumn("alike", alike).withColumn("lead", F.min(F.struct("id", "sig", "n")).over(Window.partitionBy("token", "alike")))
-    lists = kept.keep(lists.select("token", "sig", "n", F.col("lead.sig").alias("leader"), F.col("lead.n").alias("leader_n")), "lists")
-    pairs = lists.where((F.col("sig") != F.col("leader")) & fits(F.col("n"), F.col("leader_n"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
+    lists = lists.withColumn("alike", alike).withColumn("lead", F.min(F.struct("id", "sig", "n", "behind")).over(Window.partitionBy("token", "alike")))
+    lists = lists.select("token", "sig", "n", "behind", F.col("lead.sig").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.behind").alias("leader_behind"))
+    lists = kept.keep(lists, "lists")
+    pairs = lists.where((F.col("sig") != F.col("leader")) & fits(*[F.col(c) for c in ("n", "leader_n", "behind", "leader_behind")])).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
     stars = _verified(pairs, rows, prefixes, k, percent, kept, "stars")
     links = stars.where("linked").select("a", "b")
     roots = kept.keep(components(links, kept, "round1_"), "roots").withColumnRenamed("node", "sig")
@@ -301,18 +309,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
                                           F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
     sizes = kept.keep(sizes.where("low != high").select("leader", "leader_root", "blocks"), "leaders")
     members = members.join(sizes, "leader").join(prefixes.select("sig", "n", *ORDER_COLUMNS), "sig")
-    across = kept.keep(_across(members, percent, kept), "across")
+    across = kept.keep(_across(members, percent), "across")
 
     # other pairs across components in one list
     met = stars.select(F.col("a").alias("sig"), F.col("b").alias("leader"), F.lit(True).alias("met"))
     open_ = lists.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     whole = Window.partitionBy("token")
     open_ = open_.withColumn("differ", F.min("root").over(whole) != F.max("root").over(whole)).where("differ")
-    open_ = open_.join(met, ["sig", "leader"], "left").select("token", "sig", "n", "root", "leader", (F.coalesce("met", F.lit(False)) | (F.col("sig") == F.col("leader"))).alias("met"))
+    open_ = open_.join(met, ["sig", "leader"], "left").select("token", "sig", "n", "behind", "root", "leader", (F.coalesce("met", F.lit(False)) | (F.col("sig") == F.col("leader"))).alias("met"))
     open_ = kept.keep(open_, "open")
-    side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "root", "leader", "met")])
+    side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "behind", "root", "leader", "met")])
     done = (F.col("leader_a") == F.col("leader_b")) & ((F.col("met_a") & F.col("met_b")) | (F.col("sig_a") == F.col("leader_a")) | (F.col("sig_b") == F.col("leader_b")))
-    pairs = side("a").join(side("b"), "token").where((F.col("root_a") < F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")) & ~done)
+    pairs = side("a").join(side("b"), "token").where((F.col("root_a") < F.col("root_b")) & fits(*[F.col(c) for c in ("n_a", "n_b", "behind_a", "behind_b")]) & ~done)
     pairs = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
     more = _verified(pairs, rows, prefixes, k, percent, kept, "more").where("linked").select("a", "b")
     roots = components(links.unionByName(across).unionByName(more), kept, "round2_")
