@@ -77,8 +77,17 @@ def test_ngram_join_equals_brute_force(corpus, k, percent):
     assert collect(ngram_join.near_duplicates(df, k, percent), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
-def test_near_copies_of_one_leader(spark):
-    """A family around one text whose members are often too far from it: pairs across components are found in blocks."""
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_copies_of_one_leader(spark, monkeypatch, block):
+    """A family around one text whose members are often too far from it: pairs across components are found in one block, or in many."""
+    across, seen = ngram_join._across, []
+
+    def spy(members, percent):
+        seen.append(members.agg(F.max("blocks")).first()[0])
+        return across(members, percent)
+
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(ngram_join, "_across", spy)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -96,6 +105,7 @@ def test_near_copies_of_one_leader(spark):
             root = [new if r == old else r for r in root]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+    assert seen[0] == 1 if block == 1024 else seen[0] > 2
     assert ngram_join.near_duplicates(got.select("doc_id", F.lit("").alias("text")).limit(0)).count() == 0
 
 
