@@ -62,6 +62,11 @@ def id_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(LEAST_ID))
 
 
+def row_hash(*columns: Column) -> Column:
+    """64 bits of the values; which ones are null counts (``xxhash64`` skips nulls)."""
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3, is 1 (a null id is not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plaudit.llm.common import LOWER, Kept, id_key, mix64, prefix_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
+from plaudit.llm.common import LOWER, Kept, id_key, mix64, prefix_hash, row_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
 from plaudit.llm.graph import components
 
 #: 4 million hash buckets count shingles, in 64 slices.
@@ -335,12 +335,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
 
 
 def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns) with the smallest id of each group of ``near_duplicates``; of rows that share that id, one."""
-    found = near_duplicates(docs, k, percent, kept).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """The rows of ``docs`` (all columns) that lead a group of ``near_duplicates``: of each group the row with the smallest id, null first.
+
+    Rows are told apart by a hash of id and text, so ids may be null or shared: rows whose texts are not linked never stand
+    for each other. Of a group's rows with the smallest id the smallest hash stays, and of rows equal in id and text the
+    one with the smallest hash of all columns. A row without words is a group of its own, repeated or not."""
     kept = kept or Kept(docs.sparkSession, "groups")
-    stay = kept.keep(found.groupBy(id_key(F.col("doc_id")).alias("__id")).agg(F.count("*").alias("__rows")), "stay")
-    rows = docs.withColumn("__key", id_key(F.col("doc_id").cast("long")))
-    alone = rows.join(stay.where("__rows = 1"), F.col("__key") == F.col("__id"), "left_semi")
+    id_ = id_key(F.col("doc_id").cast("long"))
+    rows = docs.withColumn("__key", row_hash(id_, F.col("text")))
+    found = near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"), k, percent, kept)
+    found = found.select(id_key(F.col("doc_id")).alias("__key"), (F.col("n_shingles") > 0).alias("words"), id_key(F.col("component_id")).alias("group")).distinct()
+    found = found.join(rows.groupBy("__key").agg(F.min(id_).alias("id"), F.count("*").alias("__rows")), "__key")
+    lead = found.where("words").groupBy("group").agg(F.min(F.struct("id", "__key", "__rows")).alias("lead")).select("lead.__key", "lead.__rows")
+    stay = kept.keep(lead.unionByName(found.where("not words").select("__key", F.lit(1).cast("long").alias("__rows"))), "stay")
+    out = rows.join(stay.where("__rows = 1"), "__key", "left_semi").select(*docs.columns)
     if not stay.where("__rows > 1").isEmpty():
-        alone = alone.unionByName(rows.join(stay.where("__rows > 1"), F.col("__key") == F.col("__id"), "left_semi").dropDuplicates(["__key"]))
-    return alone.drop("__key")
+        columns = [F.col(c) for c in docs.columns]
+        several = rows.join(stay.where("__rows > 1"), "__key", "left_semi")
+        out = out.unionByName(several.groupBy("__key").agg(F.min_by(F.struct(*columns), row_hash(*columns)).alias("__row")).select("__row.*"))
+    return out

@@ -109,6 +109,34 @@ def test_near_copies_of_one_leader(spark, monkeypatch, block):
     assert ngram_join.near_duplicates(got.select("doc_id", F.lit("").alias("text")).limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null and shared ids: rows of unlike texts never stand for each other, and no near copy survives by sharing an id."""
+    rng = random.Random(11)
+    prose = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a, "1"), (None, b, "2"), (None, c, "3"), (None, c, "4"), (None, c + " end", "5"),  # null ids, unlike texts
+            (7, d, "6"), (7, a + " end", "7"), (7, b + " end", "8"), (9, d + " end", "9"),  # only one row of id 7 leads
+            (8, e, "10"), (8, e, "11"), (8, e, None), (3, e + " end", "12"),
+            (None, None, "13"), (None, "", "14"), (4, " ", "15"), (4, " ", "16"), (None, None, "13")]
+    k, percent = 5, 80
+    sets = [{tuple(w[i:i + k]) for i in range(len(w) - k + 1)} for w in ((t or "").split() for _, t, _ in rows)]
+    root = list(range(len(rows)))
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        if sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+            root = [root[x] if r == root[y] else r for r in root]
+    least = {r: min(-1 if rows[i][0] is None else rows[i][0] for i in range(len(rows)) if root[i] == r) for r in root}
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    runs = [ngram_join.one_per_group(df.repartition(n), k, percent).collect() for n in (1, 3)]
+    assert sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
+    got = [tuple(r) for r in runs[0]]
+    assert not collections.Counter(got) - collections.Counter(rows)
+    of = [root[rows.index(r)] for r in got if (r[1] or "").strip()]
+    assert sorted(of) == sorted({r for r, s in zip(root, sets) if s})  # one row of every group
+    assert all((-1 if r[0] is None else r[0]) == least[root[rows.index(r)]] for r in got)
+    assert sorted(r[2] for r in got if not (r[1] or "").strip()) == ["13", "13", "14", "15", "16"]
+    assert ngram_join.one_per_group(df.limit(0)).count() == 0
+
+
 def test_suffix_dedup_equals_brute_force(corpus, monkeypatch):
     rows, df = corpus
     monkeypatch.setattr(suffix_dedup, "SPLIT_BLOCKS", 2)  # hot anchors are split
