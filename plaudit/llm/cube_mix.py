@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plaudit.llm.common import WORD_PATTERN, Kept
+from plaudit.llm.common import WORD_PATTERN, Kept, row_hash
 
 SMALL = 1e-9
 
@@ -147,12 +147,17 @@ def cube_mix(docs: DataFrame, ratio: float = 1.5, cap: float = 2.0, weights: Seq
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("pi")).cast("long").alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, kept: Kept | None = None, **options) -> DataFrame:
     """The mix itself: each document of ``docs`` as often as the mix takes it, with its columns.
 
-    Ids in ``docs`` are taken as unique (true for a corpus table); rows whose id is null are joined
-    on that null. Document rows that share id, source and size share one number of copies, the largest."""
-    plan = cube_mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies")
-    joined = docs.join(plan, docs.doc_id.eqNullSafe(F.col("__id")) & docs.source.eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    Rows are told apart by a hash of all columns, so ids may be null or shared and each row has its own number of copies;
+    of rows equal in every column one stands for the copies of all. Draws go by that hash."""
+    kept = kept or Kept(docs.sparkSession, "mix")
+    rows = docs.withColumn("__key", row_hash(*[F.col(c) for c in docs.columns]))
+    plan = cube_mix(rows.select(F.col("__key").alias("doc_id"), "text", "source"), kept=kept, **options)
+    plan = plan.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    plan = kept.keep(plan, "plan")
+    taken = rows.join(plan.where("__rows = 1"), "__key")
+    if not plan.where("__rows > 1").isEmpty():
+        taken = taken.unionByName(rows.join(plan.where("__rows > 1"), "__key").dropDuplicates(["__key"]))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
