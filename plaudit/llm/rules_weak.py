@@ -86,7 +86,7 @@ def score_rules(docs: DataFrame, kept: Kept | None = None) -> tuple[DataFrame, V
     doc_id stays null; other columns are not read; an empty table gives no rows."""
     kept = kept or Kept(docs.sparkSession, "rules")
     measured = kept.keep(votes(measures(docs)), "measured")
-    model = fit_votes(measured.groupBy(*RULES).agg(F.count("*").alias("n")), RULES, start=START, firm_share=1.0)
+    model = fit_votes(measured.groupBy(*RULES).agg(F.count("*").alias("n")), RULES, start=START)
     odds = model.log_odds([F.col(r) for r in RULES])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)

@@ -35,19 +35,17 @@ class VoteModel:
 
 
 def fit_votes(counted: DataFrame, rules: list[str], group: str | None = None, start=START, prior: float = 0.5, rounds: int = 60,
-              firm: float = 10.0, firm_share: float = 0.0) -> VoteModel:
+              firm: float = 10.0) -> VoteModel:
     """``counted`` has the rule columns, optionally a group column, and ``n``; at most groups * 3^rules rows are collected.
 
     Each rule has its chances of each vote on either side, shared by groups, and each group one prior; ``firm``
-    pseudo-counts pull chances to ``start`` and priors to ``prior``, so rare groups and rules stay sane. ``firm_share``
-    adds that share of all rows to the pseudo-counts of chances: with rules for unlike faults, plain likelihood
-    spends the second side on the largest group of faults that occur together and believes the other rules wrong."""
+    pseudo-counts pull chances to ``start`` and priors to ``prior``, so rare groups and rules stay sane; their number is
+    fixed, so the rows outweigh them as the table grows."""
     rows = [(str(r[group]) if group else "", [int(r[c]) + 1 for c in rules], float(r["n"])) for r in counted.collect()]
     chances = [[list(side) for side in start] for _ in rules]  # rule, side (0: yes, 1: no), vote + 1
     priors = {g: prior for g, _, _ in rows} or {"": prior}
-    weight = firm + firm_share * sum(n for _, _, n in rows)
     for _ in range(rounds):
-        votes_by = [[[weight * c for c in side] for side in start] for _ in rules]
+        votes_by = [[[firm * c for c in side] for side in start] for _ in rules]
         yes, total = {g: firm * prior for g in priors}, {g: firm for g in priors}
         for g, votes, n in rows:
             odds = math.log(priors[g] / (1 - priors[g])) + sum(math.log(c[0][v] / c[1][v]) for c, v in zip(chances, votes))
