@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from plaudit.llm.common import WORD_PATTERN, Kept, once
 from plaudit.llm.weak_supervision import VoteModel, fit_votes
 
-#: Low bits of a sort key that hold a word's place (texts up to 16 million words).
-_PLACE = (1 << 24) - 1
 #: What is believed of the rules before data: they seldom call a good text bad, and each sees few of the bad ones.
 START = ((0.002, 0.1, 0.898), (0.25, 0.1, 0.65))
 RULES = ["r_word_length", "r_symbols", "r_symbol_chars", "r_lines", "r_repeats", "r_capitals", "r_vocabulary", "r_exclaims", "r_sentences"]
@@ -23,15 +21,14 @@ RULES = ["r_word_length", "r_symbols", "r_symbol_chars", "r_lines", "r_repeats",
 def with_repeated_words(rows: DataFrame, triples: str, name: str) -> DataFrame:
     """Adds the number of words inside 3-word windows that occur twice or more. ``triples``: the windows' 64-bit hashes, in order.
 
-    Sort keys hold a hash's upper 40 bits and the place; neighbours with equal keys compare whole hashes, so a window
-    counts exactly if an equal one exists. Texts without repeats are not sorted."""
+    (Hash, place) pairs are sorted and neighbours compared, so a window counts exactly if an equal hash exists, whatever
+    the text's length. Texts without repeats are not sorted."""
     plain = F.size(F.array_distinct(triples)) == F.size(triples)
-    packed = F.transform(triples, lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
-    rows = once(rows, __keys=F.when(plain, F.array().cast("array<bigint>")).otherwise(F.sort_array(packed)))
-    whole = lambda x: F.get(F.col(triples), x.bitwiseAND(F.lit(_PLACE)).cast("int"))
-    same = lambda x, y: F.coalesce((F.shiftright(x.bitwiseXOR(y), 24) == 0) & (whole(x) == whole(y)), F.lit(False))
+    pairs = F.transform(triples, lambda h, i: F.struct(h.alias("hash"), i.cast("long").alias("place")))
+    rows = once(rows, __keys=F.when(plain, F.array().cast("array<struct<hash:bigint,place:bigint>>")).otherwise(F.sort_array(pairs)))
+    same = lambda x, y: F.coalesce(x["hash"] == y["hash"], F.lit(False))
     stay = F.filter("__keys", lambda x, i: same(x, F.get("__keys", i - 1)) | same(x, F.get("__keys", i + 1)))
-    places = F.sort_array(F.transform(stay, lambda x: x.bitwiseAND(F.lit(_PLACE))))
+    places = F.sort_array(F.transform(stay, lambda x: x["place"]))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
     add = lambda s, p: F.struct((s["n"] + p + 3 - F.greatest(p, s["upto"])).alias("n"), (p + 3).alias("upto"))
     return rows.withColumn(name, F.aggregate(places, zero, add, lambda s: s["n"])).drop("__keys")
