@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plaudit.session import checkpoint_dir
 
@@ -80,6 +82,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def arrow_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    """Rows of a Python worker as one Arrow batch of the schema."""
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [()] * len(arrow), arrow)], schema=arrow)
+
+
 # ---- Arrow text -----------------------------------------------------------------------------
 
 def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

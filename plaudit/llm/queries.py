@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import ann_crosspoly, byte_bpe, chat_fsm, cube_mix, langid_kn, ngram_join, pii_weak, quality_mil, rules_weak, suffix_dedup
+from plaudit.llm import (ann_crosspoly, byte_bpe, chat_fsm, chat_repair, cube_mix, html_suffix, langid_kn, ngram_join, pii_weak, quality_mil,
+                         rules_weak, suffix_dedup, token_align)
 from plaudit.llm.common import Kept
 
 
@@ -63,8 +64,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_html_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_suffix.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.align_documents(table(spark, sf_dir, "documents"), *paths, Kept(spark, "align"))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_digest(chat_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_kn, op3_chat_fsm, op4_byte_bpe, op5_pii_weak, op6_rules_weak, op7_cross_polytope, op8_ngram_join, op9_cube_mix, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_kn, op3_chat_fsm, op4_byte_bpe, op5_pii_weak, op6_rules_weak, op7_cross_polytope, op8_ngram_join,
+                                    op9_cube_mix, op10_suffix_dedup, op11_html_suffix, op12_token_align, op13_chat_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
