@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plaudit.llm.common import is_held_out, prefix_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
+from plaudit.llm.common import is_held_out, prefix_hash, row_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
 
 PASSAGE_WORDS = 64
 HASHED = 32
-#: Labelled documents per class that training may use, and passages of one document (evenly spread).
-SAMPLE_PER_CLASS, SAMPLE_PASSAGES = 2000, 64
+#: Labelled documents per class that training may use (all their passages count), and passages that one training step holds at a time.
+SAMPLE_PER_CLASS, STEP_PASSAGES = 2000, 1 << 15
 
 _CLASSES = ("A-Z", "a-z", "0-9", "#*$%&|<>", "!?", ".,;:", "other ASCII", "beyond ASCII")
 
@@ -127,15 +127,22 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, hidd
     first = {k: 0.0 for k in "VUwcb"}
     second = dict(first)
     total = weight.sum()
+    # whole bags, up to STEP_PASSAGES passages together; a longer bag is a part of its own
+    cuts = [0]
+    while cuts[-1] < len(n):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + STEP_PASSAGES, "right")) - 1))
     for step in range(1, steps + 1):
-        t, s, a, z = m.attend(x, at)
-        p = 1 / (1 + np.exp(-np.clip(z @ m.c + m.b, -40, 40)))
-        out = weight * (p - y) / total
-        back = np.repeat(out, n) * (x @ m.c)
-        e = a * (back - np.repeat(np.add.reduceat(a * back, at[:-1]), n))
-        gate = e[:, None] * m.w
-        grads = {"V": x.T @ (gate * s * (1 - t * t)) + decay * m.V, "U": x.T @ (gate * t * s * (1 - s)) + decay * m.U,
-                 "w": (t * s).T @ e + decay * m.w, "c": z.T @ out + decay * m.c, "b": out.sum()}
+        grads = {"V": decay * m.V, "U": decay * m.U, "w": decay * m.w, "c": decay * m.c, "b": 0.0}
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            bags, own = x[at[i]:at[j]], at[i:j + 1] - at[i]
+            t, s, a, z = m.attend(bags, own)
+            p = 1 / (1 + np.exp(-np.clip(z @ m.c + m.b, -40, 40)))
+            out = weight[i:j] * (p - y[i:j]) / total
+            back = np.repeat(out, n[i:j]) * (bags @ m.c)
+            e = a * (back - np.repeat(np.add.reduceat(a * back, own[:-1]), n[i:j]))
+            gate = e[:, None] * m.w
+            for k, g in (("V", bags.T @ (gate * s * (1 - t * t))), ("U", bags.T @ (gate * t * s * (1 - s))), ("w", (t * s).T @ e), ("c", z.T @ out), ("b", out.sum())):
+                grads[k] = grads[k] + g
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -146,7 +153,8 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, hidd
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> AttentionMIL | None:
     """Learn from at most ``per_class`` labelled, not held-out documents of each class (by hash of the id).
 
-    Ids with labels of both kinds count as good if most are. No labelled rows of either class: no model."""
+    Ids with labels of both kinds count as good if most are. Of rows that share an id the one with the least hash of its text is
+    learned from, so at most 2 * ``per_class`` texts reach the driver, as features. No labelled rows of either class: no model."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -164,11 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
             for _, _, data, offs in text_chunks(batch.column("text")):
                 x, at = encode(data, offs)
                 for a, b in zip(at[:-1], at[1:]):
-                    out.append(x[np.unique(np.linspace(a, b - 1, SAMPLE_PASSAGES).round().astype(int))].tobytes())
+                    out.append(x[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(out, pa.binary())], schema.names)
 
-    # at most 2 * per_class ids are broadcast, and as many bags of SAMPLE_PASSAGES passages come back
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(passages, schema).toArrow()
+    # at most 2 * per_class ids are broadcast, and as many bags come back; a task folds an id's rows before the shuffle
+    one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", row_hash(F.col("text"))).alias("text"))
+    got = one.mapInArrow(passages, schema).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
     y = got.column("y").to_numpy()[order].astype(float)
