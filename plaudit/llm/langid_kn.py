@@ -42,6 +42,16 @@ def fold_table() -> np.ndarray:
     return _FOLD[0]
 
 
+def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text holds a letter; marks alone (variation selectors, keycaps) are none."""
+    if len(_FOLD) < 2:
+        fold_table()
+        _FOLD.append(np.array([unicodedata.category(chr(code))[0] == "L" for code in range(0x110000)]))
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    upto = np.concatenate([[0], np.cumsum(_FOLD[1][codes])])
+    return np.diff(upto[np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]]) > 0
+
+
 def long_hash(left: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """64 bits of the four symbols ``left`` and then ``gram``."""
     return mix64(mix64(gram.view(np.uint64)) + left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -226,6 +236,7 @@ def score_texts(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
                 k = h.argmin(1)
                 low = h[np.arange(len(h)), k]
                 odds = np.exp(-(h - low[:, None]) * np.minimum(n, POSTERIOR_SYMBOLS)[:, None]).sum(1)
+                n = np.where(has_letter(data, offs), n, 0)
                 best += [names[i] if m else "und" for i, m in zip(k, n)]
                 sure += [float(1 / o) if m else 0.0 for o, m in zip(odds, n)]
                 cross += [float(x) if m else None for x, m in zip(low, n)]
