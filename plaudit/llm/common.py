@@ -74,11 +74,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns whose expressions run once per row. As plain projections they may be merged into
+def once(df: DataFrame, replace: bool = False, **columns: Column) -> DataFrame:
+    """Add (or ``replace``) columns whose expressions run once per row. As plain projections they may be merged into
     the lambdas that read them and run once per element; a one-element generator is not."""
     for name, column in columns.items():
-        df = df.select("*", F.explode(F.array(column)).alias(name))
+        before = [c for c in df.columns if c != name] if replace else ["*"]
+        df = df.select(*before, F.explode(F.array(column)).alias(name))
     return df
 
 

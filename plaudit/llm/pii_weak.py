@@ -50,18 +50,68 @@ CUES = {
 PLAIN_CUES = "version|page|isbn|issn|section|figure|year|total|price"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern with start and end in code points, left to right: gaps and matches are added up in turn."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+#: Spans that one running sum goes over, and characters in a chunk of a text: what is looked up among many is looked up in two steps.
+SLICE, CHUNK = 256, 1024
+SPANS_TYPE = "array<struct<start:bigint,end:bigint,match:string>>"
+
+
+def sliced(array: Column) -> Column:
+    """An array column cut into slices; appending to a running result then costs a slice, not all that stands before."""
+    last = F.greatest(F.ceil(F.size(array) / SLICE) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda i: F.slice(array, (i * SLICE + 1).cast("int"), SLICE))
+
+
+def before_each(slices: Column, value, zero: Column, join) -> Column:
+    """For each slice what ``join`` makes of ``zero`` and the ``value`` of all slices before it."""
+    kind = "array<bigint>"
+    return F.aggregate(slices, F.struct(zero.alias("at"), F.array().cast(kind).alias("out")),
+                       lambda s, x: F.struct(join(s["at"], value(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
+def with_matches(rows: DataFrame, text: Column, patterns: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Add ``__found``: for each of ``patterns`` (where to look, pattern) all matches with start and end in code points, left to right.
+
+    Lengths of gaps and matches are added up inside slices, then over slices, so the work is linear in a text's matches."""
+    def pairs(where: Column, pattern: str) -> Column:
+        found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        none = F.array().cast("array<struct<match:string,gap:bigint>>")
+        return F.when(where, F.filter(F.arrays_zip(found.alias("match"), gaps.alias("gap")), lambda x: x["match"].isNotNull())).otherwise(none)
 
     def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
+        start = s["at"] + x["gap"]
         end = start + F.length(x["match"])
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(found.alias("match"), gaps.alias("gap")), lambda x: x["match"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda s: s["out"])
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS_TYPE).alias("out"))
+    rows = once(rows, __found=F.array(*[pairs(*p) for p in patterns.values()]))
+    rows = once(rows, __found=F.transform("__found", sliced), replace=True)
+    rows = once(rows, __found=F.transform("__found", lambda kind: F.transform(kind, lambda one: F.aggregate(one, start, add))), replace=True)
+    rows = once(rows, __at=F.transform("__found", lambda kind: before_each(kind, lambda x: x["at"], F.lit(0).cast("long"), lambda a, b: a + b)))
+    moved = lambda one, at: F.transform(one["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["match"].alias("match")))
+    rows = once(rows, __found=F.zip_with("__found", "__at", lambda kind, at: F.flatten(F.zip_with(kind, at, moved))), replace=True)
+    return rows.drop("__at")
+
+
+def chunks(text: Column) -> Column:
+    """The text in chunks, for ``piece``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(cut: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text in chunks; only the chunks they lie in are gone through."""
+    first = F.floor(start / CHUNK)
+    near = F.array_join(F.slice(cut, (first + 1).cast("int"), (F.floor(F.greatest(end - 1, start) / CHUNK) - first + 1).cast("int")), "")
+    return F.when(end > start, F.substr(near, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
+def blocks_of(spans: Column) -> Column:
+    """Spans (start, end) sorted and sliced, each slice with its least start and greatest end, for ``meets``."""
+    return F.transform(sliced(spans), lambda one: F.struct(F.array_min(F.transform(one, lambda x: x["start"])).alias("low"), F.array_max(F.transform(one, lambda x: x["end"])).alias("high"), one.alias("spans")))
+
+
+def meets(blocks: str, w: Column) -> Column:
+    over = lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])
+    return F.exists(blocks, lambda one: (one["low"] < w["end"]) & (w["start"] < one["high"]) & F.exists(one["spans"], over))
 
 
 def digits(match: Column) -> Column:
@@ -89,39 +139,36 @@ def valid(kind: str, match: Column) -> Column:
 
 def annotated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (their columns kept) with ``__base`` (kind, start, end, match), and ``__wide`` candidates; no shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
-    out = docs.withColumn("__text", text)
+    out = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     text = F.col("__text")
-    has = {"email": F.instr(text, "@") > 0, "phone": text.rlike(r"\+[0-9]")}
-    out = out.withColumn("__digit", text.rlike("[0-9]"))
+    digit = text.rlike("[0-9]")
+    where = {"email": F.instr(text, "@") > 0, "phone": text.rlike(r"\+[0-9]"), "secret": text.rlike(r"[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{12}")}
+    patterns = {**PATTERNS, "secret": SECRET, "number": NUMBER}
+    out = with_matches(out, text, {kind: (where.get(kind, digit), patterns[kind]) for kind in KINDS})
+    found = {kind: F.col("__found")[i] for i, kind in enumerate(KINDS)}
     tagged = lambda spans, kind: F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"], x["end"], x["match"]))
-    for kind in BASE:
-        out = once(out, **{f"__{kind}": F.when(has.get(kind, F.col("__digit")), matches(text, PATTERNS[kind])).otherwise(none)})
-    checked = lambda kind: F.filter(f"__{kind}", lambda x: valid(kind, x["match"]))
-    base = F.concat(*[tagged(checked(kind), kind) for kind in BASE])
-    out = out.withColumn("__secret", F.when(text.rlike(r"[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{12}"), matches(text, SECRET)).otherwise(none))
-    out = out.withColumn("__number", F.when(F.col("__digit"), matches(text, NUMBER)).otherwise(none))
+    base = F.concat(*[tagged(F.filter(found[kind], lambda x: valid(kind, x["match"])), kind) for kind in BASE])  # noqa: B023
     value = lambda x: F.regexp_extract(x["match"], SECRET_VALUE, 1)
-    secrets = F.transform("__secret", lambda x: F.struct(F.lit("secret").alias("kind"), (x["end"] - F.length(value(x))).alias("start"), x["end"].alias("end"), x["match"].alias("match")))
-    out = once(out, __base=base, __near=F.concat(secrets, tagged(F.col("__number"), "number")))
-    free = lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    out = once(out, __free=F.when(F.size("__near") > 0, F.filter("__near", free)).otherwise(F.col("__near")))
+    secrets = F.transform(found["secret"], lambda x: F.struct(F.lit("secret").alias("kind"), (x["end"] - F.length(value(x))).alias("start"), x["end"].alias("end"), x["match"].alias("match")))
+    out = once(out, __base=base, __near=F.concat(secrets, tagged(found["number"], "number"))).drop("__found")
+    places = lambda spans: F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["end"])))
+    out = once(out, __places=places("__base"))
+    out = once(out, __blocks=blocks_of(F.col("__places")))
+    out = once(out, __free=F.when(F.size("__near") > 0, F.filter("__near", lambda w: ~meets("__blocks", w))).otherwise(F.col("__near"))).drop("__blocks", "__places")
     # a number inside a secret is part of it
-    alone = lambda w: (w["kind"] == "secret") | ~F.exists("__free", lambda b: (b["kind"] == "secret") & (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    out = once(out, __wide=F.when(F.size("__free") > 1, F.filter("__free", alone)).otherwise(F.col("__free")))
-    return out.drop("__digit", "__secret", "__number", "__near", "__free", *[f"__{kind}" for kind in BASE])
+    out = once(out, __places=places(F.filter("__free", lambda b: b["kind"] == "secret")))
+    out = once(out, __blocks=blocks_of(F.col("__places")))
+    out = once(out, __wide=F.when(F.size("__free") > 1, F.filter("__free", lambda w: (w["kind"] == "secret") | ~meets("__blocks", w))).otherwise(F.col("__free")))
+    return out.drop("__near", "__free", "__places", "__blocks")
 
 
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def _labels(c: Column, text: Column) -> list[Column]:
-    """The labelers' votes on one candidate (kind, start, end, match) of a text."""
-    kind, match = c["kind"], c["match"]
-    before = F.substr(text, F.greatest(c["start"] - 39, F.lit(1)).cast("int"), F.least(c["start"], F.lit(40)).cast("int"))
-    edge = F.concat(F.when(c["start"] > 0, F.substr(text, c["start"].cast("int"), F.lit(1))).otherwise(""), F.substr(text, (c["end"] + 1).cast("int"), F.lit(1)))
+def _labels(c: Column) -> list[Column]:
+    """The labelers' votes on one candidate (kind, start, end, match) with what stands ``before`` it and at its ``edge``."""
+    kind, match, before, edge = c["kind"], c["match"], c["before"], c["edge"]
     value = F.when(kind == "secret", F.regexp_extract(match, SECRET_VALUE, 1)).otherwise(match)
     key = F.lower(F.regexp_extract(match, "^[A-Za-z0-9_]+", 0))
     of = lambda **by: F.coalesce(*[F.when(kind == k, v) for k, v in by.items()], F.lit(0))
@@ -142,15 +189,22 @@ def _labels(c: Column, text: Column) -> list[Column]:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """``annotated`` rows with ``__votes``: each candidate (base first) with its votes and size class."""
-    text = F.col("__text")
+    def around(c: Column) -> Column:
+        start, end = c["start"], c["end"]
+        before = piece(F.col("__chunks"), F.greatest(start - 40, F.lit(0)), start)
+        edge = F.concat(piece(F.col("__chunks"), F.greatest(start - 1, F.lit(0)), start), piece(F.col("__chunks"), end, end + 1))
+        return F.struct(c["kind"].alias("kind"), start.alias("start"), end.alias("end"), c["match"].alias("match"), before.alias("before"), edge.alias("edge"))
 
     def judged(c: Column) -> Column:
         size = F.least(F.floor(F.log2((c["end"] - c["start"]).cast("double"))), F.lit(12)).cast("int")
-        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), size.alias("size"), *[v.alias(n) for v, n in zip(_labels(c, text), LABELERS)])
+        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), size.alias("size"), *[v.alias(n) for v, n in zip(_labels(c), LABELERS)])
 
     both = F.concat("__base", "__wide")
     kind = "array<struct<kind:string,start:bigint,end:bigint,size:int," + ",".join(f"{v}:int" for v in LABELERS) + ">>"
-    return once(rows, __votes=F.when(F.size(both) > 0, F.transform(both, judged).cast(kind)).otherwise(F.array().cast(kind)))
+    rows = once(rows, __chunks=F.when(F.size(both) > 0, chunks(F.col("__text"))).otherwise(F.array().cast("array<string>")))
+    rows = once(rows, __around=F.transform(both, around))
+    rows = once(rows, __votes=F.when(F.size("__around") > 0, F.transform("__around", judged).cast(kind)).otherwise(F.array().cast(kind)))
+    return rows.drop("__around")
 
 
 @dataclass(frozen=True)
@@ -220,13 +274,20 @@ def redact(docs: DataFrame) -> DataFrame:
     model = fit(candidates(annotated(docs.select("text"))).select("__votes"))
     rows = candidates(annotated(docs))
     found = F.sort_array(F.transform(spans(model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda s, c: F.when(c["start"] >= s["at"], F.struct(c["end"].alias("at"), F.concat(s["out"], F.array(
-        F.substr("__text", (s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int")), F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]")))).alias("out"))).otherwise(
-        F.struct(F.greatest(s["at"], c["end"]).alias("at"), s["out"].alias("out")))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr("__text", (s["at"] + 1).cast("int"), F.length("__text")))
     rows = once(rows, __spans=found)
-    text = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, piece, rest)).otherwise(F.col("text"))
+    rows = once(rows, __slices=sliced(F.col("__spans")))
+    highest = lambda one: F.coalesce(F.array_max(F.transform(one, lambda x: x["end"])), F.lit(0).cast("long"))
+    rows = once(rows, __from=before_each(F.col("__slices"), highest, F.lit(0).cast("long"), F.greatest))
+
+    def replaced(one: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+        add = lambda s, c: F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(c["start"] >= s["at"], F.concat(s["out"], F.array(
+            piece(F.col("__chunks"), s["at"], c["start"]), F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))))).otherwise(s["out"]).alias("out"))
+        return F.aggregate(one, start, add, lambda s: s["out"])
+
+    rows = once(rows, __pieces=F.flatten(F.zip_with("__slices", "__from", replaced)))
+    rest = piece(F.col("__chunks"), highest(F.col("__spans")), F.length("__text").cast("long"))
+    text = F.when(F.size("__spans") > 0, F.concat(F.array_join("__pieces", ""), rest)).otherwise(F.col("text"))
     rows = rows.withColumn("__new", text)
     columns = [F.col("__new").alias(c) if c == "text" else F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return rows.select(*columns)
