@@ -98,18 +98,22 @@ def cube_mix(docs: DataFrame, ratio: float = 1.5, cap: float = 2.0, weights: Seq
 
     ``size`` counts words (null text: 0); ``copies`` is how often the mix takes the document,
     a whole number up to ``cap`` (rounded up). A row without words is never taken (copies 0), so it
-    needs no balancing. A null source is a source of its own; a null doc_id and repeated rows are
-    rows like others. An empty table gives an empty result. Other columns are not read. Draws are
+    needs no balancing. A null source is a source of its own; a null doc_id is an id, and rows that share
+    id, source and size are rows like others, dealt over blocks by their number. An empty table gives an empty result. Other columns are not read. Draws are
     seeded by source and block and rows are taken in order of size and hashed id, so reruns agree."""
     spark = docs.sparkSession
     kept = kept or Kept(spark, "cube")
     sized = kept.keep(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")), "sized")
     targets = kept.keep(source_targets(sized, ratio, cap, weights), "targets").withColumnRenamed("source", "of")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("share", share)
+    # rows equal in source, id and size stand for each other: counted, then numbered, so that they are dealt over blocks
+    units = sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("many"))
+    units = units.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(block_rows).cast("long"))))
+    units = units.withColumn("number", F.explode(F.sequence("first", F.least(F.col("first") + block_rows, F.col("many")) - 1))).drop("first", "many")
+    units = units.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("share", share)
     units = units.withColumn("whole", F.floor(F.col("share") + SMALL))
     units = units.withColumn("pi", F.when((F.col("size") > 0) & (F.col("share") - F.col("whole") > SMALL), F.col("share") - F.col("whole")).otherwise(0.0))
-    units = units.withColumn("place", F.xxhash64("doc_id", "size", F.lit(seed))).drop("share")
+    units = units.withColumn("place", F.xxhash64("doc_id", "size", "number", F.lit(seed))).drop("share", "number")
     schema = units.schema
 
     def run(last: bool):
