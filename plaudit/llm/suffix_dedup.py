@@ -32,8 +32,9 @@ from pyspark.sql.window import Window
 
 from plaudit.llm.common import Kept, id_key, prefix_hash, small_batches, span_hash, text_chunks
 
-#: Bytes hashed for an anchor, blocks of one anchor in a split, bytes that one suffix sort takes.
-ANCHOR, SPLIT_BLOCKS, SORT_BYTES = 32, 4096, 4 << 20
+#: Bytes hashed for an anchor, blocks of one anchor in a split, bytes that one suffix sort takes, windows of a long text looked at together.
+ANCHOR, SPLIT_BLOCKS, SORT_BYTES, PART_WINDOWS = 32, 4096, 4 << 20, 1 << 24
+#: Bits of a window's place in what is looked at together: PART_WINDOWS and more.
 _PLACE_BITS = 28
 
 
@@ -50,10 +51,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def blocks(data: np.ndarray, offs: np.ndarray, length: int, size: int):
     """(text number, anchor hash, fingerprint, start, windows) of all blocks of a chunk of texts; starts count from the chunk's begin."""
     none = np.zeros(0, np.int64)
-    if len(data) < length or len(data) >= 1 << _PLACE_BITS:
-        if len(data) < length:
-            return none, none.astype(np.uint64), none.astype(np.uint64), none, none
-        raise ValueError("texts of 256 MB and more must be cut before")
+    if len(data) < length:
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
     prefix = prefix_hash(data)
     at = np.arange(len(data) - size + 1)
     gram = span_hash(prefix, at, at + size)
@@ -74,6 +73,18 @@ def blocks(data: np.ndarray, offs: np.ndarray, length: int, size: int):
     return text, gram[anchor[starts]], span_hash(prefix, starts, ends + length - 1), starts, ends - starts
 
 
+def parts(data: np.ndarray, offs: np.ndarray, length: int):
+    """(begin, bytes, offsets) to look for blocks in: the chunk itself, or a long text in parts that overlap by a window but for a byte.
+
+    A part's border may end a block early; its windows are the same."""
+    if len(offs) > 2 or len(data) <= PART_WINDOWS + length:
+        yield 0, data, offs
+        return
+    for begin in range(0, len(data) - length + 1, PART_WINDOWS):
+        end = min(begin + PART_WINDOWS + length - 1, len(data))
+        yield begin, data[begin:end], np.array([0, end - begin])
+
+
 def repeats_of(pieces: list[bytes], windows: np.ndarray, length: int) -> np.ndarray:
     """Difference-cover suffix sort of the pieces one after the other: for each window (piece by piece, ``windows`` of each)
     the number of the first equal window."""
@@ -123,9 +134,9 @@ def covered(starts: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
-#: A block's row is narrow, as there are many: ``print`` is 48 bits of fingerprint and 16 of the number of windows,
-#: ``at`` 16 bits of the text's hash (which orders texts that share an id) and 48 of the start.
-BLOCKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "print", "id", "at")])
+#: A block's row is narrow, as there are many: ``print`` is 48 bits of fingerprint and 16 of the number of windows.
+#: ``h`` (64 bits of the text's hash, which order and tell apart texts that share an id) is there only if ids are shared.
+BLOCKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "print", "id", "start", "h")])
 PIECES = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("split", T.LongType()), T.StructField("splits", T.LongType()), T.StructField("id", T.LongType()), T.StructField("h", T.LongType()),
                        T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
 SORTED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType()),
@@ -133,17 +144,20 @@ SORTED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.L
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _blocks(rows: DataFrame, length: int, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, length: int, size: int, shared: bool) -> DataFrame:
+    schema = T.StructType(BLOCKS.fields[:5 if shared else 4])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h"))
-            for row, end, data, offs in text_chunks(batch.column("text")):
-                text, anchor, print_, start, windows = blocks(data, offs, length, size)
-                print_ = (print_ & ~np.uint64(0xFFFF) | windows.astype(np.uint64)).view(np.int64)
-                at = hs[row:end][text].astype(np.int64) << 48 | (start - offs[text])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor.view(np.int64), print_, ids[row:end][text], at)], BLOCKS.names)
+            for row, end, chunk, offsets in text_chunks(batch.column("text")):
+                for begin, data, offs in parts(chunk, offsets, length):
+                    text, anchor, print_, start, windows = blocks(data, offs, length, size)
+                    print_ = (print_ & ~np.uint64(0xFFFF) | windows.astype(np.uint64)).view(np.int64)
+                    columns = (anchor.view(np.int64), print_, ids[row:end][text], begin + start - offs[text], hs[row:end][text])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns[:len(schema)]], schema.names)
 
-    return rows.mapInArrow(run, BLOCKS)
+    return rows.mapInArrow(run, schema)
 
 
 def _pieces(rows: DataFrame, length: int) -> DataFrame:
@@ -247,18 +261,21 @@ def repeated_spans(docs: DataFrame, length: int = 100, kept: Kept | None = None)
     small_batches(spark)
     kept = kept or Kept(spark, "suffix")
     size = min(ANCHOR, length // 2)
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 15))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id").cast("long")).alias("id"), h.alias("h"), "text")
-    same, anchor = Window.partitionBy("anchor", "print").orderBy("id", "at"), Window.partitionBy("anchor")
+    id_ = id_key(F.col("doc_id").cast("long"))
+    shared = not docs.groupBy(id_).count().where("count > 1").isEmpty()
+    h = F.coalesce(F.xxhash64("text"), F.lit(0)) if shared else F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_.alias("id"), h.alias("h"), "text")
+    place = ["id", "h", "start"] if shared else ["id", "start"]
+    same, anchor = Window.partitionBy("anchor", "print").orderBy(*place), Window.partitionBy("anchor")
     # rows equal in id and text have equal blocks: rank() lets all of them be first
-    found = _blocks(rows, length, size).withColumn("again", F.rank().over(same) > 1)
+    found = _blocks(rows, length, size, shared).withColumn("again", F.rank().over(same) > 1)
     found = found.withColumn("differ", F.min("print").over(anchor) != F.max("print").over(anchor))
     found = found.withColumn("splits", F.ceil(F.count(F.when(~F.col("again"), 1)).over(anchor) / SPLIT_BLOCKS).cast("long")).where("again or differ")
-    start, windows = F.col("at").bitwiseAND(F.lit((1 << 48) - 1)).cast("int").alias("start"), F.col("print").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("windows")
-    info = found.groupBy("id", F.shiftright("at", 48).alias("h")).agg(
+    start, windows = F.col("start").cast("int").alias("start"), F.col("print").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("windows")
+    info = found.groupBy("id", *(["h"] if shared else [])).agg(
         F.collect_set(F.when(F.col("again"), F.struct(start, windows))).alias("again"), F.collect_set(F.when(~F.col("again"), F.struct(start, windows, "anchor", "splits"))).alias("open"))
     info = kept.keep(info, "info")
-    joined = rows.join(info, ["id", "h"], "left").select("doc_id", "id", "h", "text", "again", "open")
+    joined = rows.join(info, place[:-1], "left").select("doc_id", "id", "h", "text", "again", "open")
     types = {f.name: f.dataType for f in joined.schema}
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("id", T.LongType()), ("h", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", SPANS),
                                                              ("kept_sha256", T.StringType()), ("text", T.StringType()), ("again", types["again"]), ("open", types["open"]))])
