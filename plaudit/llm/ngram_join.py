@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 from plaudit.llm.common import LOWER, Kept, id_key, mix64, prefix_hash, row_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
 from plaudit.llm.graph import components
 
-#: 4 million hash buckets count shingles, in 64 slices.
-COUNT_BITS, SLICE = 22, 1 << 16
+#: 16 million hash buckets count shingles, in 256 slices.
+COUNT_BITS, SLICE = 24, 1 << 16
 #: Classes of one leader that a task compares at a time, and shingles in one column block.
 BLOCK_MEMBERS = 1024
 #: Bits of the hash that places an id in the bitmap of wanted texts.
@@ -109,7 +109,7 @@ def _sizes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def frequency_classes(counted: DataFrame) -> np.ndarray:
-    """Class of each bucket: 0 up to one deviation above the mean, then one more for each quarter of a doubling. 4 MB, whatever the input.
+    """Class of each bucket: 0 up to one deviation above the mean, then one more for each quarter of a doubling. 16 MB, whatever the input.
 
     Any order of shingles is valid; this one puts a shingle that even a few more texts share than usual behind most others."""
 
@@ -120,14 +120,17 @@ def frequency_classes(counted: DataFrame) -> np.ndarray:
                 sums[one] = sums.get(one, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], SLICES.names)
 
-    # slices are dealt over tasks and summed batch by batch; 64 summed slices come back
-    counts = np.zeros(1 << COUNT_BITS)
+    # slices are dealt over tasks and summed batch by batch; the summed slices come back one by one
+    counts = np.zeros(1 << COUNT_BITS, np.uint32)
     for row in counted.select("slice", "counts").repartition("slice").mapInArrow(add, SLICES).toLocalIterator():
-        counts[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    mean = counts.mean()
-    deviation = np.sqrt(mean) + 0.5
-    over = (counts - mean) / deviation
-    return np.where(over <= 1, 0, np.minimum(np.ceil(2 * np.log2(np.maximum(over, 1.01)) * 2), 60)).astype(np.uint8)
+        summed = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+        counts[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] += np.minimum(summed, 0xFFFFFFFF).astype(np.uint32)
+    mean = counts.mean(dtype=np.float64)
+    classes = np.zeros(1 << COUNT_BITS, np.uint8)
+    for i in range(0, len(counts), SLICE):
+        over = (counts[i:i + SLICE] - mean) / (np.sqrt(mean) + 0.5)
+        classes[i:i + SLICE] = np.where(over <= 1, 0, np.minimum(np.ceil(2 * np.log2(np.maximum(over, 1.01)) * 2), 60))
+    return classes
 
 
 def _longs(arrays) -> pa.Array:
@@ -235,8 +238,26 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between components (by root) as few as hold the same components together: each joins two that were apart."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    stay = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            stay.append(k)
+    return a[stay], b[stay]
+
+
 def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between components, from ``left`` to ``right``; at most one per class and component."""
+    """Links between components, from ``left`` to ``right``, as links of their roots; only a spanning forest is sent on."""
     passes = left["root"].to_numpy()[:, None] != right["root"].to_numpy()
     for order in ORDER_COLUMNS:
         if not passes.any():
@@ -250,12 +271,12 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFram
         shared = (n - (size[0][i] + size[1][j] - 2 * both.astype(np.int64))) // 2
         stay = 100 * shared >= percent * (n - shared)
         i, j = i[stay], j[stay]
-    out = pd.DataFrame({"a": left["sig"].to_numpy()[i], "b": right["sig"].to_numpy()[j], "root": right["root"].to_numpy()[j]})
-    return out.drop_duplicates(["a", "root"])[["a", "b"]]
+    a, b = forest(left["root"].to_numpy()[i], right["root"].to_numpy()[j])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components among the members of each leader; every two blocks of members meet in one task."""
+    """Links (a, b) between the roots of components among the members of each leader; every two blocks of members meet in one task."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # of two components, one at least is not the leader's
         other = rows["root"] != rows["leader_root"]
@@ -298,8 +319,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     lists = kept.keep(lists, "lists")
     pairs = lists.where((F.col("sig") != F.col("leader")) & fits(*[F.col(c) for c in ("n", "leader_n", "behind", "leader_behind")])).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
     stars = _verified(pairs, rows, prefixes, k, percent, kept, "stars")
-    links = stars.where("linked").select("a", "b")
+    links = kept.keep(stars.where("linked").select("a", "b"), "links")
     roots = kept.keep(components(links, kept, "round1_"), "roots").withColumnRenamed("node", "sig")
+    kept.drop(*[name for name in kept.paths if name.startswith("round1_")])
 
     # classes that passed with one leader and are still of several components
     members = stars.select(F.col("b").alias("leader"), F.col("a").alias("sig"), "difference")
@@ -309,7 +331,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
                                           F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
     sizes = kept.keep(sizes.where("low != high").select("leader", "leader_root", "blocks"), "leaders")
     members = members.join(sizes, "leader").join(prefixes.select("sig", "n", *ORDER_COLUMNS), "sig")
-    across = kept.keep(_across(members, percent), "across")
+    # several leaders report the same components
+    across = kept.keep(_across(members, percent).distinct(), "across")
+    kept.drop("leaders")
 
     # other pairs across components in one list
     met = stars.select(F.col("a").alias("sig"), F.col("b").alias("leader"), F.lit(True).alias("met"))
@@ -318,12 +342,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     open_ = open_.withColumn("differ", F.min("root").over(whole) != F.max("root").over(whole)).where("differ")
     open_ = open_.join(met, ["sig", "leader"], "left").select("token", "sig", "n", "behind", "root", "leader", (F.coalesce("met", F.lit(False)) | (F.col("sig") == F.col("leader"))).alias("met"))
     open_ = kept.keep(open_, "open")
+    kept.drop("lists", "stars", "roots")
     side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "behind", "root", "leader", "met")])
     done = (F.col("leader_a") == F.col("leader_b")) & ((F.col("met_a") & F.col("met_b")) | (F.col("sig_a") == F.col("leader_a")) | (F.col("sig_b") == F.col("leader_b")))
     pairs = side("a").join(side("b"), "token").where((F.col("root_a") < F.col("root_b")) & fits(*[F.col(c) for c in ("n_a", "n_b", "behind_a", "behind_b")]) & ~done)
     pairs = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
     more = _verified(pairs, rows, prefixes, k, percent, kept, "more").where("linked").select("a", "b")
+    kept.drop("open", "prefixes")
     roots = components(links.unionByName(across).unionByName(more), kept, "round2_")
+    kept.drop("links", "across", "more")
 
     owners = texts.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
     owners = owners.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -343,11 +370,13 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | N
     kept = kept or Kept(docs.sparkSession, "groups")
     id_ = id_key(F.col("doc_id").cast("long"))
     rows = docs.withColumn("__key", row_hash(id_, F.col("text")))
-    found = near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"), k, percent, kept)
+    own = Kept(docs.sparkSession, "ngram")
+    found = near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"), k, percent, own)
     found = found.select(id_key(F.col("doc_id")).alias("__key"), (F.col("n_shingles") > 0).alias("words"), id_key(F.col("component_id")).alias("group")).distinct()
     found = found.join(rows.groupBy("__key").agg(F.min(id_).alias("id"), F.count("*").alias("__rows")), "__key")
     lead = found.where("words").groupBy("group").agg(F.min(F.struct("id", "__key", "__rows")).alias("lead")).select("lead.__key", "lead.__rows")
     stay = kept.keep(lead.unionByName(found.where("not words").select("__key", F.lit(1).cast("long").alias("__rows"))), "stay")
+    own.drop(*own.paths)
     out = rows.join(stay.where("__rows = 1"), "__key", "left_semi").select(*docs.columns)
     if not stay.where("__rows > 1").isEmpty():
         columns = [F.col(c) for c in docs.columns]
