@@ -1,4 +1,5 @@
-"""Topic discovery (M3): density-style clustering of near-duplicate texts.
+"""Topic discovery (M3): ``discover_topics`` finds dense places of low-rank text vectors (``lowrank``, ``density``);
+``near_copy_topics`` groups near-duplicate texts by their MinHash bands.
 
 Contract kept from the reviewed topic model: clusters smaller than
 ``min_topic_size`` are outliers (-1); the others get ids 0.. by size (desc);
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 
 from plaudit.constants import MIN_TOPIC_SIZE
 from plaudit.functions.text import clean_for_topics, tokens
+from plaudit.functions.vectors import computed
+from plaudit.operators.density import density_clusters
+from plaudit.operators.lowrank import low_rank_embedding
 from plaudit.session import materialize
 
 SHINGLE = 3
 BANDS = 8
 ROWS_PER_BAND = 4
+TOPIC_DIMS, TOPIC_EPS, TOPIC_LEAST = 3, 0.08, 0.2
 
 
 def band_edges(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str, shingle: int = SHINGLE,
@@ -86,9 +91,9 @@ def connected_components(edges: DataFrame, group_cols: Sequence[str], doc_col: s
     return labels
 
 
-def discover_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
-                    min_topic_size: int = MIN_TOPIC_SIZE, seed: int = 42) -> DataFrame:
-    """M3: (group, doc, topic_id) for every input document."""
+def near_copy_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
+                     min_topic_size: int = MIN_TOPIC_SIZE, seed: int = 42) -> DataFrame:
+    """(group, doc, topic_id) by shared MinHash bands: topics of near copies."""
     g = list(group_cols)
     edges = band_edges(df, g, doc_col, text_col, seed=seed)
     labels = connected_components(edges, g, doc_col)
@@ -100,3 +105,18 @@ def discover_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text
     docs = df.select(*g, doc_col)
     return docs.join(out.select(*g, doc_col, "topic_id"), [*g, doc_col], "left").select(
         *g, doc_col, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"))
+
+
+def discover_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str, min_topic_size: int = MIN_TOPIC_SIZE,
+                    dims: int = TOPIC_DIMS, eps: float = TOPIC_EPS, least: float = TOPIC_LEAST, seed: int = 42) -> DataFrame:
+    """M3: (group, doc, topic_id) for every input document, -1 for outliers.
+
+    The texts of all groups are put on ``dims`` singular vectors of their TF-IDF matrix, at unit length; in each group the
+    places with ``min_topic_size`` documents within ``eps`` are topics. A text without words, and one of whose (unit) TF-IDF vector
+    less than the length ``least`` lies along these directions, is an outlier: they do not describe it."""
+    g = list(group_cols)
+    vectors = low_rank_embedding(df, [*g, doc_col], text_col, dims, seed=seed)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    vectors = computed(vectors, "length", length)
+    described = F.when(F.col("length") >= least, F.transform("embedding", lambda x: x / F.col("length")))
+    return density_clusters(vectors.select(*g, doc_col, described.alias("embedding")), doc_col, "embedding", dims, eps, min_topic_size, g, min_topic_size)

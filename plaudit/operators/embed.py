@@ -2,22 +2,22 @@
 
 Default: a hashed bag of words weighted by IDF and L2-normalised with Spark
 ML (HashingTF -> IDF -> Normalizer); the IDF fit is one distributed
-aggregation. A sentence-embedding model can be plugged in through
-``mapInPandas``: the model is built once per task and fed Arrow batches.
+aggregation. A sentence-embedding model can be plugged in (``callbacks``): it
+is built once per task and fed Arrow batches. ``lowrank`` gives dense vectors of few dimensions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plaudit.functions.text import clean_for_topics, tokens
+from plaudit.operators.callbacks import embedding_udf
 
 DEFAULT_DIMS = 256
 
@@ -38,15 +38,4 @@ def embed(df: DataFrame, doc_col: str, text_col: str, dims: int = DEFAULT_DIMS,
 
 
 def _provider_embed(df: DataFrame, doc_col: str, text_col: str, factory) -> DataFrame:
-    base = df.select(doc_col, clean_for_topics(F.col(text_col)).alias("_text"))
-    schema = T.StructType([base.schema[doc_col], T.StructField("embedding", T.ArrayType(T.FloatType()))])
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        model = factory()
-        for pdf in batches:
-            vecs = model(pdf["_text"].tolist())
-            yield pd.DataFrame({doc_col: pdf[doc_col], "embedding": [list(map(float, v)) for v in vecs]})
-
-    return base.mapInPandas(run, schema)
+    return df.select(doc_col, embedding_udf(factory)(clean_for_topics(F.col(text_col))).alias("embedding"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plaudit.constants import HAN, PAT_SPLIT
 from plaudit.functions.text import HAN_BIGRAMS, clean_for_keywords
+from plaudit.sources.tables import remove_stopword_rows
 
 KEYWORD_PUNCT = r"[.,!?]"
 
@@ -30,9 +31,11 @@ def keyword_tokens(c) -> Column:
 
 def keyword_frequency(reviews: DataFrame, text_col: str = "content", group_cols: Sequence[str] = ("appid", "polarity"),
                       stopwords: Sequence[str] = (), top_n: int | None = None,
-                      tagger: Callable[[Column], Column] | None = None) -> DataFrame:
+                      tagger: Callable[[Column], Column] | None = None, stop_rows: DataFrame | None = None) -> DataFrame:
     """(group, word, count, rank) of every word; with ``top_n`` of the most frequent ones only.
 
+    ``stop_rows`` (one column ``word``, as ``load_stopwords`` gives it) leave after counting, by an anti-join.
+
     ``tagger`` maps cleaned text to array<struct<word:string, tag:string>>;
     when given, only tags starting with n or a are kept."""
     g = list(group_cols)
@@ -49,6 +52,8 @@ def keyword_frequency(reviews: DataFrame, text_col: str = "content", group_cols:
     if stopwords:
         words = words.filter(~F.col("word").isin(list(stopwords)))
     counts = words.groupBy(*g, "word").agg(F.count(F.lit(1)).alias("count"))
+    if stop_rows is not None:
+        counts = remove_stopword_rows(counts, stop_rows)
     w = Window.partitionBy(*g).orderBy(F.col("count").desc(), F.col("word"))
     ranked = counts.withColumn("rank", F.row_number().over(w))
     return ranked if top_n is None else ranked.filter(F.col("rank") <= top_n)

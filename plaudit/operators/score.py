@@ -7,6 +7,8 @@ when their measured size allows (no unchecked broadcast hint here).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +52,15 @@ def penalties(reviews: DataFrame, app_info: DataFrame) -> DataFrame:
         "appid", "n_reviews", "opt_penalty", "value_penalty", "refund_penalty")
 
 
-def critical_flaws(topics: DataFrame, polarity: str | None = "positive") -> DataFrame:
-    """App has a topic whose keywords+summary contain any flaw keyword
+def critical_flaws(topics: DataFrame, polarity: str | None = "positive", keywords: Sequence[str] = CRITICAL_FLAW_KEYWORDS) -> DataFrame:
+    """App has a topic whose keywords+summary contain any of the flaw ``keywords``
     (case-sensitive substring). ``topics`` has appid, polarity, keywords, summary."""
     if polarity is not None:
         topics = topics.filter(F.col("polarity") == polarity)
     text = F.concat(F.coalesce("keywords", F.lit("")), F.coalesce("summary", F.lit("")))
-    hit = None
-    for kw in CRITICAL_FLAW_KEYWORDS:
-        c = F.contains(text, F.lit(kw))
-        hit = c if hit is None else (hit | c)
+    hit = F.lit(False)
+    for kw in keywords:
+        hit = hit | F.contains(text, F.lit(kw))
     return topics.groupBy("appid").agg(F.bool_or(hit).alias("flaw_detected"))
 
 

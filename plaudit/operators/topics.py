@@ -44,6 +44,12 @@ def topic_info(assign: DataFrame, group_cols: Sequence[str], label_col: str = "t
     return ranked.drop("_o")
 
 
+def doc_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, info: DataFrame, label_col: str = "topic_label") -> DataFrame:
+    """Documents with their topic id, without text."""
+    g = list(group_cols)
+    return df.select(*g, doc_col, label_col).join(info.select(*g, label_col, "topic_id"), [*g, label_col])
+
+
 def topic_docs(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,
                info: DataFrame, label_col: str = "topic_label") -> DataFrame:
     """Documents with their topic id and topic-cleaned text."""
@@ -80,6 +86,16 @@ def doc_terms(docs: DataFrame, group_cols: Sequence[str], doc_col: str, stopword
     return rows.groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def topic_terms(df: DataFrame, group_cols: Sequence[str], text_col: str, info: DataFrame, label_col: str = "topic_label",
+                stopwords: Sequence[str] = ()) -> DataFrame:
+    """(group, topic_id, word, tf) straight from the texts: counted by label before any shuffle, so neither text nor documents
+    travel; the label becomes an id after it. ``class_tfidf`` takes it in place of document terms."""
+    g = list(group_cols)
+    rows = token_rows(df, clean_for_topics(F.col(text_col)), "word", [*g, label_col], stopwords)
+    counted = rows.groupBy(*g, label_col, "word").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.join(info.select(*g, label_col, "topic_id"), [*g, label_col]).select(*g, "topic_id", "word", "tf")
+
+
 def class_tfidf(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """M4: class-based TF-IDF per group. Every topic (including -1) is a class.
 
@@ -88,12 +104,13 @@ def class_tfidf(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     Returns group, topic_id, word, tf, weight, idf."""
     g = list(group_cols)
     tw = terms.groupBy(*g, "topic_id", "word").agg(F.sum("tf").alias("tf"))
-    # one row per topic: small, so the per-group mean is a window over it
-    topic_tot = (tw.groupBy(*g, "topic_id").agg(F.sum("tf").alias("topic_tokens"))
-                 .withColumn("A", F.floor(F.avg("topic_tokens").over(Window.partitionBy(*g))).cast("bigint")))
-    # f(w): rows per (group, word) are at most the number of topics
-    with_f = tw.withColumn("f", F.sum("tf").over(Window.partitionBy(*g, "word")))
-    out = with_f.join(topic_tot, [*g, "topic_id"])
+    # sums over topics and over words fold before their shuffles and are joined back; no window holds a word's or a group's rows
+    topic_tot = tw.groupBy(*g, "topic_id").agg(F.sum("tf").alias("topic_tokens"))
+    mean = F.floor(F.avg("topic_tokens")).cast("bigint").alias("A")
+    topic_tot = (topic_tot.join(topic_tot.groupBy(*g).agg(mean), g) if g
+                 else topic_tot.withColumn("A", F.floor(F.avg("topic_tokens").over(Window.partitionBy())).cast("bigint")))
+    f = tw.groupBy(*g, "word").agg(F.sum("tf").alias("f"))
+    out = tw.join(f, [*g, "word"]).join(topic_tot, [*g, "topic_id"])
     idf = F.log(F.lit(1.0) + F.col("A") / F.col("f"))
     return out.select(*g, "topic_id", "word", "tf",
                       (F.col("tf") / F.col("topic_tokens") * idf).alias("weight"), idf.alias("idf"))
@@ -152,8 +169,10 @@ def representative_docs(docs: DataFrame, terms: DataFrame, tfidf: DataFrame, gro
 
 def with_doc_text(rep: DataFrame, source: DataFrame, group_cols: Sequence[str], doc_col: str,
                   text_col: str) -> DataFrame:
-    """Attach the topic-cleaned text to the few ranked documents only."""
+    """Attach the topic-cleaned text to the few ranked documents only: they are stored first, so that the planner sees their
+    size and sends them to the texts, not the texts to them."""
     g = list(group_cols)
+    rep = materialize(rep)
     src = source.select(*g, doc_col, F.col(text_col).alias("_raw"))
     return rep.join(src, [*g, doc_col]).withColumn("doc_text", clean_for_topics(F.col("_raw"))).drop("_raw")
 
@@ -213,12 +232,26 @@ class TopicChain:
     def _docs(self):
         return topic_docs(self.df, self.g, self.doc_col, self.text_col, self["info"], self.label_col)
 
+    def _doc_topics(self):
+        return doc_topics(self.df, self.g, self.doc_col, self["info"], self.label_col)
+
     def _terms(self):
+        if self.tokenizer is None and not self.blank_tokens:
+            # counted per document before the topic id comes in: no text is joined or shuffled
+            rows = token_rows(self.df, clean_for_topics(F.col(self.text_col)), "word", [*self.g, self.label_col, self.doc_col], self.stopwords)
+            rows = rows.groupBy(*self.g, self.label_col, self.doc_col, "word").agg(F.count(F.lit(1)).alias("tf"))
+            rows = rows.join(self["info"].select(*self.g, self.label_col, "topic_id"), [*self.g, self.label_col])
+            return materialize(rows.select(*self.g, "topic_id", self.doc_col, "word", "tf"), self.how)
         return materialize(doc_terms(self["docs"], self.g, self.doc_col, self.stopwords, self.tokenizer,
                                      self.blank_tokens), self.how)
 
     def _tfidf(self):
-        return materialize(class_tfidf(self["terms"], self.g), self.how)
+        plain = self.tokenizer is None and not self.blank_tokens
+        if plain and "terms" not in self._built:  # document terms only where documents are ranked
+            terms = topic_terms(self.df, self.g, self.text_col, self["info"], self.label_col, self.stopwords)
+        else:
+            terms = self["terms"]
+        return materialize(class_tfidf(terms, self.g), self.how)
 
     def _words(self):
         return topic_words(self["tfidf"], self.g)
@@ -227,17 +260,20 @@ class TopicChain:
         return topic_keywords(self["words"], self.g)
 
     def _representative(self):
-        return representative_docs(self["docs"], self["terms"], self["tfidf"], self.g, self.doc_col)
+        terms = self["terms"]  # before the TF-IDF, which then reads them
+        return representative_docs(self["doc_topics"], terms, self["tfidf"], self.g, self.doc_col)
 
     def _summary(self):
         rep = with_doc_text(self["representative"], self.df, self.g, self.doc_col, self.text_col)
         return topic_summary(rep, self.g)
 
     def _topic_map(self):
-        return topic_map(self["keywords"], self["summary"], self.g)
+        summary = self["summary"]
+        return topic_map(self["keywords"], summary, self.g)
 
     def _tooltips(self):
-        return word_tooltips(self["words"], self["topic_map"], self.g)
+        tmap = self["topic_map"]
+        return word_tooltips(self["words"], tmap, self.g)
 
 
 def describe_topics(df: DataFrame, group_cols: Sequence[str], doc_col: str, text_col: str,

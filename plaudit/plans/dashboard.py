@@ -18,16 +18,18 @@ from plaudit.sources import tables as TB
 
 
 def analyses(reviews: DataFrame, app_info: DataFrame, app_summary: DataFrame,
-             polarity: str = "positive") -> dict[str, DataFrame]:
-    """All per-app analyses over one scored review table."""
+             polarity: str = "positive", scored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All per-app analyses over one scored review table. ``scored``: the same rows where they are to be had without
+    text, so that only the topics read (and join) it."""
+    scored = reviews if scored is None else scored
     topics = review_topics(reviews)
     flaws = SC.critical_flaws(topics["topic_map"], polarity=polarity)
     return {
-        "score": SC.recommend_score(reviews, app_info, app_summary, flaws),
-        "counts": M.polarity_counts(reviews),
-        "radar": M.aspect_radar(reviews),
-        "stages": M.playtime_sentiment(reviews),
-        "monthly": M.monthly_counts(reviews, ts_col="ts"),
+        "score": SC.recommend_score(scored, app_info, app_summary, flaws),
+        "counts": M.polarity_counts(scored),
+        "radar": M.aspect_radar(scored),
+        "stages": M.playtime_sentiment(scored),
+        "monthly": M.monthly_counts(scored, ts_col="ts"),
         "topic_map": topics["topic_map"],
         "words": topics["words"],
     }

@@ -7,9 +7,12 @@ inlines the stand-in views as CTEs. Column names match the Spark side.
 from __future__ import annotations
 
 from plaudit import constants as K
+from plaudit.functions.vectors import HASH_BITS
+from plaudit.operators.density import STEPS
+from plaudit.plans.catalog import ASSIGN_COSINE, CALLBACK_DIMS, DENSITY_EPS, DENSITY_POINTS, FLAW_WORDS, SHORT_PAGES
 from plaudit.plans.sqlparts import (BASE_SCORE, DISPLAY_RATING, REVIEW_TOPIC_SRC, V_APP_INFO, V_APP_RAW,
                                     V_APP_SUMMARY, V_PROFILES, V_REVIEWS, clean_keywords_sql, clean_scoring_sql,
-                                    clean_topics_sql, flaws_sql, is_paid, q, remove_stop_sql, tokens_sql,
+                                    clean_topics_sql, flaws_sql, is_paid, q, remove_stop_sql, strip_sql, tokens_sql,
                                     topic_ctes, with_ctes)
 
 ORACLE: dict[str, str] = {}
@@ -85,14 +88,15 @@ REVIEW_TOPICS = [V_REVIEWS, REVIEW_TOPIC_SRC,
                  *topic_ctes("rt", ["appid", "polarity"], "review_id", "content", "topic_label", K.DOMAIN_STOPWORDS)]
 
 
-def recommend_score_with_flaws_sql() -> str:
+def recommend_score_with_flaws_sql(polarity: str = "positive") -> str:
     sql = recommend_score_sql(flaw_cte="__FLAWS__")
     # the topic chain CTEs go in front of the score CTEs (v_reviews defined once)
-    topic = ",\n".join(REVIEW_TOPICS[1:] + [flaws_sql("tmap", "positive")])
+    topic = ",\n".join(REVIEW_TOPICS[1:] + [flaws_sql("tmap", polarity)])
     return sql.replace(",\n__FLAWS__", "").replace(V_REVIEWS + ",\n", V_REVIEWS + ",\n" + topic + ",\n", 1)
 
 
 ORACLE["recommend_score"] = recommend_score_with_flaws_sql()
+ORACLE["recommend_score_negative"] = recommend_score_with_flaws_sql("negative")
 
 ORACLE["penalties"] = with_ctes(V_REVIEWS, V_APP_RAW, V_APP_INFO, STATS, body=f"""
 SELECT appid, n_reviews, round_even(opt_penalty, 6) AS opt_penalty, round_even(value_penalty, 6) AS value_penalty,
@@ -377,13 +381,14 @@ def _kw_tokens_sql(e: str) -> str:
     return f"flatten(list_transform({parts}, {expand}))"
 
 
-ORACLE["keyword_frequency"] = with_ctes(V_REVIEWS, f"""w AS (
+STOP_FILE = f"stop AS (SELECT DISTINCT {strip_sql('word')} AS word FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS word FROM benchmark))"
+ORACLE["keyword_frequency"] = with_ctes(V_REVIEWS, STOP_FILE, f"""w AS (
   SELECT appid, polarity, regexp_replace(word, '^\\s+|\\s+$', '', 'g') AS word FROM (
     SELECT appid, CASE WHEN voted_up THEN 'positive' ELSE 'negative' END AS polarity,
            unnest({_kw_tokens_sql(clean_keywords_sql('content'))}) AS word
     FROM v_reviews WHERE content IS NOT NULL))""", f"""c AS (
   SELECT appid, polarity, word, count(*) AS count FROM w
-  WHERE length(word) > 1 AND NOT list_contains({_str_list(K.DOMAIN_STOPWORDS)}, word)
+  WHERE length(word) > 1 AND word NOT IN (SELECT word FROM stop)
   GROUP BY ALL)""", body=f"""
 SELECT *, row_number() OVER (PARTITION BY appid, polarity ORDER BY count DESC, word) AS rank FROM c""")
 
@@ -396,19 +401,109 @@ _proto_cols = ",\n       ".join(
     f"CASE WHEN v IS NULL OR vn = 0 THEN {K.NEUTRAL_ASPECT} ELSE round_even((cast(1 AS double) + "
     f"{_dot_sql('v', f'p{i}')} / (vn * sqrt({_dot_sql(f'p{i}', f'p{i}')}))) / 2, 6) END AS {c}"
     for i, c in enumerate(K.SCORE_COLUMNS))
-ORACLE["aspect_scores"] = with_ctes(V_REVIEWS, """protos AS (
+ORACLE["vector_scores"] = with_ctes("""protos AS (
   SELECT label, arg_min(cast(embedding AS double[]), vec_id) AS p FROM embeddings WHERE label IN (0, 1, 2, 3, 4) GROUP BY label)""",
                                     f"""pv AS (SELECT {', '.join(f"max(CASE WHEN label = {i} THEN p END) AS p{i}" for i in range(5))} FROM protos)""",
-                                    """rv AS (SELECT r.review_id, r.appid, cast(e.embedding AS double[]) AS v
-         FROM v_reviews r LEFT JOIN embeddings e ON e.vec_id = r.review_id)""",
+                                    """rv AS (SELECT vec_id AS review_id, cast(embedding AS double[]) AS v FROM embeddings)""",
                                     f"""rvn AS (SELECT *, sqrt({_dot_sql('v', 'v')}) AS vn FROM rv)""",
-                                    body=f"SELECT review_id, appid,\n       {_proto_cols}\nFROM rvn, pv")
+                                    body=f"SELECT review_id,\n       {_proto_cols}\nFROM rvn, pv")
+
+
+def bucket_sql(word: str) -> str:
+    return f"cast(cast('0x' || substr(md5({word}), 1, 8) AS bigint) % {1 << HASH_BITS} AS int)"
+
+
+def _tf_sql(src: str, key: str, tokens: str) -> str:
+    return f"""SELECT {key}, bucket, count(*) AS tf FROM (SELECT {key}, {bucket_sql('w')} AS bucket FROM (SELECT {key}, unnest({tokens}) AS w FROM {src})) GROUP BY ALL"""
+
+
+def _idf_sql(tf: str, key: str) -> str:
+    return f"""SELECT bucket, ln((SELECT cast(count(DISTINCT {key}) + 1 AS double) FROM {tf}) / (count(*) + 1)) + 1 AS idf FROM {tf} GROUP BY bucket"""
+
+
+_score_tokens = tokens_sql(clean_topics_sql(clean_scoring_sql("content")))
+_n_aspects = len(K.SCORE_COLUMNS)
+ORACLE["aspect_scores"] = with_ctes(
+    V_REVIEWS, f"tf AS ({_tf_sql('v_reviews', 'review_id', _score_tokens)})", f"idf AS ({_idf_sql('tf', 'review_id')})",
+    f"said AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS aspect, text AS content FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT {_n_aspects}))",
+    f"htf AS ({_tf_sql('said', 'aspect', _score_tokens)})",
+    "h AS (SELECT aspect, bucket, tf * idf AS w FROM htf JOIN idf USING (bucket))", "hn AS (SELECT aspect, sqrt(sum(w * w)) AS hnorm FROM h GROUP BY aspect)",
+    "r AS (SELECT review_id, bucket, tf * idf AS w FROM tf JOIN idf USING (bucket))", "rn AS (SELECT review_id, sqrt(sum(w * w)) AS norm FROM r GROUP BY review_id)",
+    "dots AS (SELECT review_id, aspect, sum(r.w * h.w) AS dot FROM r JOIN h USING (bucket) GROUP BY ALL)",
+    f"pairs AS (SELECT review_id, norm, unnest(range({_n_aspects})) AS aspect FROM rn)",
+    f"""scored AS (SELECT review_id, aspect, CASE WHEN hnorm > 0 THEN round_even((cast(1 AS double) + coalesce(dot, 0) / (norm * hnorm)) / 2, 6) ELSE {K.NEUTRAL_ASPECT} END AS s
+         FROM pairs LEFT JOIN hn USING (aspect) LEFT JOIN dots USING (review_id, aspect))""",
+    body="SELECT v.review_id, v.appid, " + ", ".join(f"coalesce(max(CASE WHEN aspect = {i} THEN s END), cast({K.NEUTRAL_ASPECT} AS double)) AS {c}" for i, c in enumerate(K.SCORE_COLUMNS))
+    + " FROM v_reviews v LEFT JOIN scored USING (review_id) GROUP BY v.review_id, v.appid")
+
+ORACLE["hashed_terms"] = with_ctes(
+    f"tf AS ({_tf_sql('documents', 'doc_id', tokens_sql(clean_topics_sql('text')))})", f"idf AS ({_idf_sql('tf', 'doc_id')})",
+    "r AS (SELECT doc_id, bucket, tf * idf AS w FROM tf JOIN idf USING (bucket))",
+    body="SELECT doc_id, bucket, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM r")
+
+
+# ---- density topics (M3) over the given vectors, and M8 on what they find ------------------
+
+def _density_ctes() -> list[str]:
+    """Neighbour counts, cores, reachability and borders by plain joins on whole numbers."""
+    def along(k: int) -> str:
+        return (f"list_reduce(list_transform(cast(embedding AS double[]), lambda x, i: CASE WHEN ((i - 1) & {1 << k}) <> 0 THEN -x ELSE x END), "
+                f"lambda s, x: s + x, cast(0 AS double)) / sqrt(cast(len(embedding) AS double))")
+    at = ", ".join(f"cast(floor(({along(k)}) * {STEPS / DENSITY_EPS!r} + 0.5) AS bigint) AS {c}" for k, c in enumerate("xyz"))
+    far = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+    return [
+        f"pts AS (SELECT vec_id, {at} FROM embeddings)",
+        "folded AS (SELECT x, y, z, count(*) AS weight, min(vec_id) AS first FROM pts GROUP BY x, y, z)",
+        f"cores AS (SELECT a.x, a.y, a.z, a.first FROM folded a JOIN folded b ON {far} <= {STEPS * STEPS} GROUP BY ALL HAVING sum(b.weight) >= {DENSITY_POINTS})",
+        f"links AS (SELECT a.first AS a, b.first AS b FROM cores a JOIN cores b ON {far} <= {STEPS * STEPS} AND a.first <> b.first)",
+        "reach AS (SELECT first AS node, first AS root FROM cores UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node)",
+        "named AS (SELECT c.x, c.y, c.z, min(r.root) AS cluster FROM cores c JOIN reach r ON r.node = c.first GROUP BY ALL)",
+        f"""border AS (SELECT a.x, a.y, a.z, arg_min(b.cluster, ({far}) * 1000000000 + b.cluster) AS cluster
+         FROM (SELECT * FROM folded ANTI JOIN cores USING (x, y, z)) a JOIN named b ON {far} <= {STEPS * STEPS} GROUP BY ALL)""",
+        "placed AS (SELECT * FROM named UNION ALL SELECT * FROM border)",
+        f"""clusters AS (SELECT cluster, cast(row_number() OVER (ORDER BY size DESC, cluster) - 1 AS int) AS topic_id
+         FROM (SELECT cluster, sum(weight) AS size FROM folded JOIN placed USING (x, y, z) GROUP BY cluster) WHERE size >= {DENSITY_POINTS})""",
+        "density AS (SELECT vec_id, coalesce(topic_id, -1) AS topic_id FROM pts LEFT JOIN placed USING (x, y, z) LEFT JOIN clusters USING (cluster))",
+    ]
+
+
+def _recursive(*ctes: str, body: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+
+
+ORACLE["density_topics"] = _recursive(*_density_ctes(), body="SELECT vec_id, topic_id FROM density")
+
+
+def _assign_ctes() -> list[str]:
+    stored = topic_ctes("fsrc", [], "doc_id", "text", "topic_label", K.DOMAIN_STOPWORDS)[:10]  # up to tfidf
+    toks = remove_stop_sql(tokens_sql(clean_topics_sql("text")), K.DOMAIN_STOPWORDS)
+    return [
+        "fsrc AS (SELECT d.doc_id, d.text, cast(t.topic_id AS varchar) AS topic_label FROM documents d JOIN density t ON t.vec_id = d.doc_id)",
+        *stored,
+        "model AS (SELECT topic_id, word, weight, idf, sqrt(sum(weight * weight) OVER (PARTITION BY topic_id)) AS norm FROM tfidf)",
+        "late AS (SELECT d.doc_id, d.text FROM documents d ANTI JOIN fsrc f ON f.doc_id = d.doc_id)",
+        f"lt AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({toks}) AS word FROM late) GROUP BY ALL)",
+        "lw AS (SELECT doc_id, word, tf * idf AS w FROM lt JOIN (SELECT DISTINCT word, idf FROM model) USING (word))",
+        "ln_ AS (SELECT doc_id, sqrt(sum(w * w)) AS own FROM lw GROUP BY doc_id)",
+        "ld AS (SELECT doc_id, topic_id, sum(w * (weight / norm)) AS dot FROM lw JOIN model USING (word) WHERE topic_id <> -1 AND norm > 0 GROUP BY ALL)",
+        "near AS (SELECT doc_id, topic_id, round_even(dot / own, 9) AS cosine FROM ld JOIN ln_ USING (doc_id) WHERE own > 0)",
+        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic_id) AS rn FROM near) WHERE rn = 1)",
+        f"""assigned AS (SELECT l.doc_id, CASE WHEN b.cosine >= {ASSIGN_COSINE} THEN cast(b.topic_id AS int) ELSE -1 END AS topic_id, coalesce(b.cosine, cast(0 AS double)) AS cosine
+         FROM late l LEFT JOIN best b USING (doc_id))""",
+    ]
+
+
+ORACLE["assigned_topics"] = _recursive(*_density_ctes(), *_assign_ctes(), body="SELECT * FROM assigned")
+_ALL_DOCS = f"""all_docs AS MATERIALIZED (
+  {_recursive(*_density_ctes(), *_assign_ctes(), body="""SELECT doc_id, text, topic_label FROM fsrc UNION ALL
+  SELECT l.doc_id, l.text, coalesce(i.topic_label, '-1') FROM late l JOIN assigned a USING (doc_id) LEFT JOIN info i ON i.topic_id = a.topic_id""")})"""
+ORACLE["discovered_topic_map"] = with_ctes(_ALL_DOCS, *topic_ctes("all_docs", [], "doc_id", "text", "topic_label", K.DOMAIN_STOPWORDS), body="SELECT * FROM tmap")
 
 
 # ---- dashboard (J5) and time-series document (A16) --------------------------------------
 
-def _dashboard_sql() -> str:
-    full = ORACLE["recommend_score"]
+def _dashboard_sql(score: str = "recommend_score") -> str:
+    full = ORACLE[score]
     # wrap the flagship as a CTE named score_rows, then assemble the dashboard
     head, _, tail = full.rpartition("\nSELECT appid,\n       CASE WHEN has_reviews THEN base")
     body = "SELECT appid,\n       CASE WHEN has_reviews THEN base" + tail
@@ -425,6 +520,7 @@ LEFT JOIN score_rows s USING (appid)"""
 
 
 ORACLE["dashboard"] = _dashboard_sql()
+ORACLE["dashboard_negative"] = _dashboard_sql("recommend_score_negative")
 
 ORACLE["export_timeseries_json"] = ORACLE["monthly_counts"].replace(
     "SELECT s.appid, strftime(s.month, '%Y-%m') AS month,",
@@ -497,3 +593,31 @@ ORACLE["union_pulls"] = with_ctes(V_REVIEWS, body="""
 SELECT review_id, appid, CASE WHEN voted_up THEN votes_up END AS votes_up,
        CASE WHEN NOT voted_up THEN playtime_at_review END AS playtime_at_review
 FROM v_reviews WHERE voted_up IS NOT NULL""")
+
+
+# ---- bounds that bite, callbacks, stopword files, search by part, streams ----------------------
+
+ORACLE["critical_flaws_custom"] = with_ctes(*REVIEW_TOPICS, flaws_sql("tmap", "negative", FLAW_WORDS), body="SELECT * FROM flaws")
+ORACLE["valid_page_prefix_short"] = ORACLE["valid_page_prefix"].replace(f"rk <= {K.MAX_PAGES}", f"rk <= {SHORT_PAGES}")
+ORACLE["stream_page_chain"] = ORACLE["valid_page_prefix"]
+ORACLE["topic_words_callback"] = ORACLE["topic_words"]
+ORACLE["embed_callback"] = f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower({clean_topics_sql('text')}), '\\s+'), lambda x: length(x) > 0)) AS word FROM documents),
+n AS (SELECT doc_id, cast('0x' || substr(md5(word), 1, 8) AS bigint) % {CALLBACK_DIMS} AS component, count(*) AS x FROM w GROUP BY ALL),
+c AS (SELECT doc_id, unnest(range({CALLBACK_DIMS})) AS component FROM documents)
+SELECT doc_id, cast(component AS int) AS component, coalesce(x, 0) AS x FROM c LEFT JOIN n USING (doc_id, component)"""
+ORACLE["tokens_stopped"] = with_ctes(STOP_FILE, f"""w AS (SELECT doc_id, unnest({tokens_sql(clean_topics_sql('text'))}) AS word FROM documents)""", body=f"""
+SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w
+WHERE word NOT IN (SELECT word FROM stop) AND NOT list_contains({_str_list(K.DOMAIN_STOPWORDS)}, word) GROUP BY word""")
+ORACLE["search_app"] = with_ctes(V_APP_RAW, V_APP_INFO, """terms AS (SELECT DISTINCT unnest([upper(p_name), substr(p_name, 2, 4), substr(p_name, 3, 7), substr(p_name, 1, 1), substr(p_name, 4, 2),
+                substr(p_name, 2, 3), substr(p_name, 3, 5) || 'zq', '']) AS term FROM part)""",
+                                 """hits AS (SELECT term, appid, name, row_number() OVER (PARTITION BY term ORDER BY length(name), appid) AS rn
+         FROM terms JOIN v_app_info ON contains(lower(name), lower(term)) WHERE term <> '')""",
+                                 body="SELECT t.term, h.appid, h.name FROM terms t LEFT JOIN (SELECT * FROM hits WHERE rn = 1) h USING (term)")
+ORACLE["stream_refresh"] = f"""WITH r AS (SELECT DISTINCT user_id AS appid, date_trunc('second', ts) AS t FROM events WHERE event_type = 'signup'),
+n AS (SELECT *, lead(t) OVER (PARTITION BY appid ORDER BY t) AS later FROM r)
+SELECT appid, t AS "at", 'HIT' AS action FROM n
+UNION ALL SELECT appid, t + INTERVAL {K.CACHE_HOURS} HOUR, 'FETCH' FROM n WHERE later IS NULL OR later > t + INTERVAL {K.CACHE_HOURS} HOUR"""
+ORACLE["stored_review_metrics"] = with_ctes(V_REVIEWS, body="""
+SELECT appid, count_if(voted_up = true) AS positive_count, count_if(voted_up = false) AS negative_count,
+       count(DISTINCT strftime(ts, '%Y-%m')) AS months, cast(sum(playtime_at_review) AS bigint) AS minutes, count(*) AS n_reviews
+FROM v_reviews GROUP BY appid""")

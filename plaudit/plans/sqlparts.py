@@ -36,26 +36,24 @@ def is_paid(price_expr: str) -> str:
     return f"(length({p}) > 0 AND lower({p}) NOT IN ({words}))"
 
 
-def scores_sql(alias: str = "d") -> str:
+def scores_sql(alias: str = "e") -> str:
     return ",\n       ".join(
-        f"(({alias}.doc_id*{m} + {a}) % 129) / cast(128 as double) AS {c}"
+        f"(({alias}.event_id*{m} + {a}) % 129) / cast(128 as double) AS {c}"
         for c, (m, a) in zip(K.SCORE_COLUMNS, S.SCORE_MULT_ADD))
 
 
 V_REVIEWS = f"""v_reviews AS (
-  SELECT d.doc_id AS review_id,
-         cast(substr(d.source, 4) AS int) AS appid,
+  SELECT e.event_id AS review_id,
+         cast(e.user_id % {S.REVIEW_APPS} AS int) AS appid,
          cast(e.user_id AS varchar) AS author_name,
          d.text AS content,
          e.event_type IN ('purchase', 'click', 'view') AS voted_up,
          cast(floor(e.value * 20) AS bigint) AS playtime_at_review,
          cast(json_extract_string(e.props, '$.k') AS int) AS votes_up,
-         o.o_orderdate AS ts,
-         {scores_sql('d')},
+         e.ts - to_days(cast(e.user_id * {S.REVIEW_MONTH_STEP} % {S.REVIEW_MONTHS} * 31 AS int)) AS ts,
+         {scores_sql('e')},
          d.lang, d.n_chars
-  FROM documents d
-  JOIN events e ON e.event_id = d.doc_id
-  JOIN orders o ON o.o_orderkey = d.doc_id)"""
+  FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id)"""
 
 _FORMATTED = ("CASE WHEN p_partkey = 3 THEN '¥ 0.00' WHEN p_partkey = 4 THEN '' WHEN p_partkey = 5 THEN 'Free' "
               "ELSE '¥ ' || format('{:,.2f}', p_retailprice * 2) END")
@@ -210,11 +208,11 @@ def cut_sql(c: str, n: int) -> str:
 
 
 REVIEW_TOPIC_SRC = f"""rt AS (SELECT review_id, appid, CASE WHEN voted_up THEN 'positive' ELSE 'negative' END AS polarity,
-         content, CASE WHEN n_chars < {S.OUTLIER_MAX_CHARS} THEN '-1' ELSE lang END AS topic_label FROM v_reviews)"""
+         content, CASE WHEN n_chars < {S.OUTLIER_MAX_CHARS} THEN '-1' ELSE lang END AS topic_label FROM v_reviews WHERE content IS NOT NULL)"""
 
 
-def flaws_sql(src: str = "tmap", polarity: str | None = "positive") -> str:
+def flaws_sql(src: str = "tmap", polarity: str | None = "positive", keywords=K.CRITICAL_FLAW_KEYWORDS) -> str:
     text = "(coalesce(keywords, '') || coalesce(summary, ''))"
-    hit = " OR ".join(f"contains({text}, {q(k)})" for k in K.CRITICAL_FLAW_KEYWORDS)
+    hit = " OR ".join(f"contains({text}, {q(k)})" for k in keywords)
     where = f"WHERE polarity = {q(polarity)}" if polarity else ""
     return f"flaws AS (SELECT appid, bool_or({hit}) AS flaw_detected FROM {src} {where} GROUP BY appid)"

@@ -4,7 +4,8 @@ The production inputs (landed review pages, app details, summaries) are not
 in the test data; these views derive equivalent tables from it with plain
 joins and expressions, so all work grows with the given tables.
 
-* ``v_reviews``    documents x events x orders on one key (doc_id)
+* ``v_review_events`` review rows without text: one per event
+* ``v_reviews``    the same with the text of the document that shares the event's key, if there is one
 * ``v_app_raw``    raw app-details records from ``part``
 * ``v_app_info``   normalised app info (A6 applied to ``v_app_raw``)
 * ``v_app_summary`` per-app summary rows counted from ``v_reviews``
@@ -34,6 +35,7 @@ SUMMARY_RATINGS = [
 ]
 # score column k is ((doc_id * mult + add) % 129) / 128: exact binary fractions
 SCORE_MULT_ADD = [(7, 3), (11, 5), (13, 7), (17, 11), (19, 13)]
+REVIEW_APPS, REVIEW_MONTHS, REVIEW_MONTH_STEP = 20, 83, 7
 OUTLIER_MAX_CHARS = 200  # reviews shorter than this are outliers (-1) in the given topics
 
 
@@ -47,28 +49,31 @@ def review_scores(key: Column) -> list[Column]:
             for c, (m, a) in zip(SCORE_COLUMNS, SCORE_MULT_ADD)]
 
 
-def v_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored review rows. The three inputs join on one key, so each side is
-    shuffled once and the second join reuses the first join's partitioning."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = d.join(e, d.doc_id == e.event_id).join(o, d.doc_id == o.o_orderkey)
-    return j.select(
-        F.col("doc_id").alias("review_id"),
-        F.substring("source", 4, 1 << 20).cast("int").alias("appid"),
+def v_review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows without text, one per event: what the metrics read, with no join.
+
+    The app is ``user_id`` modulo 20; the date is the event's, put back by whole months' worth of days per author, so that
+    reviews of one app spread over years with empty months between."""
+    e = table(spark, sf_dir, "events")
+    back = F.make_dt_interval((F.col("user_id") * REVIEW_MONTH_STEP % REVIEW_MONTHS * 31).cast("int"))
+    return e.select(
+        F.col("event_id").alias("review_id"),
+        (F.col("user_id") % REVIEW_APPS).cast("int").alias("appid"),
         F.col("user_id").cast("string").alias("author_name"),
-        F.col("text").alias("content"),
         F.col("event_type").isin("purchase", "click", "view").alias("voted_up"),
         F.floor(F.col("value") * 20).cast("bigint").alias("playtime_at_review"),
         F.get_json_object("props", "$.k").cast("int").alias("votes_up"),
-        F.col("o_orderdate").alias("ts"),
-        *review_scores(F.col("doc_id")),
-        F.col("lang"),
-        F.col("n_chars"),
+        (F.col("ts").cast("timestamp_ntz") - back).alias("ts"),
+        *review_scores(F.col("event_id")),
     )
 
 
+def v_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_review_events`` with the text, language and length of the document of the same key; null where there is none."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("content"), "lang", "n_chars")
+    return v_review_events(spark, sf_dir).join(d, "review_id", "left")
+
+
 def v_app_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw app-details records (the shape of the store's app-details JSON)."""
     p = table(spark, sf_dir, "part")
@@ -105,8 +110,7 @@ def v_app_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-app summary rows; ``last_updated`` is a fixed base minus appid hours."""
-    r = v_reviews(spark, sf_dir)
-    counts = r.groupBy("appid").agg(
+    counts = v_review_events(spark, sf_dir).groupBy("appid").agg(
         F.count_if(F.col("voted_up")).alias("total_positive"),
         F.count_if(~F.col("voted_up")).alias("total_negative"))
     ratings = F.array(*[F.lit(x).cast("string") for x in SUMMARY_RATINGS])
@@ -132,10 +136,10 @@ def v_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_review_topics(reviews: DataFrame) -> DataFrame:
-    """Given topic assignment: the review's language; short reviews are outliers (-1).
+    """Given topic assignment of the reviews with text: the review's language; short reviews are outliers (-1).
 
     Raw labels are strings; ``topic_info`` re-ranks them into ids by size."""
-    return reviews.select(
+    return reviews.where(F.col("content").isNotNull()).select(
         "review_id", "appid", "voted_up", "content",
         F.when(F.col("n_chars") < OUTLIER_MAX_CHARS, F.lit("-1")).otherwise(F.col("lang")).alias("topic_label"))
 
@@ -190,3 +194,20 @@ def v_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = p.select(F.col("p_name").alias("term"))
     words = p.select(F.explode(F.split("p_name", " ")).alias("term"))
     return whole.unionByName(words).distinct()
+
+
+CLOCK_END = "2030-01-01 00:00:00"
+
+
+def v_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache refreshes: an author's sign-ups as (appid, last_updated), whole seconds."""
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    return e.select(F.col("user_id").alias("appid"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("last_updated"))
+
+
+def v_search_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search terms that are parts of names: whole names in capitals, pieces across words, one to three characters, and terms without a hit."""
+    p = table(spark, sf_dir, "part").select("p_name")
+    term = F.explode(F.array(F.upper("p_name"), F.substring("p_name", 2, 4), F.substring("p_name", 3, 7), F.substring("p_name", 1, 1), F.substring("p_name", 4, 2),
+                             F.substring("p_name", 2, 3), F.concat(F.substring("p_name", 3, 5), F.lit("zq")), F.lit(""))).alias("term")
+    return p.select(term).distinct()

@@ -9,9 +9,9 @@ month key, let the watermark evict old state.
 S2: summary rows arrive as files; each micro-batch is merged with the stored
 summary by the keyed upsert rule (A11).
 
-Both sinks are idempotent by batch id: batch ``n`` writes version ``n`` from
-version ``n-1``, so a replayed batch rewrites the same version. State and
-offsets live under the cluster's shared ``spark.checkpoint.dir``.
+Both sinks are idempotent by batch id: batch ``n`` writes version ``n`` of a ``KeyedTable`` from
+the version before it, so a replayed batch counts once, and only the buckets that a batch
+touches are written. State and offsets live under the cluster's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -23,42 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plaudit.operators.metrics import gap_fill_months
-from plaudit.session import checkpoint_dir
-from plaudit.sources.tables import SUMMARY_COLS, upsert_summary
+from plaudit.session import checkpoint_dir, materialize
+from plaudit.sources.tables import SUMMARY_COLS, summary_defaults, upsert_summary
+from plaudit.streaming.keyed import BUCKETS, KeyedTable
 
 DAILY_KEYS = ["appid", "day"]
 
 
-def _latest_committed(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Highest committed version (optionally below a batch id), from the commit log."""
-    log_path = os.path.join(path, "_commits")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(log_path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None  # no commit yet; a log that is there but cannot be read raises
-    log = spark.read.schema("version long").parquet(log_path)
-    if below is not None:
-        log = log.filter(F.col("version") < below)
-    return log.agg(F.max("version").alias("v")).first().v
-
-
-def _read_version(spark: SparkSession, path: str, version: int | None, schema: T.StructType) -> DataFrame:
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(os.path.join(path, f"v={version}"))
-
-
 def latest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest committed version of a versioned table (empty if none)."""
-    return _read_version(spark, path, _latest_committed(spark, path), schema)
-
-
-def _write_version(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write version ``batch_id``, then record it in the commit log. A crash
-    between the two leaves the version uncommitted; the replayed batch
-    rewrites it and commits (a repeated log row is harmless)."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id}"))
-    spark.createDataFrame([(batch_id,)], "version long").write.mode("append").parquet(os.path.join(path, "_commits"))
+    """The newest committed version of a keyed table (empty if none)."""
+    return KeyedTable(spark, path, schema, KEYS[tuple(schema.names)]).read()
 
 
 DAILY_SCHEMA = T.StructType([
@@ -95,38 +69,41 @@ def daily_counts_stream(reviews: DataFrame, ts_col: str = "ts", watermark: str =
             .select(F.col("appid").cast("int").alias("appid"), day.alias("day"), "positive", "negative"))
 
 
-def add_days(spark: SparkSession, table_path: str, ts_col: str):
+def add_days(spark: SparkSession, table_path: str, ts_col: str, buckets: int = BUCKETS):
     """foreachBatch function: count the batch by day and add it to the table. No row is late, whatever the order of
     dates; a replayed batch starts from the version before it, so it counts once."""
+    table = KeyedTable(spark, table_path, DAILY_SCHEMA, DAILY_KEYS, buckets)
+
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy(*DAILY_KEYS).agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = _read_version(spark, table_path, _latest_committed(spark, table_path, below=batch_id), DAILY_SCHEMA)
         pos = F.col("voted_up") == F.lit(True)
         day = F.date_from_unix_date(F.floor(F.unix_seconds(event_time(batch, ts_col)) / 86400).cast("int"))
         new = batch.select(F.col("appid").cast("int").alias("appid"), day.alias("day"), F.when(pos, 1).otherwise(0).alias("positive"),
                            F.when(~pos, 1).otherwise(0).alias("negative"))
         new = new.groupBy(*DAILY_KEYS).agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-        merged = old.unionByName(new).groupBy(*DAILY_KEYS).agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-        _write_version(merged, table_path, batch_id)
+        table.merge(materialize(new), batch_id, add)
 
     return run
 
 
-def upsert_days(spark: SparkSession, table_path: str):
+def upsert_days(spark: SparkSession, table_path: str, buckets: int = BUCKETS):
     """foreachBatch function: replace the changed (app, day) rows."""
+    table = KeyedTable(spark, table_path, DAILY_SCHEMA, DAILY_KEYS, buckets)
+
+    def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select(*DAILY_KEYS), DAILY_KEYS, "left_anti").unionByName(new)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = _read_version(spark, table_path, _latest_committed(spark, table_path, below=batch_id), DAILY_SCHEMA)
-        changed = batch.select(*DAILY_SCHEMA.names)
-        merged = old.join(changed.select(*DAILY_KEYS), DAILY_KEYS, "left_anti").unionByName(changed)
-        _write_version(merged, table_path, batch_id)
+        table.merge(materialize(batch.select(*DAILY_SCHEMA.names)), batch_id, replace)
 
     return run
 
 
 def start_monthly_counts(spark: SparkSession, source_path: str, schema: T.StructType, table_path: str,
                          name: str = "monthly_counts", ts_col: str = "ts", watermark: str | None = None,
-                         available_now: bool = True, max_files_per_trigger: int | None = None):
+                         available_now: bool = True, max_files_per_trigger: int | None = None, buckets: int = BUCKETS):
     """Start the stream; returns the StreamingQuery. Every row counts, however late (``add_days``).
 
     With ``watermark``, windows are aggregated in stream state instead, and rows older than the latest event time
@@ -137,9 +114,9 @@ def start_monthly_counts(spark: SparkSession, source_path: str, schema: T.Struct
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
     if watermark is None:
-        writer = stream.writeStream.foreachBatch(add_days(spark, table_path, ts_col))
+        writer = stream.writeStream.foreachBatch(add_days(spark, table_path, ts_col, buckets))
     else:
-        writer = daily_counts_stream(stream, ts_col, watermark).writeStream.outputMode("update").foreachBatch(upsert_days(spark, table_path))
+        writer = daily_counts_stream(stream, ts_col, watermark).writeStream.outputMode("update").foreachBatch(upsert_days(spark, table_path, buckets))
     q = writer.option("checkpointLocation", ckpt)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
@@ -160,24 +137,27 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-def upsert_summaries(spark: SparkSession, table_path: str, initial: DataFrame | None = None):
-    """foreachBatch function for S2: stored summary (latest version, or
-    ``initial``) upserted with the batch by A11."""
+SUMMARY_KEYS = ["appid"]
+KEYS = {tuple(DAILY_SCHEMA.names): DAILY_KEYS, tuple(SUMMARY_SCHEMA.names): SUMMARY_KEYS}
+#: The version that holds the rows a summary table starts from.
+INITIAL = -1
+
+
+def upsert_summaries(spark: SparkSession, table_path: str, initial: DataFrame | None = None, buckets: int = BUCKETS):
+    """foreachBatch function for S2: the stored summaries (at first ``initial``, written once) upserted with the batch by A11."""
+    table = KeyedTable(spark, table_path, SUMMARY_SCHEMA, SUMMARY_KEYS, buckets)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prev = _latest_committed(spark, table_path, below=batch_id)
-        if prev is not None or initial is None:
-            old = _read_version(spark, table_path, prev, SUMMARY_SCHEMA)
-        else:
-            old = initial.select(*SUMMARY_COLS)
-        _write_version(upsert_summary(old, batch), table_path, batch_id)
+        if initial is not None and not table.versions():
+            table.merge(initial.select(*SUMMARY_COLS), INITIAL, lambda old, new: new)
+        table.merge(materialize(summary_defaults(batch)), batch_id, upsert_summary)
 
     return run
 
 
 def start_summary_upserts(spark: SparkSession, source_path: str, table_path: str, name: str = "summaries",
                           initial: DataFrame | None = None, available_now: bool = True,
-                          max_files_per_trigger: int | None = None):
+                          max_files_per_trigger: int | None = None, buckets: int = BUCKETS):
     """Start the stream; returns the StreamingQuery."""
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     reader = spark.readStream.schema(SUMMARY_SCHEMA)
@@ -185,6 +165,6 @@ def start_summary_upserts(spark: SparkSession, source_path: str, table_path: str
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
     q = (stream.writeStream.option("checkpointLocation", ckpt)
-         .foreachBatch(upsert_summaries(spark, table_path, initial)))
+         .foreachBatch(upsert_summaries(spark, table_path, initial, buckets)))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()

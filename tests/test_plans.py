@@ -31,9 +31,18 @@ def test_top_k_is_group_limited(spark, name):
 
 
 def test_penalties_do_not_read_text(spark):
-    text = queries()["penalties"](spark, SF_SMALL)._jdf.queryExecution().toString()
-    doc_scans = [m for m in re.findall(r"ReadSchema: (struct<[^>]*>)", text) if "doc_id" in m]
-    assert doc_scans and all("text" not in m for m in doc_scans)
+    # metrics read the events alone: no document is joined, let alone its text
+    for name in ("penalties", "polarity_counts", "aspect_radar", "playtime_sentiment", "monthly_counts"):
+        text = queries()[name](spark, SF_SMALL)._jdf.queryExecution().toString()
+        scans = re.findall(r"ReadSchema: (struct<[^>]*>)", text)
+        assert any("user_id" in m for m in scans) and not any("doc_id" in m or "text" in m for m in scans)
+
+
+def test_topic_words_shuffle_no_text(spark):
+    """Between the texts' scan and the first exchange, words are already counted."""
+    plan = queries()["topic_keywords"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for exchange in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan):
+        assert "content" not in exchange and "text" not in exchange
 
 
 def test_every_part_is_an_app(spark):

@@ -89,10 +89,10 @@ def test_no_row_is_late_without_a_watermark(spark, tmp_dir):
     assert sorted(tuple(r) for r in ST.monthly_from_daily(spark, table).collect()) == want
 
 
-def test_a_damaged_commit_log_raises(spark, tmp_dir):
+def test_a_damaged_manifest_raises(spark, tmp_dir):
     table = os.path.join(tmp_dir, "broken")
-    os.makedirs(os.path.join(table, "_commits"))
-    with open(os.path.join(table, "_commits", "part-0.parquet"), "w") as out:
-        out.write("not parquet")
+    os.makedirs(os.path.join(table, "manifest"))
+    with open(os.path.join(table, "manifest", "v=3.json"), "w") as out:
+        out.write("not a manifest")
     with pytest.raises(Exception):
         ST.latest_version(spark, table, ST.DAILY_SCHEMA)
