@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plaudit.session import checkpoint_dir
+from plaudit.session import DEFAULTS, checkpoint_dir
 
 #: Rows per Arrow batch sent to Python: bounds what a worker holds of very long texts.
 ARROW_ROWS = 256
@@ -29,8 +29,11 @@ LEAST_ID = -(1 << 63)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: send few rows at a time to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Texts may be long: send few rows at a time to Python, unless the cluster names a size of its own (one that is neither
+    Spark's nor this library's default)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) in ("10000", DEFAULTS[key]):
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 class Kept:

@@ -3,7 +3,8 @@
 Candidates are the matches of the fixed base patterns and wider ones: values given to a key, and long
 digit runs. Labelers vote on each candidate: format (regex), gazetteer, context, variety of
 characters, and edges. Expectation-maximisation over the counted vote patterns of all candidates
-estimates the labelers' reliabilities; a logistic span classifier is trained on the posteriors.
+estimates the labelers' reliabilities; a logistic span classifier is trained on the posteriors, with features of the
+span (shares of digits and letters, separators, length) and of its context (word before, neighbours) besides the votes.
 Base matches always stay; the classifier adds others.
 """
 
@@ -37,6 +38,8 @@ SECRET = r"[A-Za-z](?<![A-Za-z0-9_][A-Za-z])[A-Za-z0-9_]{1,30}+\x20?[=:]\x20?[\x
 SECRET_VALUE = r"[=:]\x20?[\x22\x27]?([A-Za-z0-9+/_-]+)$"
 NUMBER = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?+[0-9]){8,11}+(?![\x20-]?[0-9])"
 KINDS = (*BASE, "secret", "number")
+SURFACE = ("digits", "letters", "separators", "word", "beside")
+CONTEXT_BUCKETS = 16
 LABELERS = ["v_format", "v_gazetteer", "v_context", "v_variety", "v_edges"]
 
 # Gazetteers and cue words (fixed values).
@@ -187,8 +190,18 @@ def _labels(c: Column) -> list[Column]:
     ]
 
 
+def _surface(c: Column) -> list[Column]:
+    """Quarters of digits and of letters in the span, whether it holds separators, a bucket of the word before it (0: none), what
+    stands beside it (2: a letter or digit, 1: another character, 0: a blank or nothing)."""
+    share = lambda pattern: F.floor(4 * F.length(F.regexp_replace(c["match"], pattern, "")) / F.greatest(F.length(c["match"]), F.lit(1))).cast("int")
+    word = F.regexp_extract(F.lower(c["before"]), r"(\p{L}+)\P{L}*$", 1)
+    bucket = F.when(F.length(word) > 0, F.crc32(word.cast("binary")) % CONTEXT_BUCKETS + 1).otherwise(0).cast("int")
+    beside = F.when(c["edge"].rlike(r"[\p{L}\p{N}]"), 2).when(c["edge"].rlike(r"\S"), 1).otherwise(0)
+    return [share("[^0-9]"), share("[^A-Za-z]"), c["match"].rlike(r"[\x20.()-]").cast("int"), bucket, beside]
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """``annotated`` rows with ``__votes``: each candidate (base first) with its votes and size class."""
+    """``annotated`` rows with ``__votes``: each candidate (base first) with its votes, size class and surface features."""
     def around(c: Column) -> Column:
         start, end = c["start"], c["end"]
         before = piece(F.col("__chunks"), F.greatest(start - 40, F.lit(0)), start)
@@ -197,49 +210,57 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     def judged(c: Column) -> Column:
         size = F.least(F.floor(F.log2((c["end"] - c["start"]).cast("double"))), F.lit(12)).cast("int")
-        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), size.alias("size"), *[v.alias(n) for v, n in zip(_labels(c), LABELERS)])
+        fields = [v.alias(n) for v, n in zip((*_labels(c), *_surface(c)), (*LABELERS, *SURFACE))]
+        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), size.alias("size"), *fields)
 
     both = F.concat("__base", "__wide")
-    kind = "array<struct<kind:string,start:bigint,end:bigint,size:int," + ",".join(f"{v}:int" for v in LABELERS) + ">>"
+    kind = "array<struct<kind:string,start:bigint,end:bigint,size:int," + ",".join(f"{v}:int" for v in (*LABELERS, *SURFACE)) + ">>"
     rows = once(rows, __chunks=F.when(F.size(both) > 0, chunks(F.col("__text"))).otherwise(F.array().cast("array<string>")))
     rows = once(rows, __around=F.transform(both, around))
     rows = once(rows, __votes=F.when(F.size("__around") > 0, F.transform("__around", judged).cast(kind)).otherwise(F.array().cast(kind)))
     return rows.drop("__around")
 
 
+def features(c) -> list[Column]:
+    """What the span classifier sees of a candidate: votes, kind, length, and surface of the span and its context."""
+    flags = [F.when(c["kind"] == k, 1.0).otherwise(0.0) for k in KINDS]
+    words = [F.when(c["word"] == i, 1.0).otherwise(0.0) for i in range(1, CONTEXT_BUCKETS + 1)]
+    plain = [c[name].cast("double") for name in (*LABELERS, "size", "digits", "letters", "separators", "beside")]
+    return [*plain, *flags, *words]
+
+
 @dataclass(frozen=True)
 class SpanClassifier:
-    """Logistic weights of votes, kinds and size class."""
+    """Logistic weights of ``features``."""
 
     bias: float
-    votes: tuple[float, ...]
-    kinds: tuple[float, ...]
-    size: float
+    weights: tuple[float, ...]
 
     def accepts(self, c: Column) -> Column:
-        z = F.lit(self.bias) + F.lit(self.size) * c["size"]
-        for weight, name in zip(self.votes, LABELERS):
-            z = z + F.lit(weight) * c[name]
-        for weight, kind in zip(self.kinds, KINDS):
-            z = z + F.when(c["kind"] == kind, weight).otherwise(0.0)
+        z = F.lit(self.bias)
+        for weight, feature in zip(self.weights, features(c)):
+            z = z + F.lit(weight) * feature
         return z >= 0
 
 
-def fit(found: DataFrame) -> SpanClassifier | None:
-    """Learn from the ``__votes`` of all texts. Candidates are counted by kind, votes and size class (at most 6 * 3^5 * 13 rows); no candidates: None."""
-    counted = found.select(F.explode("__votes").alias("c")).select("c.*").groupBy("kind", "size", *LABELERS).agg(F.count("*").alias("n"))
-    counted = counted.sparkSession.createDataFrame(counted.collect(), counted.schema)  # bounded, and read several times
-    if counted.isEmpty():
+def fit(found: DataFrame, kept: Kept) -> SpanClassifier | None:
+    """Learn from the ``__votes`` of all texts. Equal candidates are counted, so what is learned from is small; no candidates: None."""
+    given = ["kind", "size", *LABELERS, *SURFACE]
+    counted = kept.keep(found.select(F.explode("__votes").alias("c")).select("c.*").groupBy(*given).agg(F.count("*").alias("n")), "counted")
+    votes = counted.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n"))
+    votes = votes.sparkSession.createDataFrame(votes.collect(), votes.schema)  # at most 6 * 3^5 rows, read several times
+    if votes.isEmpty():
         return None
-    model = fit_votes(counted.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")), LABELERS, "kind")
+    model = fit_votes(votes, LABELERS, "kind")
     p = 1 / (1 + F.exp(-model.log_odds([F.col(v) for v in LABELERS], F.col("kind"))))
-    flags = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"is_{k}") for k in KINDS]
-    soft = counted.withColumn("p", p).select("*", *flags, F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * F.col("n")).alias("w")), F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * F.col("n")).alias("w")))).alias("s"))
-    inputs = [*LABELERS, *[f"is_{k}" for k in KINDS], "size"]
-    data = VectorAssembler(inputCols=inputs, outputCol="x").transform(soft.select(*inputs, "s.label", "s.w"))
-    lr = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1e-3, maxIter=60).fit(data.coalesce(1))
-    c = [float(x) for x in lr.coefficients]
-    return SpanClassifier(float(lr.intercept), tuple(c[:len(LABELERS)]), tuple(c[len(LABELERS):-1]), c[-1])
+    weighed = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * F.col("n")).alias("w")), F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * F.col("n")).alias("w"))))
+    row = {name: F.col(name) for name in given}
+    inputs = [f.alias(f"f{i}") for i, f in enumerate(features(row))]
+    soft = counted.withColumn("p", p).select(*inputs, weighed.alias("s")).select("*", "s.label", "s.w")
+    data = VectorAssembler(inputCols=[f"f{i}" for i in range(len(inputs))], outputCol="x").transform(soft)
+    lr = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1e-3, maxIter=60).fit(data)
+    kept.drop("counted")
+    return SpanClassifier(float(lr.intercept), tuple(float(x) for x in lr.coefficients))
 
 
 def spans(model: SpanClassifier | None) -> Column:
@@ -262,7 +283,7 @@ def find_personal_data(docs: DataFrame, kept: Kept) -> DataFrame:
     columns are not read; an empty table gives no rows. Narrow but for the count of vote patterns."""
     found = candidates(annotated(docs.select("doc_id", "text"))).select("doc_id", "__base", "__votes")
     found = kept.keep(found.withColumn("__base", F.transform("__base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))), "candidates")
-    model = fit(found)
+    model = fit(found, kept)
     count = lambda kind: F.size(F.filter("__base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), written(spans(model)).alias("spans"))
 
@@ -271,7 +292,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets (overlaps: the first span's kind); n_chars follows where there is one.
 
     Texts without spans are unchanged, null texts stay null, all columns and rows are kept."""
-    model = fit(candidates(annotated(docs.select("text"))).select("__votes"))
+    model = fit(candidates(annotated(docs.select("text"))).select("__votes"), Kept(docs.sparkSession, "redact"))
     rows = candidates(annotated(docs))
     found = F.sort_array(F.transform(spans(model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     rows = once(rows, __spans=found)
