@@ -2,10 +2,10 @@
 
 A table turns unit vectors by three rounds of random signs and a fast Hadamard transform
 and assigns each to the nearest signed axis. A query probes, in every table, the axes
-nearest to it; what stands there is ranked exactly. Buckets are split into blocks of
-bounded size, queries go to every block of a probed bucket, and a task sends on only the
-best rows of its block, so neither a large bucket nor a popular vector meets in one task
-and no candidate pairs are written.
+nearest to it; what stands there is ranked exactly. The rows of a bucket and the queries that
+probe it are both split into blocks of bounded size, every block of the one meets every
+block of the other, and a task sends on only the best rows, so neither a large bucket nor a
+popular one meets in one task and no candidate pairs are written.
 """
 
 from __future__ import annotations
@@ -98,12 +98,19 @@ def _hashed(rows: DataFrame, tables: range, probes: int | None, seed: int) -> Da
     return rows.mapInArrow(run, HASHED)
 
 
-def _search(index: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, kind: type) -> DataFrame:
-    """Best rows of each block of each probed bucket. ``blocks`` has a row per bucket, 2 * width * tables per dimension: bounded, so broadcast."""
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("dim", "tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+
+
+def _search(index: DataFrame, queries: DataFrame, k: int, kind: type) -> DataFrame:
+    """Best rows of each block of each probed bucket for each block of its queries. The table of blocks has a row per bucket that
+    both sides have, 2 * width * tables per dimension: bounded, so broadcast."""
     key = ["dim", "tbl", "bucket"]
-    sizes = F.broadcast(blocks)
-    left = index.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    right = queries.join(sizes, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).drop("blocks")
+    sizes = F.broadcast(_blocks(index, "blocks").join(_blocks(queries, "parts"), key))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(sizes, key).withColumn("block", own("blocks")).withColumn("part", every("parts")).drop("blocks", "parts")
+    right = queries.join(sizes, key).withColumn("part", own("parts")).withColumn("block", every("blocks")).drop("blocks", "parts")
 
     def rank(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
@@ -112,7 +119,7 @@ def _search(index: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, kin
         a, b, s = best_rows(y, q["vec_id"].to_numpy(), x, v["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
-    return left.groupBy(*key, "block").cogroup(right.groupBy(*key, "block")).applyInPandas(rank, FOUND)
+    return left.groupBy(*key, "block", "part").cogroup(right.groupBy(*key, "block", "part")).applyInPandas(rank, FOUND)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes: int = PROBES, seed: int = 5, kept: Kept | None = None) -> DataFrame:
@@ -130,11 +137,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
         F.col("vec_id").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False)))
     kind = np.float32 if rows.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
     index = kept.keep(_hashed(rows, range(tables), None, seed), "index")
-    blocks = index.groupBy("dim", "tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     wanted = rows.where(is_query)
-    first = kept.keep(_search(index, _hashed(wanted, range(tables), probes, seed), blocks, k, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    first = kept.keep(_search(index, _hashed(wanted, range(tables), probes, seed), k, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     short = wanted.join(first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    rest = _search(index.where("tbl = 0"), _hashed(short, range(1), 0, seed), blocks, k, kind)
+    rest = _search(index.where("tbl = 0"), _hashed(short, range(1), 0, seed), k, kind)
     found = first.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
