@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from plaudit.llm.common import small_batches
 
 #: Pieces and neighbour pairs a worker remembers; a full memory is emptied, which costs time only.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 1_000_000
+MEMO_PIECES, MEMO_PAIRS = 200_000, 400_000
 
 
 class ByteBPE:
