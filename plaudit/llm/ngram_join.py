@@ -177,6 +177,16 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def id_picker(rows: DataFrame, column: str, wanted, inside: bool = True) -> DataFrame:
+    """The rows whose ``column`` is in the bitmap (or not in it), picked where they are read: the few that a join needs, or all but the few."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(column).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7)) & 1 == 1) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _sets(rows: DataFrame, k: int, wanted) -> DataFrame:
     """Whole sets of the texts whose id is in the bitmap; a text that is there by chance is never paired."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +214,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, k: int, pe
     passes = F.lit(True)
     for order in ORDER_COLUMNS[1:]:
         passes = passes & F.arrays_overlap(f"{order}_a", f"{order}_b")
-    near = kept.keep(_joined(pairs, prefixes.select("sig", *ORDER_COLUMNS[1:])).where(passes).select("a", "b"), f"{name}_near")
-    ends = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
-    wanted = rows.sparkSession.sparkContext.broadcast(id_filter(prefixes.join(ends, "sig", "left_semi").select("id")))
+    context = rows.sparkSession.sparkContext
+    pairs = kept.keep(pairs, f"{name}_pairs")
+    both_ends = lambda of: of.select(F.col("a").alias("sig")).unionByName(of.select(F.col("b").alias("sig"))).distinct()
+    some = context.broadcast(id_filter(both_ends(pairs).select(F.col("sig").alias("id"))))
+    few = id_picker(prefixes.select("sig", *ORDER_COLUMNS[1:]), "sig", some)
+    near = kept.keep(_joined(pairs, few).where(passes).select("a", "b"), f"{name}_near")
+    wanted = context.broadcast(id_filter(prefixes.select("sig", "id").join(both_ends(near), "sig", "left_semi").select("id")))
     # one shuffle by class serves both ends
     both = _joined(near, _sets(rows, k, wanted).dropDuplicates(["sig"])).withColumn("difference", F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")))
     both = both.withColumn("common", (F.col("n_a") + F.col("n_b") - F.size("difference")) / 2)
     similar = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
     out = kept.keep(both.select("a", "b", "difference", similar.alias("linked")), name)
-    kept.drop(f"{name}_near")
+    kept.drop(f"{name}_near", f"{name}_pairs")
     return out
 
 
@@ -330,10 +344,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept |
     sizes = members.groupBy("leader").agg(F.max(F.when(F.col("sig") == F.col("leader"), F.col("root"))).alias("leader_root"), F.min("root").alias("low"), F.max("root").alias("high"),
                                           F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
     sizes = kept.keep(sizes.where("low != high").select("leader", "leader_root", "blocks"), "leaders")
-    members = members.join(sizes, "leader").join(prefixes.select("sig", "n", *ORDER_COLUMNS), "sig")
+    members = kept.keep(members.join(sizes, "leader"), "members")
+    some = spark.sparkContext.broadcast(id_filter(members.select(F.col("sig").alias("id")).distinct()))
+    members = members.join(id_picker(prefixes.select("sig", "n", *ORDER_COLUMNS), "sig", some), "sig")
     # several leaders report the same components
     across = kept.keep(_across(members, percent).distinct(), "across")
-    kept.drop("leaders")
+    kept.drop("leaders", "members")
 
     # other pairs across components in one list
     met = stars.select(F.col("a").alias("sig"), F.col("b").alias("leader"), F.lit(True).alias("met"))
@@ -376,10 +392,15 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, kept: Kept | N
     found = found.join(rows.groupBy("__key").agg(F.min(id_).alias("id"), F.count("*").alias("__rows")), "__key")
     lead = found.where("words").groupBy("group").agg(F.min(F.struct("id", "__key", "__rows")).alias("lead")).select("lead.__key", "lead.__rows")
     stay = kept.keep(lead.unionByName(found.where("not words").select("__key", F.lit(1).cast("long").alias("__rows"))), "stay")
+    # texts are not shuffled: a bitmap holds the keys of rows that go or that several rows share, and few others; only what it
+    # holds is joined, all else stays
+    open_ = found.select("__key").join(stay.where("__rows = 1"), "__key", "left_anti")
+    doubtful = docs.sparkSession.sparkContext.broadcast(id_filter(open_.select(F.col("__key").alias("id"))))
     own.drop(*own.paths)
-    out = rows.join(stay.where("__rows = 1"), "__key", "left_semi").select(*docs.columns)
+    asked = id_picker(rows, "__key", doubtful)
+    out = id_picker(rows, "__key", doubtful, inside=False).unionByName(asked.join(stay.where("__rows = 1"), "__key", "left_semi").select(*rows.columns)).select(*docs.columns)
     if not stay.where("__rows > 1").isEmpty():
         columns = [F.col(c) for c in docs.columns]
-        several = rows.join(stay.where("__rows > 1"), "__key", "left_semi")
+        several = asked.join(stay.where("__rows > 1"), "__key", "left_semi")
         out = out.unionByName(several.groupBy("__key").agg(F.min_by(F.struct(*columns), row_hash(*columns)).alias("__row")).select("__row.*"))
     return out
