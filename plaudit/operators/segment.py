@@ -22,6 +22,8 @@ from plaudit.session import materialize
 MAX_CHARS, MAX_WORDS, ROUNDS = 8, 50_000, 4
 #: Entries that a task gathers before it passes them on, and characters of a piece segmented together (cut there, a word may be split).
 GATHER, SPAN = 1 << 18, 4096
+#: Characters of distinct pieces that a task goes through at most.
+TASK_CHARS = 1 << 22
 _COUNTED = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.DoubleType())])
 
 
@@ -122,6 +124,9 @@ def learn_lexicon(df: DataFrame, text: Column, rounds: int = ROUNDS, most: int =
     Starts from the counts of all substrings; of longer ones those that stand ``least`` times or more and weigh most (count times
     length) are kept, and each round the entries whose expected count falls below ``least`` leave."""
     runs = materialize(pieces(df, text, pattern))
+    # the work is in Python and grows with the characters, not with the bytes that size a partition
+    chars = runs.agg(F.sum(F.length("piece"))).first()[0] or 0
+    runs = runs.repartition(max(math.ceil(chars / TASK_CHARS), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / (1 << 16))), 1))
 
     def substrings(span: str) -> dict[str, float]:
         return Counter(span[i:j] for i in range(len(span)) for j in range(i + 1, min(i + most, len(span)) + 1))

@@ -10,9 +10,14 @@ from __spark_entry__ import queries
 NAMES = sorted(queries())
 
 
+PLANS = {}
+
+
 def _plan(spark, name):
-    df = queries()[name](spark, SF_SMALL)
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan of a query, which is built once: many store tables on the way."""
+    if name not in PLANS:
+        PLANS[name] = queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    return PLANS[name]
 
 
 @pytest.mark.parametrize("name", NAMES)
