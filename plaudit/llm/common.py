@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,3 +182,38 @@ def runs_of(hashes: np.ndarray, text_no: np.ndarray, k: int) -> tuple[np.ndarray
         out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + hashes[j:j + n])
     inside = text_no[:n] == text_no[k - 1:]
     return out[inside], text_no[:n][inside]
+
+
+# ---- bitmaps of ids -------------------------------------------------------------------------
+
+#: Bits of the hash that places an id in a bitmap.
+FILTER_BITS = 25
+
+
+def bit_of(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) that holds all ids, and few others: texts are picked where they are read, without a shuffle."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            at = bit_of(batch.column("id").to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in ids.select("id").repartition(16).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out
+
+
+def id_picker(rows: DataFrame, column: str, wanted, inside: bool = True) -> DataFrame:
+    """The rows whose ``column`` is in the bitmap (or not in it), picked where they are read: the few that a join needs, or all but the few."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bit_of(batch.column(column).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7)) & 1 == 1) == inside))
+
+    return rows.mapInArrow(run, rows.schema)

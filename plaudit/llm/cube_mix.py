@@ -12,15 +12,16 @@ So a source of any size is split over tasks and no task holds more than a block.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plaudit.llm.common import WORD_PATTERN, Kept, row_hash
+from plaudit.llm.common import WORD_PATTERN, Kept, bit_of, id_filter, id_picker, row_hash, small_batches
 
 SMALL = 1e-9
 
@@ -155,13 +156,50 @@ def mixed_documents(docs: DataFrame, kept: Kept | None = None, **options) -> Dat
     """The mix itself: each document of ``docs`` as often as the mix takes it, with its columns.
 
     Rows are told apart by a hash of all columns, so ids may be null or shared and each row has its own number of copies;
-    of rows equal in every column one stands for the copies of all. Draws go by that hash."""
-    kept = kept or Kept(docs.sparkSession, "mix")
+    of rows equal in every column one stands for the copies of all. Draws go by that hash.
+
+    Texts are not shuffled: for each number of copies a bitmap holds the keys of the rows that are taken so often, a second one the other
+    keys that the first one holds by chance. A key in the first and not in the second is taken, one not in the first is not; only rows
+    in both are joined with the plan. The bitmaps are of fixed size: with very many rows more of them are joined."""
+    spark = docs.sparkSession
+    kept = kept or Kept(spark, "mix")
     rows = docs.withColumn("__key", row_hash(*[F.col(c) for c in docs.columns]))
     plan = cube_mix(rows.select(F.col("__key").alias("doc_id"), "text", "source"), kept=kept, **options)
-    plan = plan.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    plan = kept.keep(plan, "plan")
-    taken = rows.join(plan.where("__rows = 1"), "__key")
-    if not plan.where("__rows > 1").isEmpty():
-        taken = taken.unionByName(rows.join(plan.where("__rows > 1"), "__key").dropDuplicates(["__key"]))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    plan = kept.keep(plan.groupBy(F.col("doc_id").alias("id")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")), "plan")
+    several = plan.where("__rows > 1").select("id")
+    levels = []
+    for copies in range(1, (plan.where("__rows = 1").agg(F.max("__copies")).first()[0] or 1) + 1):
+        some = plan.where("__rows = 1")
+        taken = spark.sparkContext.broadcast(id_filter(some.where(F.col("__copies") >= copies).select("id").unionByName(several)))
+        by_chance = id_picker(some.where(F.col("__copies") < copies).select("id"), "id", taken)
+        levels.append((taken, spark.sparkContext.broadcast(id_filter(by_chance.unionByName(several)))))
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copies, _ = _counted(batch, levels)
+            yield batch.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+
+    def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_counted(batch, levels)[1]))
+
+    small_batches(spark)
+    asked = rows.mapInArrow(unsure, rows.schema)
+    joined = asked.join(plan.where("__rows = 1 and __copies > 0").select(F.col("id").alias("__key"), "__copies"), "__key")
+    shared = plan.where("__rows > 1 and __copies > 0").select(F.col("id").alias("__key"), "__copies")
+    if not shared.isEmpty():
+        joined = joined.unionByName(asked.join(shared, "__key").dropDuplicates(["__key"]))
+    joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.mapInArrow(sure, rows.schema).select(*docs.columns).unionByName(joined.select(*docs.columns))
+
+
+def _counted(batch: pa.RecordBatch, levels: list) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of each row that the bitmaps settle (0 for others), and which rows they leave open."""
+    at = bit_of(batch.column("__key").to_numpy(zero_copy_only=False))
+    held = lambda bits: (bits.value[at >> 3] >> (at & 7)) & 1 == 1
+    copies, open_ = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for taken, by_chance in levels:
+        first, second = held(taken), held(by_chance)
+        copies += first & ~second
+        open_ |= first & second
+    return np.where(open_, 0, copies), open_

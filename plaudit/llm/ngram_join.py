@@ -29,15 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plaudit.llm.common import LOWER, Kept, id_key, mix64, prefix_hash, row_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
-from plaudit.llm.graph import components
+from plaudit.llm.common import LOWER, Kept, bit_of, id_filter, id_key, id_picker, mix64, prefix_hash, row_hash, runs_of, small_batches, span_hash, text_chunks, word_bounds
+from plaudit.llm.graph import components, forest
 
 #: 4 million hash buckets count shingles, in 64 slices.
 COUNT_BITS, SLICE = 22, 1 << 16
 #: Classes of one leader that a task compares at a time, and shingles in one column block.
 BLOCK_MEMBERS = 1024
-#: Bits of the hash that places an id in the bitmap of wanted texts.
-FILTER_BITS = 25
 #: Seeds of the global orders; the first one makes the lists.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 
@@ -158,41 +156,12 @@ def _prefixes(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:
     return rows.mapInArrow(run, PREFIXES)
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (4 MB) that holds all ids, and few others: texts are picked where they are read, without a shuffle."""
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        for batch in batches:
-            at = _bit(batch.column("id").to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
-
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in ids.select("id").repartition(16).mapInArrow(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return out
-
-
-def id_picker(rows: DataFrame, column: str, wanted, inside: bool = True) -> DataFrame:
-    """The rows whose ``column`` is in the bitmap (or not in it), picked where they are read: the few that a join needs, or all but the few."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _bit(batch.column(column).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7)) & 1 == 1) == inside))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _sets(rows: DataFrame, k: int, wanted) -> DataFrame:
     """Whole sets of the texts whose id is in the bitmap; a text that is there by chance is never paired."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def picked() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = _bit(batch.column("id").to_numpy(zero_copy_only=False))
+                at = bit_of(batch.column("id").to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7)) & 1 == 1))
 
         for _, sets in _read(picked(), k):
@@ -252,24 +221,6 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links between components (by root) as few as hold the same components together: each joins two that were apart."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while above.setdefault(x, x) != x:
-            above[x] = x = above[above[x]]
-        return x
-
-    stay = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            above[max(x, y)] = min(x, y)
-            stay.append(k)
-    return a[stay], b[stay]
-
-
 def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between components, from ``left`` to ``right``, as links of their roots; only a spanning forest is sent on."""
     passes = left["root"].to_numpy()[:, None] != right["root"].to_numpy()
