@@ -191,3 +191,29 @@ def test_walsh_coordinates_keep_distances(spark):
     signs = [[(-1) ** ((i >> k) & 1) for i in range(16)] for k in range(3)]
     assert np.allclose(a, [np.dot(s, x) / 4 for s in signs]) and np.linalg.norm(a - b) <= np.linalg.norm(x - y) + 1e-9
     assert list(itertools.chain(a.shape)) == [3]
+
+
+@pytest.mark.parametrize("places", [0, 1 << 22])
+def test_neighbours_equal_brute_force(monkeypatch, places):
+    """Compared with each other, and looked up in an array of the block; a dense block costs a ball a point, no pair list."""
+    from plaudit.operators import density
+    monkeypatch.setattr(density, "PLACES", places)
+    rng = np.random.default_rng(7)
+    for dims, size in ((1, 40), (2, 30), (3, 12)):
+        b = np.unique(rng.integers(-8, size, (900, dims)), axis=0)
+        a = b[rng.random(len(b)) < 0.5]
+        d2 = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        want = {(i, j, int(d2[i, j])) for i, j in zip(*np.nonzero(d2 <= 25))}
+        got = [tuple(map(int, x)) for part in density.neighbours(a, b, 5) for x in zip(*part)]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_density_plans_join_no_points_with_points(spark):
+    """A dense place of n points made n * n joined rows; now blocks go to tasks and no join stands on cells."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(scale=0.02, size=3).tolist()) for i in range(3000)], "id long, v array<double>")
+    out = density_clusters(df, "id", "v", 3, 0.1, 5)
+    assert "_cell" not in out._jdf.queryExecution().toString()
+    assert {r.topic_id for r in out.collect()} <= {0, -1}
+    from plaudit.operators import density
+    assert not hasattr(density, "_near")
