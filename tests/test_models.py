@@ -122,3 +122,22 @@ def test_connected_components_match_union_find(spark):
     want = {m: min(d for _, d in members) for members in comp.values() for m in members}
     assert got == want
     assert sum(1 for members in comp.values() if len(members) > 1) >= 1
+
+
+def test_buckets_of_one_document_take_no_part_in_the_rounds(spark, monkeypatch):
+    """Only edges of shared buckets are stored for the rounds; documents alone get their own label."""
+    from plaudit.operators import clusters
+    kept = []
+
+    def spy(df):
+        out = materialize(df)
+        if "bucket" in out.columns:
+            kept.append(out.count())
+        return out
+
+    from plaudit.session import materialize
+    monkeypatch.setattr(clusters, "materialize", spy)
+    edges = [("x", d, 1000 + 10 * d + b) for d in range(50) for b in range(8)] + [("x", 3, 7), ("x", 9, 7), ("x", 9, 8), ("x", 20, 8), ("y", 3, 7), (None, 1, 7)]
+    out = clusters.connected_components(spark.createDataFrame(edges, "grp string, doc long, bucket long"), ["grp"], "doc").collect()
+    assert {(r.grp, r.doc): r.label for r in out} == {**{("x", d): 3 if d in (3, 9, 20) else d for d in range(50)}, ("y", 3): 3} and len(out) == 51
+    assert kept == [405, 4]
