@@ -52,3 +52,18 @@ def test_large_term_tables_are_dealt_over_more_tasks(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in chain["representative"]._jdf.queryExecution().toString() or chain["terms"].count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(map(tuple, chain["representative"].collect()), key=repr) == want
     assert {r.summary for r in chain["summary"].collect()} == {r.summary for r in TP.describe_topics(df, [], "id", "text")["summary"].collect()}
+
+
+def test_rows_of_a_task_do_not_grow_with_the_input(spark, monkeypatch):
+    """TF-IDF and document ranking deal words over as many tasks as their rows ask for; partitions merged by their bytes would grow."""
+    df = _df(spark)
+    want = sorted((r.topic_id, r.word, r.tf, round(r.weight, 9)) for r in TP.describe_topics(df, [], "id", "text")["tfidf"].collect())
+    monkeypatch.setattr(TP, "TASK_TERMS", 2)
+    chain = TP.describe_topics(df, [], "id", "text", materialize_as="persist")
+    terms = chain["terms"]
+    tfidf = TP.class_tfidf(terms, [], terms.count())
+    ranked = TP.representative_docs(chain["doc_topics"], terms, chain["tfidf"], [], "id")
+    for frame, tasks in ((tfidf, -(-tfidf.count() // 2)), (ranked, -(-terms.count() // 2))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and f", {tasks})" in plan
+    assert sorted((r.topic_id, r.word, r.tf, round(r.weight, 9)) for r in tfidf.collect()) == want
