@@ -7,6 +7,7 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -208,3 +209,21 @@ def test_repeated_suffixes_equal_sorted_array(spark):
     want = {(a[0], a[3]) for a, b in zip(array, array[1:]) if a[:2] == b[:2] and a[2] != b[2]}
     df = spark.createDataFrame([(h, v, html_suffix._windows(w)) for h, v, w in pages], "host string, version long, suffixes array<long>")
     assert {tuple(r) for r in html_suffix.repeated_suffixes(df).collect()} == want and want
+
+
+def test_suffixes_are_sorted_by_their_tokens(spark):
+    """The host's suffix array is in token order, neighbours' common prefixes are measured, and repeats are what brute force finds."""
+    rng = random.Random(4)
+    pages = [(f"h{rng.randrange(2)}", v, [rng.choice("ab") for _ in range(rng.randint(0, 40))]) for v in range(9)]
+    df = spark.createDataFrame([(h, v, html_suffix._windows(w), w) for h, v, w in pages], "host string, version long, suffixes array<long>, words array<string>")
+    array = [(r.host, tuple(r.tokens), r.version) for r in html_suffix.suffix_array(df.repartition(3), "words").collect()]
+    assert array == sorted(array) and all(len(t) == html_suffix.LONG for _, t, _ in array)
+    seen = {}
+    for h, v, w in pages:
+        for i, name in enumerate(html_suffix._windows(w)):
+            seen.setdefault((h, tuple(w[i:i + html_suffix.LONG]), name), set()).add(v)
+    assert {(h, t) for h, t, _ in array} == {k[:2] for k in seen}
+    got = [tuple(r) for r in html_suffix.repeated_suffixes(df.repartition(3), "words").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(h, name) for (h, _, name), of in seen.items() if len(of) > 1}
+    lists = pa.array([["a", "b"], ["a", "c"], ["a", "c"]])
+    assert html_suffix.common_prefixes(lists).tolist() == [0, 1, 2] and html_suffix.common_prefixes(lists[1:]).tolist() == [0, 2]
