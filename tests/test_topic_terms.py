@@ -67,3 +67,18 @@ def test_rows_of_a_task_do_not_grow_with_the_input(spark, monkeypatch):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan and f", {tasks})" in plan
     assert sorted((r.topic_id, r.word, r.tf, round(r.weight, 9)) for r in tfidf.collect()) == want
+
+
+def test_words_ranked_by_a_task_do_not_grow_with_the_input(spark, monkeypatch):
+    """Stored TF-IDF rows are dealt over tasks before they are sorted: file splits hold ever more rows."""
+    df = _df(spark)
+    want = sorted(map(tuple, TP.topic_words(TP.describe_topics(df, [], "id", "text", materialize_as=None)["tfidf"], []).collect()), key=repr)
+    stored, materialize = [], TP.materialize
+    monkeypatch.setattr(TP, "TASK_TERMS", 2)
+    monkeypatch.setattr(TP, "materialize", lambda frame, how="table": stored.append(frame) or materialize(frame, how))
+    chain = TP.describe_topics(df, [], "id", "text")
+    assert sorted(map(tuple, chain["words"].collect()), key=repr) == want
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in stored if "rank" in f.columns]
+    assert len(plans) == 1  # computed once for all that read it
+    dealt = [line for line in plans[0].splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and all(f", {-(-chain['tfidf'].count() // 2)})" in line for line in dealt)
