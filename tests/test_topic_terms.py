@@ -82,3 +82,15 @@ def test_words_ranked_by_a_task_do_not_grow_with_the_input(spark, monkeypatch):
     assert len(plans) == 1  # computed once for all that read it
     dealt = [line for line in plans[0].splitlines() if "REPARTITION_BY_NUM" in line]
     assert dealt and all(f", {-(-chain['tfidf'].count() // 2)})" in line for line in dealt)
+
+
+def test_stored_words_are_read_in_small_files(spark, monkeypatch):
+    """What deals stored rows over many tasks holds all rows of its split: a split of large files holds ever more."""
+    df = _df(spark)
+    want = sorted(map(tuple, TP.describe_topics(df, [], "id", "text")["summary"].collect()), key=repr)
+    monkeypatch.setattr(TP, "FILE_TERMS", 2, raising=False)
+    chain = TP.describe_topics(df.coalesce(1), [], "id", "text")
+    for stored in (chain["terms"], chain["tfidf"]):
+        rows = stored.groupBy(F.input_file_name()).count().collect()
+        assert sum(r["count"] for r in rows) == stored.count() > 2 and max(r["count"] for r in rows) <= 2
+    assert sorted(map(tuple, chain["summary"].collect()), key=repr) == want
