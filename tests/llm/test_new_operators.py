@@ -227,3 +227,49 @@ def test_suffixes_are_sorted_by_their_tokens(spark):
     assert len(got) == len(set(got)) and set(got) == {(h, name) for (h, _, name), of in seen.items() if len(of) > 1}
     lists = pa.array([["a", "b"], ["a", "c"], ["a", "c"]])
     assert html_suffix.common_prefixes(lists).tolist() == [0, 1, 2] and html_suffix.common_prefixes(lists[1:]).tolist() == [0, 2]
+
+
+def test_article_text_is_no_repeat(spark):
+    """Pages without a marked article keep text that their host marks as an article elsewhere, though it repeats."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    article, notice, lines = [prose(20), prose(2), prose(9), prose(3)], prose(12), [prose(6) for _ in range(5)]
+    body = "".join(f"<p>{p}</p>" for p in article)
+    copy = lambda n: f"<title>copy {n}</title><div>{notice}</div>{body}<div>{lines[n]}</div><div>{notice}</div>"
+    rows = [(0, "http://a.example/0", f"<title>whole</title><div>{notice}</div><article>{body}</article><div>{notice}</div>")]
+    rows += [(n, f"http://a.example/{n}", f"<title>{n}</title><div>{notice}</div><article>{quoted}</article>") for n, quoted in ((7, notice), (8, lines[0]))]
+    rows += [(n, f"http://a.example/{n}", copy(n)) for n in (1, 2)] + [(2, "http://A.example/2", copy(2)), (None, "http://a.example/x", copy(1))]
+    rows += [(n, f"http://b.example/{n}", copy(n)) for n in (3, 4)]  # no article is marked on this host
+    rows += [(9, "http://a.example/9", None)]
+    whole = "\n".join(article)
+    want = [(0, whole), (7, notice), (8, lines[0]), (1, f"{whole}\n{lines[1]}"), (2, f"{whole}\n{lines[2]}"), (2, f"{whole}\n{lines[2]}"), (None, f"{whole}\n{lines[1]}"), (3, lines[3]), (4, lines[4]), (9, "")]
+    for parts in (1, 5):
+        got = html_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts))
+        assert sorted(((r.page_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_article_suffixes_equal_brute_force(spark):
+    """Of the repeats asked for, those that more marked pages have in the article than outside, all words of all articles read."""
+    rng = random.Random(6)
+    pages = [(f"h{rng.randrange(2)}", [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 16))) for _ in range(4)], rng.random() < 0.8) for _ in range(14)]
+    tags = lambda marked: ("article", "div", "nav", "article") if marked else ("div", "div", "nav", "p")
+    rows = [(h, "".join(f"<{tag}>{text}</{tag}>" for tag, text in zip(tags(marked), texts))) for h, texts, marked in pages] + [("h0", None)]
+    votes = {}
+    for h, texts, marked in pages:
+        if marked and any((texts[0], texts[3])):
+            for of, vote in (((0, 3), 1), ((1, 2), -1)):
+                for name in set(html_suffix._windows([w for i in of for w in texts[i].split()])):
+                    votes[h, name] = votes.get((h, name), 0) + vote
+    asked = sorted(votes)[::2] + [(h, n) for h in ("h0", "h1", "h2") for n in (-5, 0, 7)] + [("h2", sorted(votes)[0][1])]
+    given = spark.createDataFrame([(0, *r) for r in rows], "page long, host string, html string").repartition(3)
+    got = [tuple(r) for r in html_suffix.article_suffixes(given, given.mapInArrow(html_suffix._streams, html_suffix.STREAM), spark.createDataFrame(asked, "host string, suffix long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {k for k in asked if votes.get(k, 0) > 0} and got
+    assert min(votes.values()) < 0 and 0 in votes.values()
+
+
+def test_main_text_leaves_marked_articles_whole():
+    """Repeats cover open blocks by tokens; article text in them, and a marked article, is never covered."""
+    open_, words = [(html_suffix.OPEN, " ".join("abcdefghij")), (html_suffix.CLOSED, "menu"), (html_suffix.OPEN, "k l")], [(0, False), (2, False)]
+    assert html_suffix.main_text(open_, words) == "k l" and html_suffix.main_text(open_, []) == "a b c d e f g h i j\nk l"
+    assert html_suffix.main_text(open_, [(0, True), *words]) == "a b c d e f g h i j\nk l"
+    assert html_suffix.main_text([(html_suffix.KEPT, "x y"), *open_], words) == "x y" and html_suffix.main_text([(html_suffix.GONE, "x")], []) == ""
